@@ -123,10 +123,5 @@ def flat_feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("label", "weight")]
 
 
-def named_slots(values: Column) -> list[Column]:
-    """Generator columns (slot, value) of an array; pair with :func:`slot_name`."""
-    return [F.posexplode(values).alias("slot", "value")]
-
-
 def slot_name(slot: Column) -> Column:
     return F.concat(F.lit("f"), slot.cast("string"))

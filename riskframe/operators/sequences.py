@@ -82,12 +82,9 @@ def zscore_sequences(sequences: DataFrame, columns: Sequence[str], train: DataFr
     ).scalar()
     # The scalar becomes a column first: subqueries may not appear inside a lambda.
     scaled = sequences.withColumn("_stats", stats)
-    for c in columns:
-        scaled = scaled.withColumn(
-            c,
-            F.transform(
-                c,
-                lambda v, c=c: (v - F.col(f"_stats.{c}_mean")) / (F.col(f"_stats.{c}_std") + F.lit(1e-6)),
-            ),
-        )
-    return scaled.drop("_stats")
+
+    def standardised(c: str):
+        mean, std = F.col(f"_stats.{c}_mean"), F.col(f"_stats.{c}_std")
+        return F.transform(c, lambda v: (v - mean) / (std + F.lit(1e-6)))
+
+    return scaled.withColumns({c: standardised(c) for c in columns}).drop("_stats")

@@ -114,3 +114,21 @@ ROC = (
 )
 PR = "coalesce(sum((r - r0) * (pr + pr0) / 2e0), 0e0)"
 AP = "coalesce(sum((r - r0) * pr), 0e0)"
+
+
+SEQ = TX + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY nameOrig ORDER BY step, tx_id) AS rn FROM tx),
+codes AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS code FROM (SELECT DISTINCT type FROM tx)),
+wins AS (
+  SELECT ranked.*, CAST(code AS INTEGER) AS type_idx, CAST((rn - 1) // 20 AS INTEGER) AS win_id,
+         CAST((rn - 1) % 20 AS INTEGER) AS pos
+  FROM ranked JOIN codes USING (type)),
+full_wins AS (SELECT nameOrig, win_id, max(isFraud) AS label FROM wins GROUP BY nameOrig, win_id HAVING count(*) = 20),
+seq_rows AS (
+  SELECT nameOrig, win_id, pos, type_idx, amount, oldbalanceOrg, newbalanceOrg, label
+  FROM wins JOIN full_wins USING (nameOrig, win_id))"""
+
+
+def seq_sql(body: str) -> str:
+    """``body`` over ``seq_rows``: one row per element of every full window of 20."""
+    return with_views(SEQ, body)
