@@ -1,9 +1,18 @@
 """Feature rankings and attributions."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import slot_name
+from riskframe.operators.training import score_column
 
 
 def top_by_magnitude(values: DataFrame, n: int) -> DataFrame:
@@ -24,3 +33,290 @@ def mean_abs_by_feature(values: DataFrame, n: int | None = 20, digits: int = 9)
     if n is not None:
         means = means.orderBy(F.desc("mean_abs"), "slot").limit(n)
     return means.select(slot_name(F.col("slot")).alias("feature"), "mean_abs")
+
+
+def positive_class(values: DataFrame, column: str = "class") -> DataFrame:
+    """The slice of class 1 where attributions exist per class, all rows elsewhere."""
+    return values.where(F.col(column) == 1).drop(column) if column in values.columns else values
+
+
+def shap_linear(rows: DataFrame, weights: Column, x: str = "x") -> DataFrame:
+    """(kept columns, slot, phi): phi = w * (x - mean x), exact for a linear margin."""
+    keep = [c for c in rows.columns if c != x]
+    exploded = rows.select(*keep, F.posexplode(x).alias("slot", "value"))
+    means = exploded.groupBy("slot").agg(F.avg("value").alias("mean"))
+    mean_of = as_array(means, "mean")
+    with_stats = exploded.withColumn("_w", weights).withColumn("_m", mean_of)
+    phi = F.col("_w")[F.col("slot")] * (F.col("value") - F.col("_m")[F.col("slot")])
+    return with_stats.select(*keep, "slot", phi.alias("phi"))
+
+
+def as_array(per_slot: DataFrame, value: str) -> Column:
+    """The values of a one-row-per-slot table as one array scalar in slot order."""
+    ordered = F.sort_array(F.collect_list(F.struct("slot", value)))
+    return per_slot.agg(F.transform(ordered, lambda e: e[value]).alias("a")).scalar()
+
+
+# A scorer adds column ``p`` to a table with a dense array column ``x``.
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def model_scorer(model: PipelineModel) -> Scorer:
+    def score(df: DataFrame) -> DataFrame:
+        predicted = model.transform(df.withColumn("features", array_to_vector("x")))
+        return predicted.withColumn("p", score_column(predicted)).select(*df.columns, "p")
+
+    return score
+
+
+def background_array(background: DataFrame, n: int) -> Column:
+    """At most n background rows as one array scalar."""
+    return background.limit(n).agg(F.collect_list("x").alias("b")).scalar()
+
+
+def coalition_values(
+    rows: DataFrame, id_col: str, background: DataFrame, background_n: int, masks: list[list[int]], scorer: Scorer
+) -> DataFrame:
+    """(id, mask, value): mean score of a row with the slots outside the mask taken from the background.
+
+    Every (row, mask, background row) is generated and scored in the row's own task;
+    only the averages are shuffled.
+    """
+    coalitions = F.array(
+        *[F.struct(F.lit(m).alias("mask"), F.array(*[F.lit(int(b)) for b in bits]).alias("bits")) for m, bits in enumerate(masks)]
+    )
+    spread = (
+        rows.select(id_col, F.col("x").alias("own"), background_array(background, background_n).alias("others"))
+        .select(id_col, "own", "others", F.inline(coalitions))
+        .select(id_col, "own", "mask", "bits", F.explode("others").alias("other"))
+    )
+    mixed = F.transform("own", lambda v, i: F.when(F.col("bits")[i] == 1, v).otherwise(F.col("other")[i]))
+    scored = scorer(spread.select(id_col, "mask", mixed.alias("x")))
+    return scored.groupBy(id_col, "mask").agg(F.avg("p").alias("value"))
+
+
+def kernel_masks(width: int, n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, weights) of a kernel attribution: whole subset sizes first, then paired random ones."""
+    sizes = np.arange(1, width)
+    size_weight = (width - 1) / (sizes * (width - sizes))
+    size_weight = size_weight / size_weight.sum()
+    masks: list[np.ndarray] = []
+    weights: list[float] = []
+    done = 0  # sizes 1..done and width-done..width-1 are complete
+    while done < width // 2:
+        s = done + 1
+        both = s != width - s
+        subsets = comb(width, s) * (2 if both else 1)
+        if len(masks) + subsets > n:
+            break
+        total = size_weight[s - 1] * (2 if both else 1)
+        for members in combinations(range(width), s):
+            bits = np.zeros(width, dtype=int)
+            bits[list(members)] = 1
+            for b in [bits, 1 - bits] if both else [bits]:
+                masks.append(b)
+                weights.append(total / subsets)
+        done = s
+    left = n - len(masks)
+    inner = sizes[(sizes > done) & (sizes < width - done)]
+    if left > 1 and len(inner):
+        rng = np.random.default_rng(seed)
+        chances = size_weight[inner - 1] / size_weight[inner - 1].sum()
+        share = size_weight[inner - 1].sum() / (left - left % 2)
+        for _ in range(left // 2):
+            bits = np.zeros(width, dtype=int)
+            bits[rng.choice(width, size=rng.choice(inner, p=chances), replace=False)] = 1
+            masks += [bits, 1 - bits]
+            weights += [share, share]
+    return np.array(masks), np.array(weights)
+
+
+def kernel_solution(masks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted least squares fit as fixed linear maps of the coalition values.
+
+    phi = gain @ (value - base) + share * (f(x) - base), which sums to f(x) - base.
+    The masks are the same for every row, so the maps are computed once.
+    """
+    z = masks.astype(float)
+    gram_inverse = np.linalg.pinv(z.T @ (weights[:, None] * z))
+    free = gram_inverse @ (z.T * weights)
+    ones = gram_inverse.sum(axis=1)
+    share = ones / ones.sum()
+    gain = free - np.outer(share, free.sum(axis=0))
+    return gain, share
+
+
+def shap_kernel(
+    rows: DataFrame, id_col: str, background: DataFrame, width: int, scorer: Scorer, background_n: int = 100,
+    n_masks: int = 100,
+) -> DataFrame:
+    """(id, slot, phi): kernel estimate of Shapley values of any scored model.
+
+    ``rows`` and ``background`` hold a dense array ``x``.  Per row the phi add up to
+    f(x) minus the mean score of the background.
+    """
+    masks, weights = kernel_masks(width, n_masks)
+    gain, share = kernel_solution(masks, weights)
+    base = scorer(background.limit(background_n).select("x")).agg(F.avg("p").alias("b")).scalar()
+    values = coalition_values(rows, id_col, background, background_n, masks.tolist(), scorer)
+    per_mask = F.array(*[F.array(*[F.lit(float(g)) for g in column]) for column in gain.T])
+    from_masks = values.select(id_col, (F.col("value") - base).alias("d"), per_mask[F.col("mask")].alias("g"))
+    own = scorer(rows.select(id_col, "x")).select(
+        id_col, (F.col("p") - base).alias("d"), F.array(*[F.lit(float(s)) for s in share]).alias("g")
+    )
+    parts = from_masks.unionByName(own).select(id_col, "d", F.posexplode("g").alias("slot", "factor"))
+    return parts.groupBy(id_col, "slot").agg(F.sum(F.col("d") * F.col("factor")).alias("phi"))
+
+
+def shap_permutation(
+    rows: DataFrame, id_col: str, background: DataFrame, width: int, scorer: Scorer, pairs: int = 2, seed: int = 42
+) -> DataFrame:
+    """(id, slot, phi): Shapley values from sampled orders, each next to its reverse.
+
+    Walking an order moves one slot at a time from a background row to the row; a
+    slot's share is the change of the score at its step.  Each step's score counts
+    for the slot that just entered and against the one that enters next, so no
+    ordering of the scored rows is needed.
+    """
+    rng = np.random.default_rng(seed)
+    orders = []
+    for k in range(pairs):
+        order = rng.permutation(width).tolist()
+        orders += [(k, order), (k, order[::-1])]
+    walks = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("k"),
+                F.array(*[F.lit(int(s)) for s in order]).alias("order"),
+                F.array(*[F.lit(int(r)) for r in np.argsort(order)]).alias("rank"),
+            )
+            for k, order in orders
+        ]
+    )
+    spread = (
+        rows.select(id_col, F.col("x").alias("own"), background_array(background, pairs).alias("others"))
+        .select(id_col, "own", "others", F.inline(walks))
+        .select(
+            id_col, "own", "order", "rank",
+            F.col("others")[F.col("k") % F.size("others")].alias("other"),
+            F.explode(F.sequence(F.lit(0), F.lit(width))).alias("step"),
+        )
+    )
+    mixed = F.transform("own", lambda v, i: F.when(F.col("rank")[i] < F.col("step"), v).otherwise(F.col("other")[i]))
+    scored = scorer(spread.select(id_col, "order", "step", mixed.alias("x")))
+    entered = F.struct(F.get("order", F.col("step") - 1).alias("slot"), F.col("p").alias("change"))
+    enters_next = F.struct(F.get("order", F.col("step")).alias("slot"), (-F.col("p")).alias("change"))
+    changes = scored.select(id_col, F.inline(F.array(entered, enters_next))).where(F.col("slot").isNotNull())
+    return changes.groupBy(id_col, "slot").agg((F.sum("change") / F.lit(float(len(orders)))).alias("phi"))
+
+
+def shap_summary(values: DataFrame, n: int = 20) -> DataFrame:
+    """Top slots by mean absolute attribution of the positive class."""
+    return mean_abs_by_feature(positive_class(values).withColumn("value", F.col("phi")), n)
+
+
+def quartile_bins(train: DataFrame) -> list[dict]:
+    """Per slot of ``x``: inner quartile edges and each bin's share, lowest and highest value."""
+    exploded = train.select(F.posexplode("x").alias("slot", "value"))
+    quartiles = F.array_distinct(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000))
+    edges = exploded.groupBy("slot").agg(quartiles.alias("edges"))
+    edge_of = as_array(edges, "edges")
+    binned = exploded.withColumn("_e", edge_of).select(
+        "slot", "value", F.col("_e")[F.col("slot")].alias("edges")
+    )
+    bin_ = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    stats = binned.groupBy("slot", "edges", bin_.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    slots: dict[int, dict] = {}
+    for r in stats.orderBy("slot", "bin").collect():  # at most four rows per slot
+        slot = slots.setdefault(r["slot"], {"edges": list(r["edges"]), "n": [], "low": [], "high": []})
+        for key in ("n", "low", "high"):
+            slot[key].append(r[key])
+    return [slots[i] for i in range(len(slots))]
+
+
+def lime_local(
+    rows: DataFrame, id_col: str, train: DataFrame, scorer: Scorer, n_samples: int = 5000, n_features: int = 10,
+    kernel_width: float | None = None, seed: int = 42,
+) -> DataFrame:
+    """(id, rank, feature, weight): a local linear surrogate per row on quartile bins.
+
+    For each row ``n_samples`` neighbours draw a bin per slot by its share in
+    ``train`` and a value evenly inside the bin.  A ridge regression on "same bin as
+    the row" indicators, weighted by closeness, gives the slot weights.
+    """
+    bins = quartile_bins(train)
+    width = len(bins)
+    kernel = kernel_width if kernel_width is not None else 0.75 * width**0.5
+
+    def doubles(lists) -> Column:
+        return F.array(*[F.array(*[F.lit(float(v)) for v in inner]) for inner in lists])
+
+    shares = [np.cumsum(np.array(b["n"]) / sum(b["n"]))[:-1] for b in bins]
+    tables = rows.select(
+        id_col,
+        F.col("x").alias("own"),
+        doubles(shares).cast("array<array<double>>").alias("cum"),
+        doubles([b["low"] for b in bins]).alias("low"),
+        doubles([b["high"] for b in bins]).alias("high"),
+    )
+    spread = tables.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+
+    def draw(i: Column, purpose: int) -> Column:
+        code = F.xxhash64(F.col(id_col), F.col("sample"), i, F.lit(purpose), F.lit(seed))
+        return F.pmod(code, F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
+
+    slots = F.sequence(F.lit(0), F.lit(width - 1))
+    picked = spread.withColumn(
+        "bin", F.transform(slots, lambda i: F.size(F.filter(F.col("cum")[i], lambda c: c <= draw(i, 1))))
+    )
+    own_bin = F.transform(
+        slots,
+        lambda i: F.size(F.filter(F.slice(F.col("high")[i], 1, F.size(F.col("high")[i]) - 1), lambda h: h < F.col("own")[i])),
+    )
+    values = F.transform(
+        slots,
+        lambda i: F.when(F.col("sample") == 0, F.col("own")[i]).otherwise(
+            F.col("low")[i][F.col("bin")[i]]
+            + draw(i, 2) * (F.col("high")[i][F.col("bin")[i]] - F.col("low")[i][F.col("bin")[i]])
+        ),
+    )
+    neighbours = (
+        picked.withColumn("own_bin", own_bin)
+        .withColumn(
+            "same",
+            F.transform(
+                slots, lambda i: ((F.col("bin")[i] == F.col("own_bin")[i]) | (F.col("sample") == 0)).cast("double")
+            ),
+        )
+        .select(id_col, "same", values.alias("x"))
+    )
+    scored = scorer(neighbours).select(id_col, "same", "p")
+
+    def ridge(z, y, w, alpha):
+        zm, ym = np.average(z, axis=0, weights=w), np.average(y, weights=w)
+        zc, yc = z - zm, y - ym
+        return np.linalg.solve(zc.T @ (w[:, None] * zc) + alpha * np.eye(z.shape[1]), zc.T @ (w * yc))
+
+    def surrogate(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, y = np.stack(pdf["same"].to_numpy()), pdf["p"].to_numpy()
+        w = np.sqrt(np.exp(-((1.0 - z) ** 2).sum(axis=1) / kernel**2))
+        first = ridge(z, y, w, 0.01)
+        chosen = np.argsort(-np.abs(first), kind="stable")[:n_features]
+        weight = ridge(z[:, chosen], y, w, 1.0)
+        order = np.argsort(-np.abs(weight), kind="stable")
+        return pd.DataFrame(
+            {
+                id_col: pdf[id_col].iloc[0],
+                "rank": np.arange(1, len(order) + 1, dtype="int32"),
+                "feature": [f"f{chosen[o]}" for o in order],
+                "weight": weight[order],
+            }
+        )
+
+    # A group is one explained row: n_samples neighbours, whatever the table size.
+    id_type = rows.schema[id_col].dataType.simpleString()
+    return scored.groupBy(id_col).applyInPandas(
+        surrogate, f"{id_col} {id_type}, rank int, feature string, weight double"
+    )

@@ -4,6 +4,7 @@ from riskframe.plans import (  # noqa: F401
     column_queries,
     evaluation_queries,
     feature_queries,
+    model_queries,
     report_queries,
     scan_queries,
     sequence_queries,
