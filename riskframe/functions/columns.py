@@ -19,24 +19,20 @@ def safe_ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
-def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
-
-
-def risk(type_: Column, amount: Column, new_balance: Column) -> Column:
-    """Fraud probability of a transaction from additive rules."""
-
-    def add(condition: Column, points: float) -> Column:
-        return F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
-
-    total = (
-        F.lit(0.012)
-        + add(type_ == "TRANSFER", 0.01)
-        + add(type_ == "CASH_OUT", 0.006)
-        + add(amount > F.lit(1500.0), 0.006)
-        + add(new_balance == F.lit(0.0), 0.005)
-    )
-    return clip(total, 0.0, 0.25)
+def clip(value: str, low: float, high: float) -> str:
+    """SQL text of a value held inside [low, high]."""
+    return f"least(greatest({value}, {low}D), {high}D)"
+
+
+def risk(type_: str, amount: str, new_balance: str) -> str:
+    """SQL text of the fraud probability of a transaction from additive rules."""
+    rules = [
+        (f"{type_} = 'TRANSFER'", 0.01),
+        (f"{type_} = 'CASH_OUT'", 0.006),
+        (f"{amount} > 1500D", 0.006),
+        (f"{new_balance} = 0D", 0.005),
+    ]
+    return clip(" + ".join(["0.012D", *[f"IF({when}, {points}D, 0D)" for when, points in rules]]), 0, 0.25)
 
 
 def boosted_amount(type_: Column, amount: Column, draw: Column) -> Column:

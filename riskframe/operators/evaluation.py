@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,30 +50,32 @@ def threshold_sweep(
 ) -> DataFrame:
     """Confusion counts and ratios at every grid threshold from one scan.
 
-    ``reached`` is the number of thresholds a score passes, found by comparing with
-    the literal grid values.  Counting rows per ``reached`` leaves at most
+    ``reached`` is the number of thresholds a score passes, found by a search in the
+    literal grid values.  Counting rows per ``reached`` leaves at most
     ``len(grid) + 1`` rows per group, from which every threshold is answered.
     """
     grid = sorted(grid)
-    reached = F.lit(0)
-    for t in grid:
-        reached = reached + F.coalesce((F.col(score) >= F.lit(t)).cast("int"), F.lit(0))
-    steps = scored.groupBy(*by, reached.alias("reached")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    values = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    splits = Bucketizer(
+        splits=[float("-inf"), *grid, float("inf")], inputCol="value", outputCol="reached", handleInvalid="keep"
+    )
+    reached = F.least(F.col("reached").cast("int"), F.lit(len(grid)))  # NaN ranks above every number
+    steps = (
+        splits.transform(scored.select(*by, F.col(label).alias("label"), values.alias("value")))
+        .groupBy(*by, reached.alias("reached"))
+        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     )
     if not by:  # an empty input still answers every threshold
-        nothing = scored.sparkSession.range(1).select(
-            F.lit(0).alias("reached"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg")
-        )
+        nothing = scored.sparkSession.range(1).selectExpr("0 AS reached", "0L AS pos", "0L AS neg")
         steps = steps.unionByName(nothing)
-    thresholds = F.array(*[F.struct(F.lit(i + 1).alias("level"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])
-    passed = F.col("reached") >= F.col("level")
+    thresholds = F.posexplode(F.lit(grid)).alias("level", "threshold")
+    passed = F.col("reached") > F.col("level")
 
     def total(column: str, condition: Column) -> Column:
         return F.sum(F.when(condition, F.col(column)).otherwise(F.lit(0)))
 
     counts = (
-        steps.select(*by, "reached", "pos", "neg", F.inline(thresholds))
+        steps.select(*by, "reached", "pos", "neg", thresholds)
         .groupBy(*by, "threshold")
         .agg(
             total("pos", passed).alias("tp"),
@@ -91,7 +94,7 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sweep.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
-def curve_points(scored: DataFrame, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+def curve_points(scored: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """ROC and precision-recall coordinates of every distinct score and of the score above it."""
     curve = score_curve(scored, tuple(by), buckets)
     negatives = F.col("total") - F.col("positives")
@@ -124,7 +127,7 @@ def _step_area() -> Column:
     return F.coalesce(F.sum((F.col("recall") - F.col("recall0")) * F.col("precision")), F.lit(0.0))
 
 
-def curve_areas(scored: DataFrame, by: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
+def curve_areas(scored: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """roc_auc (null where one class is absent), pr_auc (trapezoid) and average_precision (steps)."""
     return (
         curve_points(scored, by, buckets)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import slot_name
 from riskframe.operators.training import score_column
+from riskframe.session import spread
 
 
 def top_by_magnitude(values: DataFrame, n: int) -> DataFrame:
@@ -85,13 +86,14 @@ def coalition_values(
     coalitions = F.array(
         *[F.struct(F.lit(m).alias("mask"), F.array(*[F.lit(int(b)) for b in bits]).alias("bits")) for m, bits in enumerate(masks)]
     )
-    spread = (
-        rows.select(id_col, F.col("x").alias("own"), background_array(background, background_n).alias("others"))
+    expanded = (
+        spread(rows.select(id_col, F.col("x").alias("own")), id_col)
+        .select(id_col, "own", background_array(background, background_n).alias("others"))
         .select(id_col, "own", "others", F.inline(coalitions))
         .select(id_col, "own", "mask", "bits", F.explode("others").alias("other"))
     )
     mixed = F.transform("own", lambda v, i: F.when(F.col("bits")[i] == 1, v).otherwise(F.col("other")[i]))
-    scored = scorer(spread.select(id_col, "mask", mixed.alias("x")))
+    scored = scorer(expanded.select(id_col, "mask", mixed.alias("x")))
     return scored.groupBy(id_col, "mask").agg(F.avg("p").alias("value"))
 
 
@@ -193,8 +195,9 @@ def shap_permutation(
             for k, order in orders
         ]
     )
-    spread = (
-        rows.select(id_col, F.col("x").alias("own"), background_array(background, pairs).alias("others"))
+    expanded = (
+        spread(rows.select(id_col, F.col("x").alias("own")), id_col)
+        .select(id_col, "own", background_array(background, pairs).alias("others"))
         .select(id_col, "own", "others", F.inline(walks))
         .select(
             id_col, "own", "order", "rank",
@@ -203,7 +206,7 @@ def shap_permutation(
         )
     )
     mixed = F.transform("own", lambda v, i: F.when(F.col("rank")[i] < F.col("step"), v).otherwise(F.col("other")[i]))
-    scored = scorer(spread.select(id_col, "order", "step", mixed.alias("x")))
+    scored = scorer(expanded.select(id_col, "order", "step", mixed.alias("x")))
     entered = F.struct(F.get("order", F.col("step") - 1).alias("slot"), F.col("p").alias("change"))
     enters_next = F.struct(F.get("order", F.col("step")).alias("slot"), (-F.col("p")).alias("change"))
     changes = scored.select(id_col, F.inline(F.array(entered, enters_next))).where(F.col("slot").isNotNull())
@@ -254,21 +257,21 @@ def lime_local(
         return F.array(*[F.array(*[F.lit(float(v)) for v in inner]) for inner in lists])
 
     shares = [np.cumsum(np.array(b["n"]) / sum(b["n"]))[:-1] for b in bins]
-    tables = rows.select(
+    tables = spread(rows.select(id_col, F.col("x").alias("own")), id_col).select(
         id_col,
-        F.col("x").alias("own"),
+        "own",
         doubles(shares).cast("array<array<double>>").alias("cum"),
         doubles([b["low"] for b in bins]).alias("low"),
         doubles([b["high"] for b in bins]).alias("high"),
     )
-    spread = tables.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    neighbours = tables.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
 
     def draw(i: Column, purpose: int) -> Column:
         code = F.xxhash64(F.col(id_col), F.col("sample"), i, F.lit(purpose), F.lit(seed))
         return F.pmod(code, F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
 
     slots = F.sequence(F.lit(0), F.lit(width - 1))
-    picked = spread.withColumn(
+    picked = neighbours.withColumn(
         "bin", F.transform(slots, lambda i: F.size(F.filter(F.col("cum")[i], lambda c: c <= draw(i, 1))))
     )
     own_bin = F.transform(

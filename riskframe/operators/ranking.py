@@ -99,14 +99,19 @@ def numbered(df: DataFrame, id_col: str, purpose: str, name: str = "index") -> D
     )
 
 
-def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def split_hot(
+    df: DataFrame, key: str, hot_rows: int = HOT_ROWS, survey: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of keys holding more than ``hot_rows`` rows).
 
+    ``survey`` may name a cheaper table to count the keys in, such as the raw scan
+    below ``df``.
+
     The list of hot keys only routes rows, so bounding it is safe: a key past the
     bound takes the ordinary way and comes out the same.
     """
     hot = (
-        df.groupBy(F.col(key).alias("hot_key"))
+        (df if survey is None else survey).groupBy(F.col(key).alias("hot_key"))
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > hot_rows)
         .orderBy(F.desc("n"), "hot_key")
@@ -145,7 +150,8 @@ def rank_hot(df: DataFrame, key: str, order: str, id_col: str, chunk_ids: int =
 
 
 def score_curve(
-    scored: DataFrame, by: tuple[str, ...] = (), buckets: int = 1024, label: str = "label", score: str = "score"
+    scored: DataFrame, by: tuple[str, ...] = (), buckets: int | None = None, label: str = "label",
+    score: str = "score",
 ) -> DataFrame:
     """Running counts at every distinct score, highest first.
 
@@ -153,9 +159,12 @@ def score_curve(
     and rows at or above it), positives and total (of the group).  Rows are
     aggregated per score first, so tied scores cost one row.  The distinct scores
     are then cut at approximate quantiles; the cut points balance the tasks and
-    have no influence on the result.
+    have no influence on the result.  ``buckets`` follows the shuffle partitions
+    where it is not given.
     """
     keys = list(by)
+    if buckets is None:
+        buckets = max(32, min(4096, 4 * int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     per_score = scored.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
@@ -200,4 +209,5 @@ def _bucketed(per_score: DataFrame, bounds: list[float]) -> DataFrame:
     if len(splits) < 3:
         return per_score.withColumn("bucket", F.lit(0))
     cut = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep")
-    return cut.transform(per_score).withColumn("bucket", F.col("bucket").cast("int"))
+    # Known not to be null, so that joining on it puts no filter before the aggregation.
+    return cut.transform(per_score).withColumn("bucket", F.coalesce(F.col("bucket").cast("int"), F.lit(-1)))

@@ -50,16 +50,18 @@ def build_sequences(
     id_col: str = "tx_id",
     label: str = "isFraud",
     hot_rows: int = HOT_ROWS,
+    survey: DataFrame | None = None,
 ) -> DataFrame:
     """(account, win_id, type_seq, amount_seq, oldbalanceOrg_seq, newbalanceOrg_seq, label).
 
     Ordinary accounts need one shuffle: the grouping by (account, win_id) runs on the
     window's own partitioning.  Accounts above ``hot_rows`` are ranked in chunks and
-    regrouped by window, so their rows spread over many tasks.
+    regrouped by window, so their rows spread over many tasks.  Categories and account
+    sizes are looked up in ``survey`` where a cheaper table than ``df`` holds both.
     """
     columns = [key, order, id_col, "type", *VALUE_COLUMNS, label]
-    encoded = dict_encode(df.select(*columns), "type", "type_idx")
-    ordinary, hot = split_hot(encoded, key, hot_rows)
+    encoded = dict_encode(df.select(*columns), "type", "type_idx", source=survey)
+    ordinary, hot = split_hot(encoded, key, hot_rows, survey)
     parts = [rank_ordinary(ordinary, key, order, id_col), rank_hot(hot, key, order, id_col)]
     first, second = (_windows(p, key, seq_len, label) for p in parts)
     return first.unionByName(second)

@@ -10,7 +10,7 @@ from riskframe.operators import encoding
 from riskframe.operators.reporting import MODEL_NAMES, with_display_name
 from riskframe.plans.registry import query
 from riskframe.plans.sql import models_sql, ratio, scored_sql, tx_sql
-from riskframe.sources.transactions import scored, scored_models, table, transactions
+from riskframe.sources.transactions import activity, scored, scored_models, table, transactions
 
 RAW_COLUMNS = ["nameOrig", "step", "type", "amount", "oldbalanceOrg", "newbalanceOrg", "isFraud"]
 
@@ -194,7 +194,7 @@ SELECT tx_id, type, round(amount * (1e0 + CASE WHEN type = 'TRANSFER' THEN 1e0 +
 )
 def amount_boost(spark, sf_dir):
     boosted = c.boosted_amount(F.col("type"), F.col("amount"), uniform("tx_id", "boost"))
-    return transactions(spark, sf_dir).select("tx_id", "type", boosted.alias("boosted"))
+    return activity(spark, sf_dir).select("tx_id", "type", boosted.alias("boosted"))
 
 
 @query("risk_rules", tx_sql("SELECT tx_id, type, amount, newbalanceOrg, risk, isFraud FROM tx"))
@@ -207,7 +207,7 @@ def risk_rules(spark, sf_dir):
     tx_sql("SELECT tx_id, amount * 100e0 AS amount, CAST(amount * 100e0 > 200000e0 AS INTEGER) AS isFlaggedFraud FROM tx"),
 )
 def flag_rule(spark, sf_dir):
-    cents = transactions(spark, sf_dir).select("tx_id", (F.col("amount") * F.lit(100.0)).alias("amount"))
+    cents = activity(spark, sf_dir).select("tx_id", (F.col("amount") * F.lit(100.0)).alias("amount"))
     return cents.withColumn("isFlaggedFraud", (F.col("amount") > F.lit(200000.0)).cast("int"))
 
 
@@ -223,7 +223,7 @@ SELECT tx_id, CASE WHEN u < 0.45e0 THEN 'PAYMENT' WHEN u < 0.57e0 THEN 'TRANSFER
     ),
 )
 def weighted_category(spark, sf_dir):
-    return transactions(spark, sf_dir).select(
+    return activity(spark, sf_dir).select(
         "tx_id",
         c.weighted_pick(uniform("tx_id", "category"), c.TYPES, c.TYPE_WEIGHTS).alias("type"),
         c.uniform_pick(residue("tx_id", "category"), c.MERCHANTS).alias("merchant"),
@@ -232,7 +232,7 @@ def weighted_category(spark, sf_dir):
 
 @query("account_ids", tx_sql("SELECT tx_id, nameOrig, nameDest FROM tx"))
 def account_ids(spark, sf_dir):
-    return transactions(spark, sf_dir).select("tx_id", "nameOrig", "nameDest")
+    return activity(spark, sf_dir).select("tx_id", "nameOrig", "nameDest")
 
 
 _NAME_VALUES = ", ".join(f"('{code}', '{name}')" for code, name in MODEL_NAMES.items())
@@ -263,7 +263,7 @@ SELECT tx_id, CAST(i AS INTEGER) AS slot, CASE WHEN tx_id % 8 = i THEN amount EL
 )
 def vector_densify(spark, sf_dir):
     """Sparse vectors, and every third row dense, give the same arrays."""
-    tx = transactions(spark, sf_dir).select(
+    tx = activity(spark, sf_dir).select(
         "tx_id",
         *[F.when(F.col("tx_id") % 8 == i, F.col("amount")).otherwise(F.lit(0.0)).alias(f"m{i}") for i in range(8)],
     )

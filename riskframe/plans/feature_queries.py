@@ -9,7 +9,7 @@ from riskframe.operators import features, sampling
 from riskframe.operators.features import NUMERIC
 from riskframe.plans.registry import query
 from riskframe.plans.sql import tx_sql
-from riskframe.sources.transactions import transactions
+from riskframe.sources.transactions import activity, transactions
 
 _SPLIT = (
     f"CASE WHEN {uniform_sql('tx_id', 'split')} < 0.7e0 THEN 'train' "
@@ -45,7 +45,7 @@ FROM tx LEFT JOIN {_index_sql('type', 'known')} t ON t.v = type
 )
 def string_index(spark, sf_dir):
     """Fitted without DEBIT rows, so that applying it meets an unseen category."""
-    tx = transactions(spark, sf_dir).select("tx_id", "type", "merchant")
+    tx = activity(spark, sf_dir).select("tx_id", "type", "merchant")
     indexer = StringIndexer(
         inputCols=["type", "merchant"], outputCols=["type_idx", "merchant_idx"], handleInvalid="keep"
     )
@@ -63,7 +63,7 @@ FROM tx LEFT JOIN {_index_sql('type', 'known')} t ON t.v = type, slots"""
 )
 def one_hot(spark, sf_dir):
     indexer = StringIndexer(inputCol="type", outputCol="type_idx", handleInvalid="keep")
-    tx = transactions(spark, sf_dir).select("tx_id", "type")
+    tx = activity(spark, sf_dir).select("tx_id", "type")
     indexed = indexer.fit(tx.where(F.col("type") != "DEBIT")).transform(tx)
     encoder = OneHotEncoder(inputCols=["type_idx"], outputCols=["type_ohe"], handleInvalid="keep")
     encoded = encoder.fit(indexed).transform(indexed)
@@ -160,10 +160,10 @@ def stratified_split(spark, sf_dir):
 
 @query(
     "fixed_size_sample",
-    tx_sql(f"SELECT tx_id, isFraud FROM tx ORDER BY {residue_sql('tx_id', 'foreground')}, tx_id LIMIT 200"),
+    tx_sql(f"SELECT tx_id, type, amount FROM tx ORDER BY {residue_sql('tx_id', 'foreground')}, tx_id LIMIT 200"),
 )
 def fixed_size_sample(spark, sf_dir):
-    return sampling.fixed_size_sample(transactions(spark, sf_dir).select("tx_id", "isFraud"), "tx_id", 200)
+    return sampling.fixed_size_sample(activity(spark, sf_dir).select("tx_id", "type", "amount"), "tx_id", 200)
 
 
 @query(

@@ -10,7 +10,7 @@ from riskframe.plans.evaluation_queries import rounded
 from riskframe.plans.feature_queries import split_transactions, train_part
 from riskframe.plans.registry import query
 from riskframe.plans.sequence_queries import _GAP, class_gap
-from riskframe.session import shared_folder
+from riskframe.session import shared_folder, spread
 from riskframe.sources.models import load_model, save_model
 from riskframe.sources.transactions import table
 
@@ -22,7 +22,7 @@ def vectors(spark, sf_dir):
     split = split_transactions(spark, sf_dir).withColumn("label", F.col("isFraud"))
     encoded = features.fit_features(train_part(split)).transform(split)
     weighted = encoding.with_class_weight(encoded, train=train_part(split))
-    return weighted.select("tx_id", "split", "features", "label", "weight")
+    return spread(weighted.select("tx_id", "split", "features", "label", "weight"), "tx_id")
 
 
 def part(df, split):

@@ -108,25 +108,24 @@ SELECT merchant, type, upper(model) AS model, printf('%.2f', best) AS threshold,
 FROM coded JOIN deep_best USING (merchant, type) WHERE model = 'mlp'"""
 
 
-def spark_part(spark, sf_dir):
-    return rp.spark_rows(evaluated(spark, sf_dir), SEGMENTS)
-
-
-def deep_part(spark, sf_dir):
-    deep = coded(spark, sf_dir).where(F.col("model") == "mlp")
-    keys = [*SEGMENTS, "model"]
-    best = ev.best_threshold(ev.threshold_sweep(deep, ev.GRID_19, keys), keys)
-    return rp.deep_rows(ev.evaluate_models(deep, keys), best, SEGMENTS)
+def both_parts(spark, sf_dir):
+    """(rows of the distributed models, rows of the neural one) from one evaluation."""
+    keys = ["model", *SEGMENTS]
+    scores = coded(spark, sf_dir)
+    metrics = ev.evaluate_models(scores, keys)
+    neural = F.col("model") == "mlp"
+    best = ev.best_threshold(ev.threshold_sweep(scores.where(neural), ev.GRID_19, keys), keys)
+    return rp.spark_rows(metrics, SEGMENTS), rp.deep_rows(metrics.where(neural), best, SEGMENTS)
 
 
 @query("comparison_spark_rows", report_sql(_SPARK_ROWS))
 def comparison_spark_rows(spark, sf_dir):
-    return rounded(spark_part(spark, sf_dir), *_RATED)
+    return rounded(rp.spark_rows(evaluated(spark, sf_dir), SEGMENTS), *_RATED)
 
 
 @query("comparison_dl_rows", report_sql(_BEST_VIEWS + _DEEP_ROWS))
 def comparison_dl_rows(spark, sf_dir):
-    return rounded(deep_part(spark, sf_dir), *_RATED)
+    return rounded(both_parts(spark, sf_dir)[1], *_RATED)
 
 
 _UNION = f"""
@@ -140,7 +139,7 @@ _UNION = f"""
 
 @query("overview_union", report_sql(_BEST_VIEWS + _UNION + " SELECT * FROM both_parts"))
 def overview_union(spark, sf_dir):
-    return rounded(rp.overview(spark_part(spark, sf_dir), deep_part(spark, sf_dir)), *_RATED)
+    return rounded(rp.overview(*both_parts(spark, sf_dir)), *_RATED)
 
 
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in rp.MODEL_NAMES.items())
@@ -156,7 +155,7 @@ _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in rp.MODEL_NAMES.items())
     ),
 )
 def comparison_overview(spark, sf_dir):
-    table = rp.overview(spark_part(spark, sf_dir), deep_part(spark, sf_dir))
+    table = rp.overview(*both_parts(spark, sf_dir))
     return rounded(rp.with_display_name(table), *_RATED)
 
 
@@ -169,5 +168,5 @@ def comparison_overview(spark, sf_dir):
     ),
 )
 def final_comparison(spark, sf_dir):
-    table = rp.overview(spark_part(spark, sf_dir), deep_part(spark, sf_dir))
+    table = rp.overview(*both_parts(spark, sf_dir))
     return rounded(table.select(*SEGMENTS, "model", *rp.COMPARISON), *_RATED)

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.keyed import residue_sql
 from riskframe.operators import encoding, features
+from riskframe.operators.sampling import three_way_split
 from riskframe.plans.feature_queries import _SPLIT, _TRAIN, split_transactions, train_part
 from riskframe.plans.registry import query
 from riskframe.plans.sql import ratio, scored_sql, tx_sql
 from riskframe.session import shared_folder
 from riskframe.sources import files
-from riskframe.sources.transactions import TRANSACTION_SCHEMA, scored, table, transactions
+from riskframe.sources.transactions import TRANSACTION_SCHEMA, activity, scored, table, transactions
 
 RAW = TRANSACTION_SCHEMA.fieldNames()
 
@@ -45,7 +46,7 @@ def parquet_scan(spark, sf_dir):
 def parquet_multi_scan(spark, sf_dir):
     """Two of three folders by name, read in depth through a file pattern."""
     path = shared_folder(spark)
-    split = split_transactions(spark, sf_dir).select("tx_id", "amount", "split")
+    split = three_way_split(activity(spark, sf_dir), "tx_id").select("tx_id", "amount", "split")
     split.write.partitionBy("split").parquet(path)
     return files.scan_parquet(
         spark, f"{path}/split=train", f"{path}/split=valid", glob="*.parquet", recursive=True

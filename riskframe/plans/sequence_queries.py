@@ -8,14 +8,16 @@ from riskframe.operators import encoding, explain, reporting, sequences
 from riskframe.operators.features import CATEGORICAL, NUMERIC
 from riskframe.plans.registry import query
 from riskframe.plans.sql import models_sql, ratio, seq_sql, tx_sql
-from riskframe.sources.transactions import scored_models, table, transactions
+from riskframe.sources.transactions import activity, scored_models, table, transactions
 
 SEQ_LEN = 20
 VALUE_SEQS = [f"{v}_seq" for v in sequences.VALUE_COLUMNS]
 
 
 def seq(spark, sf_dir):
-    return sequences.build_sequences(transactions(spark, sf_dir), SEQ_LEN)
+    return sequences.build_sequences(
+        transactions(spark, sf_dir), SEQ_LEN, survey=activity(spark, sf_dir)
+    )
 
 
 def elements(df, *arrays):
@@ -36,7 +38,7 @@ SELECT tx_id, type, CAST(coalesce(code, 0) AS INTEGER) AS type_idx FROM tx LEFT
 )
 def dict_encode(spark, sf_dir):
     """Codes from the table without CASH_IN, so that one value is unknown when applied."""
-    tx = transactions(spark, sf_dir).select("tx_id", "type")
+    tx = activity(spark, sf_dir).select("tx_id", "type")
     return encoding.dict_encode(tx, "type", "type_idx", source=tx.where(F.col("type") != "CASH_IN"))
 
 
@@ -47,12 +49,12 @@ def dict_encode(spark, sf_dir):
     ),
 )
 def txn_rank(spark, sf_dir):
-    return sequences.txn_rank(transactions(spark, sf_dir).select("tx_id", "nameOrig", "step"))
+    return sequences.txn_rank(activity(spark, sf_dir).select("tx_id", "nameOrig", "step"))
 
 
 @query("count_window_id", seq_sql("SELECT tx_id, nameOrig, rn, win_id FROM wins"))
 def count_window_id(spark, sf_dir):
-    ranked = sequences.txn_rank(transactions(spark, sf_dir).select("tx_id", "nameOrig", "step"))
+    ranked = sequences.txn_rank(activity(spark, sf_dir).select("tx_id", "nameOrig", "step"))
     return sequences.with_window_id(ranked, SEQ_LEN).select("tx_id", "nameOrig", "rn", "win_id")
 
 
@@ -132,7 +134,7 @@ def fraud_rate(spark, sf_dir):
 
 @query("distinct_types", tx_sql("SELECT DISTINCT type FROM tx"))
 def distinct_types(spark, sf_dir):
-    return transactions(spark, sf_dir).select("type").distinct()
+    return activity(spark, sf_dir).select("type").distinct()
 
 
 @query(
@@ -158,7 +160,7 @@ def preprocess_meta(spark, sf_dir):
     tx_sql("SELECT tx_id, step, type, amount FROM tx ORDER BY amount DESC, tx_id LIMIT 200"),
 )
 def first_n_rows(spark, sf_dir):
-    tx = transactions(spark, sf_dir).select("tx_id", "step", "type", "amount")
+    tx = activity(spark, sf_dir).select("tx_id", "step", "type", "amount")
     return tx.orderBy(F.desc("amount"), "tx_id").limit(200)
 
 

@@ -48,3 +48,13 @@ def checkpointed(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def spread(df, key: str):
+    """``df`` hashed by ``key`` over all cores where it reads fewer files than there are cores.
+
+    For work that multiplies each row many times.  A table of many files already has
+    enough tasks and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df._jdf.inputFiles()) < cores else df

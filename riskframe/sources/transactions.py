@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.columns import MERCHANTS, clip, risk, uniform_pick
+from riskframe.functions.columns import MERCHANTS, clip, risk
 
 TRANSACTION_SCHEMA = T.StructType(
     [
@@ -32,79 +32,90 @@ EVENT_TO_TYPE = {
     "signup": "DEBIT",
 }
 
+# Declared so that opening a table reads no file footers.
+TABLE_SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_uniform(id_col, multiplier: int, offset: int):
+def _small_uniform(multiplier: int, offset: int) -> str:
     """The fixture draw ((id * multiplier + offset) % 10007) / 10007."""
-    key = (F.pmod(F.col(id_col), F.lit(10007)) * F.lit(multiplier) + F.lit(offset)) % F.lit(10007)
-    return key.cast("double") / F.lit(10007.0)
+    return f"CAST((pmod(tx_id, 10007) * {multiplier} + {offset}) % 10007 AS DOUBLE) / 10007D"
+
+
+_TYPE = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{t}'" for e, t in EVENT_TO_TYPE.items()) + " END"
+_MERCHANT = "element_at(array(" + ", ".join(f"'{m}'" for m in MERCHANTS) + "), CAST(pmod(event_id, 8) AS INT) + 1)"
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transaction columns that come from the events alone; no join."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS tx_id",
+        "CAST(date_diff(CAST(ts AS DATE), DATE'2024-01-01') * 24 + hour(ts) + 1 AS INT) AS step",
+        f"{_TYPE} AS type",
+        "round(value * 8, 2) AS amount",
+        "concat('C', CAST(user_id AS STRING)) AS nameOrig",
+        "concat('M', CAST(event_id % 10 + 1 AS STRING)) AS nameDest",
+        f"{_MERCHANT} AS merchant",
+        "user_id",
+        "event_id % 10 + 1 AS payee",
+    )
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event, with the account and merchant balances joined in."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     payers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     # Ten supplier keys are ever asked for and the key is unique: at most ten rows.
     payees = F.broadcast(
-        table(spark, sf_dir, "supplier").where(F.col("s_suppkey").between(1, 10)).select("s_suppkey", "s_acctbal")
-    )
-    type_ = F.create_map(*[F.lit(x) for pair in EVENT_TO_TYPE.items() for x in pair])[F.col("event_type")]
-    hours = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")
-
-    base = (
-        events.withColumn("payee", F.col("event_id") % 10 + 1)
-        .join(payees, F.col("payee") == F.col("s_suppkey"), "left")
-        .join(payers, F.col("user_id") == F.col("c_custkey"), "left")
-        .select(
-            F.col("event_id").alias("tx_id"),
-            (hours + 1).cast("int").alias("step"),
-            type_.alias("type"),
-            F.round(F.col("value") * 8, 2).alias("amount"),
-            F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig"),
-            clip(F.coalesce("c_acctbal", F.lit(0.0)), 0.0, 10000.0).alias("oldbalanceOrg"),
-            F.concat(F.lit("M"), F.col("payee").cast("string")).alias("nameDest"),
-            clip(F.coalesce("s_acctbal", F.lit(0.0)), 0.0, 20000.0).alias("oldbalanceDest"),
-            uniform_pick(F.col("event_id"), MERCHANTS).alias("merchant"),
-        )
-    )
-    balanced = base.select(
-        "tx_id", "step", "type", "amount", "nameOrig", "oldbalanceOrg",
-        F.greatest(F.col("oldbalanceOrg") - F.col("amount"), F.lit(0.0)).alias("newbalanceOrg"),
-        "nameDest", "oldbalanceDest",
-        (F.col("oldbalanceDest") + F.col("amount")).alias("newbalanceDest"),
-        "merchant",
+        table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 10").select("s_suppkey", "s_acctbal")
     )
     return (
-        balanced.withColumn("risk", risk(F.col("type"), F.col("amount"), F.col("newbalanceOrg")))
-        .withColumn("u1", small_uniform("tx_id", 7919, 17))
-        .withColumn("u2", small_uniform("tx_id", 104729, 7))
-        .withColumn("isFraud", (F.col("u1") < F.col("risk")).cast("int"))
-        .withColumn("isFlaggedFraud", (F.col("amount") > F.lit(200000.0)).cast("int"))
+        activity(spark, sf_dir)
+        .join(payees, F.expr("payee = s_suppkey"), "left")
+        .join(payers, F.expr("user_id = c_custkey"), "left")
+        .selectExpr(
+            "tx_id", "step", "type", "amount", "nameOrig", "nameDest", "merchant",
+            f"{clip('coalesce(c_acctbal, 0D)', 0, 10000)} AS oldbalanceOrg",
+            f"{clip('coalesce(s_acctbal, 0D)', 0, 20000)} AS oldbalanceDest",
+        )
+        .selectExpr(
+            "tx_id", "step", "type", "amount", "nameOrig", "oldbalanceOrg",
+            "greatest(oldbalanceOrg - amount, 0D) AS newbalanceOrg",
+            "nameDest", "oldbalanceDest", "oldbalanceDest + amount AS newbalanceDest", "merchant",
+        )
+        .selectExpr(
+            "*",
+            f"{risk('type', 'amount', 'newbalanceOrg')} AS risk",
+            f"{_small_uniform(7919, 17)} AS u1",
+            f"{_small_uniform(104729, 7)} AS u2",
+        )
+        .selectExpr("*", "CAST(u1 < risk AS INT) AS isFraud", "CAST(amount > 200000D AS INT) AS isFlaggedFraud")
     )
 
 
-def rule_score():
-    return F.least(F.lit(1.0), F.lit(10.0) * F.col("risk") + F.lit(0.5) * F.col("u2"))
+_RULE_SCORE = "least(1D, 10D * risk + 0.5D * u2)"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tx_id, label, score) of the rule model."""
-    return transactions(spark, sf_dir).select("tx_id", F.col("isFraud").alias("label"), rule_score().alias("score"))
+    return transactions(spark, sf_dir).selectExpr("tx_id", "isFraud AS label", f"{_RULE_SCORE} AS score")
 
 
 def scored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three score columns of one scan in long form: (model, tx_id, merchant, type, label, score)."""
-    by_model = F.array(
-        F.struct(F.lit("rule").alias("model"), rule_score().alias("score")),
-        F.struct(F.lit("noise").alias("model"), F.col("u2").alias("score")),
-        F.struct(
-            F.lit("amount").alias("model"),
-            F.least(F.lit(1.0), F.col("amount") / F.lit(4000.0)).alias("score"),
-        ),
+    by_model = (
+        f"inline(array(struct('rule' AS model, {_RULE_SCORE} AS score), struct('noise' AS model, u2 AS score), "
+        "struct('amount' AS model, least(1D, amount / 4000D) AS score)))"
     )
-    return transactions(spark, sf_dir).select(
-        F.inline(by_model), "tx_id", "merchant", "type", F.col("isFraud").alias("label")
-    ).select("model", "tx_id", "merchant", "type", "label", "score")
+    long = transactions(spark, sf_dir).selectExpr(by_model, "tx_id", "merchant", "type", "isFraud AS label")
+    return long.select("model", "tx_id", "merchant", "type", "label", "score")
