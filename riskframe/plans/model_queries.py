@@ -11,6 +11,7 @@ from riskframe.plans.feature_queries import split_transactions, train_part
 from riskframe.plans.registry import query
 from riskframe.plans.sequence_queries import _GAP, class_gap
 from riskframe.session import shared_folder, spread
+from riskframe.sources import files
 from riskframe.sources.models import load_model, save_model
 from riskframe.sources.transactions import table
 
@@ -18,11 +19,19 @@ WIDTH = 21
 
 
 def vectors(spark, sf_dir):
-    """(tx_id, split, features, label, weight) with everything fitted on the train split."""
+    """(tx_id, features, label, weight, split) written once, then read as often as a fit needs.
+
+    Everything is fitted on the train split.  The written table spares every pass of
+    a fit the joins and the encoding, survives lost executors and lets one split be
+    read without the others.
+    """
     split = split_transactions(spark, sf_dir).withColumn("label", F.col("isFraud"))
     encoded = features.fit_features(train_part(split)).transform(split)
     weighted = encoding.with_class_weight(encoded, train=train_part(split))
-    return spread(weighted.select("tx_id", "split", "features", "label", "weight"), "tx_id")
+    path = shared_folder(spark)
+    columns = ("tx_id", "features", "label", "weight")
+    files.write_splits(spread(weighted, "tx_id"), path, columns)
+    return spark.read.schema(weighted.select(*columns, "split").schema).parquet(path)
 
 
 def part(df, split):
@@ -53,9 +62,9 @@ def train_gbt(spark, sf_dir):
     return validated("gbt", training.train_gbt(part(data, "train")), part(data, "valid"))
 
 
-def fitted_mlp(data):
+def fitted_mlp(data, hidden=training.HIDDEN):
     train = sampling.oversample_minority(part(data, "train"), "tx_id", 0.1)
-    return training.train_mlp(train, WIDTH, maxIter=8)
+    return training.train_mlp(train, WIDTH, hidden, maxIter=8)
 
 
 @query("train_mlp")
@@ -92,7 +101,7 @@ def model_store(spark, sf_dir):
 def score_batched(spark, sf_dir):
     """Batch scores next to the scores of the model's own transform."""
     data = vectors(spark, sf_dir)
-    model = fitted_mlp(data)
+    model = fitted_mlp(data, (64, 32))
     own = model.transform(part(data, "test"))
     return own.select(
         "tx_id",
