@@ -134,16 +134,19 @@ def rank_hot(df: DataFrame, key: str, order: str, id_col: str, chunk_ids: int =
     Rows are ranked inside (account, order value, id chunk); ids are unique, so a
     chunk holds at most ``chunk_ids`` rows.  Offsets come from the chunk counts.
     """
-    rows = df.withColumn("chunk", F.floor(F.col(id_col) / F.lit(chunk_ids)))
-    chunks = rows.groupBy(key, order, "chunk").agg(F.count(F.lit(1)).alias("n"))
-    steps = chunks.groupBy(key, order).agg(F.sum("n").alias("n_step"))
-    steps = steps.select(key, order, F.coalesce(F.sum("n_step").over(_before(key, order=order)), F.lit(0)).alias("b0"))
+    chunk = F.floor(F.col(id_col) / F.lit(chunk_ids)).alias("chunk")
+    # Struct keys: a null account or step inside one still equals itself in a join.
+    rows = df.withColumn("unit", F.struct(key, order, chunk))
+    chunks = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    chunks = chunks.select("unit", F.struct(f"unit.{key}", f"unit.{order}").alias("at"), "unit.chunk", "n")
+    steps = chunks.groupBy("at").agg(F.sum("n").alias("n_step")).select("at", f"at.{key}", f"at.{order}", "n_step")
+    steps = steps.select("at", F.coalesce(F.sum("n_step").over(_before(key, order=order)), F.lit(0)).alias("b0"))
     offsets = chunks.select(
-        key, order, "chunk", F.coalesce(F.sum("n").over(_before(key, order, order="chunk")), F.lit(0)).alias("b1")
-    ).join(steps, [key, order])
-    inside = Window.partitionBy(key, order, "chunk").orderBy(id_col)
+        "unit", "at", F.coalesce(F.sum("n").over(_before("at", order="chunk")), F.lit(0)).alias("b1")
+    ).join(steps, "at")
+    inside = Window.partitionBy("unit").orderBy(id_col)
     return (
-        rows.join(offsets, [key, order, "chunk"])
+        rows.join(offsets, "unit")
         .withColumn("rn", (F.col("b0") + F.col("b1") + F.row_number().over(inside)).cast("long"))
         .select(*df.columns, "rn")
     )
