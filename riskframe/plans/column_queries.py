@@ -102,12 +102,12 @@ def prob_extract(spark, sf_dir):
 
 @query(
     "raw_to_prob",
-    scored_sql("SELECT tx_id, round(1e0 / (1e0 + exp(-(4e0 * score - 2e0))), 12) AS score FROM scored"),
+    scored_sql("SELECT tx_id, round(1e0 / (1e0 + exp(-(4e0 * score - 2e0))), 9) AS score FROM scored"),
 )
 def raw_to_prob(spark, sf_dir):
     margin = F.lit(4.0) * F.col("score") - F.lit(2.0)
     raw = scored(spark, sf_dir).select("tx_id", array_to_vector(F.array(-margin, margin)).alias("rawPrediction"))
-    return raw.select("tx_id", F.round(c.logistic(vector_to_array("rawPrediction")[1]), 12).alias("score"))
+    return raw.select("tx_id", F.round(c.logistic(vector_to_array("rawPrediction")[1]), 9).alias("score"))
 
 
 @query("binarise", scored_sql("SELECT tx_id, label, CAST(score >= 0.3e0 AS INTEGER) AS yhat FROM scored"))
@@ -135,14 +135,14 @@ def class_weight_column(spark, sf_dir):
 @query("stats_broadcast", tx_sql(
     """
 , s AS (SELECT avg(amount) AS mean_amount, CAST(count(*) AS BIGINT) AS n FROM tx)
-SELECT tx_id, round(amount / mean_amount, 9) AS amount_share, n FROM tx, s"""
+SELECT tx_id, round(amount / mean_amount, 6) AS amount_share, n FROM tx, s"""
 ))
 def stats_broadcast(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     stats = tx.agg(F.struct(F.avg("amount").alias("mean_amount"), F.count(F.lit(1)).alias("n")).alias("s")).scalar()
     return tx.select(
         "tx_id",
-        F.round(F.col("amount") / stats.getField("mean_amount"), 9).alias("amount_share"),
+        F.round(F.col("amount") / stats.getField("mean_amount"), 6).alias("amount_share"),
         stats.getField("n").alias("n"),
     )
 

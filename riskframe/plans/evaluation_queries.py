@@ -53,8 +53,7 @@ def threshold_cross(spark, sf_dir):
         f"""
 , grid(threshold) AS (VALUES {_values(ev.GRID_19)}),
 counts AS (SELECT threshold, {counts_at('threshold')} FROM scored, grid GROUP BY threshold)
-SELECT threshold, tp, fp, tn, fn, {ratios()} FROM counts
-ORDER BY {ratios().split(' AS recall, ')[1].rsplit(' AS f1', 1)[0]} DESC, threshold LIMIT 1"""
+SELECT * FROM (SELECT threshold, tp, fp, tn, fn, {ratios()} FROM counts) ORDER BY f1 DESC, threshold LIMIT 1"""
     ),
 )
 def best_threshold(spark, sf_dir):

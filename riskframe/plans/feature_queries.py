@@ -11,11 +11,11 @@ from riskframe.plans.registry import query
 from riskframe.plans.sql import tx_sql
 from riskframe.sources.transactions import activity, transactions
 
-_SPLIT = (
+SPLIT_SQL = (
     f"CASE WHEN {uniform_sql('tx_id', 'split')} < 0.7e0 THEN 'train' "
     f"WHEN {uniform_sql('tx_id', 'split')} < 0.85e0 THEN 'valid' ELSE 'test' END"
 )
-_TRAIN = f", split_tx AS (SELECT *, {_SPLIT} AS split FROM tx), train AS (SELECT * FROM split_tx WHERE split = 'train')"
+TRAIN_SQL = f", split_tx AS (SELECT *, {SPLIT_SQL} AS split FROM tx), train AS (SELECT * FROM split_tx WHERE split = 'train')"
 
 
 def split_transactions(spark, sf_dir):
@@ -76,7 +76,7 @@ def one_hot(spark, sf_dir):
         ", s AS (SELECT "
         + ", ".join(f"stddev_samp({n}) AS {n}_s" for n in NUMERIC)
         + " FROM tx) SELECT tx_id, "
-        + ", ".join(f"round({n} / {n}_s, 8) AS {n}" for n in NUMERIC)
+        + ", ".join(f"round({n} / {n}_s, 6) AS {n}" for n in NUMERIC)
         + " FROM tx, s"
     ),
 )
@@ -84,13 +84,13 @@ def scale_unit_std(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     fitted = features.fit_features(tx)
     scaled = fitted.transform(tx).select("tx_id", vector_to_array("num_scaled").alias("x"))
-    return scaled.select("tx_id", *[F.round(F.col("x")[i], 8).alias(n) for i, n in enumerate(NUMERIC)])
+    return scaled.select("tx_id", *[F.round(F.col("x")[i], 6).alias(n) for i, n in enumerate(NUMERIC)])
 
 
 @query(
     "assemble_features",
     tx_sql(
-        _TRAIN
+        TRAIN_SQL
         + ", s AS (SELECT "
         + ", ".join(f"stddev_samp({n}) AS {n}_s" for n in NUMERIC)
         + f""" FROM train),
@@ -102,35 +102,35 @@ SELECT tx_id, CAST(i AS INTEGER) AS slot, round(CASE
   WHEN i < 6 THEN CASE WHEN ti = i THEN 1e0 ELSE 0e0 END
   WHEN i < 15 THEN CASE WHEN mi = i - 6 THEN 1e0 ELSE 0e0 END """
         + " ".join(f"WHEN i = {15 + j} THEN {n} / {n}_s" for j, n in enumerate(NUMERIC))
-        + " END, 8) AS value FROM coded, s, slots"
+        + " END, 6) AS value FROM coded, s, slots"
     ),
 )
 def assemble_features(spark, sf_dir):
     split = split_transactions(spark, sf_dir)
     vectors = features.fit_features(train_part(split)).transform(split)
     return vectors.select("tx_id", F.posexplode(vector_to_array("features")).alias("slot", "value")).withColumn(
-        "value", F.round("value", 8)
+        "value", F.round("value", 6)
     )
 
 
 @query(
     "zscore_train_apply",
     tx_sql(
-        _TRAIN
+        TRAIN_SQL
         + ", s AS (SELECT "
         + ", ".join(f"avg({n}) AS {n}_m, stddev_pop({n}) AS {n}_s" for n in NUMERIC)
         + " FROM train) SELECT tx_id, split, "
-        + ", ".join(f"round(({n} - {n}_m) / ({n}_s + 1e-6), 8) AS {n}" for n in NUMERIC)
+        + ", ".join(f"round(({n} - {n}_m) / ({n}_s + 1e-6), 6) AS {n}" for n in NUMERIC)
         + " FROM split_tx, s"
     ),
 )
 def zscore_train_apply(spark, sf_dir):
     split = split_transactions(spark, sf_dir).select("tx_id", "split", *NUMERIC)
     scaled = features.zscore(split, NUMERIC, train_part(split))
-    return scaled.withColumns({n: F.round(n, 8) for n in NUMERIC})
+    return scaled.withColumns({n: F.round(n, 6) for n in NUMERIC})
 
 
-@query("three_way_split", tx_sql(f"SELECT tx_id, isFraud AS label, {_SPLIT} AS split FROM tx"))
+@query("three_way_split", tx_sql(f"SELECT tx_id, isFraud AS label, {SPLIT_SQL} AS split FROM tx"))
 def three_way_split(spark, sf_dir):
     return split_transactions(spark, sf_dir).select("tx_id", F.col("isFraud").alias("label"), "split")
 

@@ -9,7 +9,7 @@ from riskframe.operators import encoding, evaluation, explain, features, samplin
 from riskframe.plans.evaluation_queries import rounded
 from riskframe.plans.feature_queries import split_transactions, train_part
 from riskframe.plans.registry import query
-from riskframe.plans.sequence_queries import _GAP, class_gap
+from riskframe.plans.sequence_queries import GAP_SQL, class_gap
 from riskframe.session import shared_folder, spread
 from riskframe.sources import files
 from riskframe.sources.models import load_model, save_model
@@ -111,7 +111,7 @@ def score_batched(spark, sf_dir):
 
 
 # A weight per slot (the class gap of the embeddings) makes a linear model the SQL twin can hold.
-_LINEAR = _GAP + ", j AS (SELECT e.vec_id, e.label, e.i, e.value AS x, g.value AS w FROM e JOIN g USING (i))"
+_LINEAR = GAP_SQL + ", j AS (SELECT e.vec_id, e.label, e.i, e.value AS x, g.value AS w FROM e JOIN g USING (i))"
 
 
 def embedded(spark, sf_dir):
@@ -172,7 +172,7 @@ _MASKS = [[1 if (i + 1) * (m + 1) % 3 else 0 for i in range(64)] for m in range(
 b AS (SELECT i, avg(value) AS mean FROM e JOIN others USING (vec_id) GROUP BY i),
 masks AS (SELECT unnest(range(20)) AS mask)
 SELECT vec_id, CAST(mask AS INTEGER) AS mask,
-  round(sum(w * CASE WHEN (i + 1) * (mask + 1) % 3 <> 0 THEN x ELSE mean END), 8) AS value
+  round(sum(w * CASE WHEN (i + 1) * (mask + 1) % 3 <> 0 THEN x ELSE mean END), 6) AS value
 FROM j JOIN b USING (i), masks GROUP BY vec_id, mask""".replace("{draw}", residue_sql("vec_id", "background")),
 )
 def background_cross(spark, sf_dir):
@@ -185,7 +185,7 @@ def background_cross(spark, sf_dir):
 
     background = sampling.fixed_size_sample(rows, "vec_id", 50, "background")
     values = explain.coalition_values(rows.select("vec_id", "x"), "vec_id", background, 50, _MASKS, margin)
-    return rounded(values, "value", digits=8)
+    return rounded(values, "value", digits=6)
 
 
 def dense(df):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.keyed import residue_sql
 from riskframe.operators import encoding, features
 from riskframe.operators.sampling import three_way_split
-from riskframe.plans.feature_queries import _SPLIT, _TRAIN, split_transactions, train_part
+from riskframe.plans.feature_queries import SPLIT_SQL, TRAIN_SQL, split_transactions, train_part
 from riskframe.plans.registry import query
 from riskframe.plans.sql import ratio, scored_sql, tx_sql
 from riskframe.session import shared_folder
@@ -41,7 +41,7 @@ def parquet_scan(spark, sf_dir):
 
 @query(
     "parquet_multi_scan",
-    tx_sql(f"SELECT tx_id, amount FROM (SELECT *, {_SPLIT} AS split FROM tx) WHERE split IN ('train', 'valid')"),
+    tx_sql(f"SELECT tx_id, amount FROM (SELECT *, {SPLIT_SQL} AS split FROM tx) WHERE split IN ('train', 'valid')"),
 )
 def parquet_multi_scan(spark, sf_dir):
     """Two of three folders by name, read in depth through a file pattern."""
@@ -88,7 +88,7 @@ def bounded_scan(spark, sf_dir):
 @query(
     "split_sink",
     tx_sql(
-        _TRAIN
+        TRAIN_SQL
         + f"""
 , w AS (SELECT {ratio('greatest(count(*) FILTER (WHERE isFraud = 0), 1)', 'greatest(count(*) FILTER (WHERE isFraud = 1), 1)')}
         AS pos_weight FROM train)

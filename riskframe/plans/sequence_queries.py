@@ -83,13 +83,13 @@ _SEQ_COLUMNS = ["amount", "oldbalanceOrg", "newbalanceOrg"]
         ", s AS (SELECT "
         + ", ".join(f"avg({v}) AS {v}_m, stddev_pop({v}) AS {v}_s" for v in _SEQ_COLUMNS)
         + " FROM seq_rows) SELECT nameOrig, win_id, pos, label, "
-        + ", ".join(f"round(({v} - {v}_m) / ({v}_s + 1e-6), 8) AS {v}_seq" for v in _SEQ_COLUMNS)
+        + ", ".join(f"round(({v} - {v}_m) / ({v}_s + 1e-6), 6) AS {v}_seq" for v in _SEQ_COLUMNS)
         + " FROM seq_rows, s"
     ),
 )
 def zscore_sequences(spark, sf_dir):
     scaled = sequences.zscore_sequences(seq(spark, sf_dir).drop("type_seq"), VALUE_SEQS)
-    return elements(scaled, *VALUE_SEQS).withColumns({v: F.round(v, 8) for v in VALUE_SEQS})
+    return elements(scaled, *VALUE_SEQS).withColumns({v: F.round(v, 6) for v in VALUE_SEQS})
 
 
 @query(
@@ -200,7 +200,7 @@ def append_rows(spark, sf_dir):
 
 
 # Slot-wise statistics of the dense vectors; class 0 counts as the positive class.
-_SLOTS = """
+SLOTS_SQL = """
 WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS value, unnest(range(len(embedding))) AS i
            FROM embeddings)"""
 
@@ -217,14 +217,14 @@ def class_gap(spark, sf_dir):
     return slots(spark, sf_dir).groupBy("slot").agg(F.round(gap, 9).alias("value"))
 
 
-_GAP = _SLOTS + """,
+GAP_SQL = SLOTS_SQL + """,
 g AS (SELECT i, round(avg(value) FILTER (WHERE label = 0) - avg(value) FILTER (WHERE label <> 0), 9) AS value
       FROM e GROUP BY i)"""
 
 
 @query(
     "topk_coefficients",
-    _GAP + " SELECT 'f' || CAST(i AS VARCHAR) AS feature, value FROM g ORDER BY abs(value) DESC, i LIMIT 10",
+    GAP_SQL + " SELECT 'f' || CAST(i AS VARCHAR) AS feature, value FROM g ORDER BY abs(value) DESC, i LIMIT 10",
 )
 def topk_coefficients(spark, sf_dir):
     return explain.top_by_magnitude(class_gap(spark, sf_dir), 10)
@@ -232,7 +232,7 @@ def topk_coefficients(spark, sf_dir):
 
 @query(
     "topk_importances",
-    _GAP
+    GAP_SQL
     + " SELECT 'f' || CAST(i AS VARCHAR) AS feature, round(value * value, 9) AS value FROM g"
     + " ORDER BY round(value * value, 9) DESC, i LIMIT 20",
 )
@@ -243,7 +243,7 @@ def topk_importances(spark, sf_dir):
 
 @query(
     "mean_abs_by_feature",
-    _SLOTS
+    SLOTS_SQL
     + ", m AS (SELECT i, round(avg(CASE WHEN value < -2.5e0 THEN 0e0 ELSE abs(value) END), 9) AS value FROM e GROUP BY i)"
     + " SELECT 'f' || CAST(i AS VARCHAR) AS feature, value AS mean_abs FROM m ORDER BY value DESC, i LIMIT 20",
 )
