@@ -80,7 +80,7 @@ def _class_map(rows: DataFrame, value: str) -> Column:
     """One map value for the whole table; refuses more classes than a label can have."""
     entries = F.collect_list(F.struct("grp", value))
     checked = F.when(F.count(F.lit(1)) <= MAX_CLASSES, F.map_from_entries(entries)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_CLASSES} classes in the stratification column"))
+        F.raise_error(F.lit(f"more than {MAX_CLASSES} classes: rank them with many_classes=True"))
     )
     return rows.agg(checked.alias("m")).scalar()
 
@@ -99,6 +99,28 @@ def numbered(df: DataFrame, id_col: str, purpose: str, name: str = "index") -> D
     )
 
 
+def ranked_in_class(df: DataFrame, id_col: str, purpose: str, by: str) -> DataFrame:
+    """``df`` with ``rn`` (1-based, in draw order) and ``total`` per class, for any number of classes.
+
+    One shuffle on (class, draw bucket) serves the join with the offsets and the
+    ranking, so a class of any size spreads over its buckets.
+    """
+    unit = F.struct(F.col(by).alias("class"), F.shiftright(residue(id_col, purpose), BUCKET_SHIFT).alias("bucket"))
+    rows = df.withColumn("unit", unit).withColumn("draw", residue(id_col, purpose))
+    sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).select("unit", "unit.class", "unit.bucket", "n")
+    starts = sizes.select(
+        "unit",
+        F.coalesce(F.sum("n").over(_before("class", order="bucket")), F.lit(0)).alias("start"),
+        F.sum("n").over(Window.partitionBy("class")).alias("total"),
+    )
+    inside = Window.partitionBy("unit").orderBy("draw", id_col)
+    return (
+        rows.join(starts, "unit")
+        .withColumn("rn", F.col("start") + F.row_number().over(inside))
+        .select(*df.columns, "rn", "total")
+    )
+
+
 def split_hot(
     df: DataFrame, key: str, hot_rows: int = HOT_ROWS, survey: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -157,7 +157,19 @@ def test_splits_are_disjoint_complete_and_stable(spark):
     assert share == pytest.approx({"train": 0.7, "valid": 0.15, "test": 0.15}, abs=0.01)
 
 
-def test_too_many_classes_are_refused(spark):
-    df = spark.range(3000).select(F.col("id").alias("tx_id"), F.col("id").alias("label"))
-    with pytest.raises(Exception, match="classes"):
+def test_many_classes_take_the_other_way(spark):
+    df = spark.range(3000).select(F.col("id").alias("tx_id"), (F.col("id") % 1500).alias("label"))
+    with pytest.raises(Exception, match="many_classes"):
         sampling.stratified_split(df, "tx_id").collect()
+    parts = sampling.stratified_split(df, "tx_id", train=0.5, many_classes=True).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in parts} == {"train": 1500, "valid": 1500}
+
+
+def test_both_ways_choose_the_same_rows(spark):
+    rows = [(i, None if i % 11 == 0 else int(i % 4 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "tx_id long, label int")
+    a, b = (
+        {r["tx_id"]: r["part"] for r in sampling.stratified_split(df, "tx_id", many_classes=m).collect()}
+        for m in (False, True)
+    )
+    assert a == b and len(a) == 2000
