@@ -84,7 +84,10 @@ def coalition_values(
     only the averages are shuffled.
     """
     coalitions = F.array(
-        *[F.struct(F.lit(m).alias("mask"), F.array(*[F.lit(int(b)) for b in bits]).alias("bits")) for m, bits in enumerate(masks)]
+        *[
+            F.struct(F.lit(m).alias("mask"), F.lit([int(b) for b in bits]).alias("bits"))
+            for m, bits in enumerate(masks)
+        ]
     )
     expanded = (
         spread(rows.select(id_col, F.col("x").alias("own")), id_col)
@@ -161,10 +164,10 @@ def shap_kernel(
     gain, share = kernel_solution(masks, weights)
     base = scorer(background.limit(background_n).select("x")).agg(F.avg("p").alias("b")).scalar()
     values = coalition_values(rows, id_col, background, background_n, masks.tolist(), scorer)
-    per_mask = F.array(*[F.array(*[F.lit(float(g)) for g in column]) for column in gain.T])
+    per_mask = F.array(*[F.lit([float(g) for g in column]) for column in gain.T])
     from_masks = values.select(id_col, (F.col("value") - base).alias("d"), per_mask[F.col("mask")].alias("g"))
     own = scorer(rows.select(id_col, "x")).select(
-        id_col, (F.col("p") - base).alias("d"), F.array(*[F.lit(float(s)) for s in share]).alias("g")
+        id_col, (F.col("p") - base).alias("d"), F.lit([float(s) for s in share]).alias("g")
     )
     parts = from_masks.unionByName(own).select(id_col, "d", F.posexplode("g").alias("slot", "factor"))
     return parts.groupBy(id_col, "slot").agg(F.sum(F.col("d") * F.col("factor")).alias("phi"))
@@ -189,8 +192,8 @@ def shap_permutation(
         *[
             F.struct(
                 F.lit(k).alias("k"),
-                F.array(*[F.lit(int(s)) for s in order]).alias("order"),
-                F.array(*[F.lit(int(r)) for r in np.argsort(order)]).alias("rank"),
+                F.lit([int(s) for s in order]).alias("order"),
+                F.lit([int(r) for r in np.argsort(order)]).alias("rank"),
             )
             for k, order in orders
         ]
@@ -276,7 +279,9 @@ def lime_local(
     )
     own_bin = F.transform(
         slots,
-        lambda i: F.size(F.filter(F.slice(F.col("high")[i], 1, F.size(F.col("high")[i]) - 1), lambda h: h < F.col("own")[i])),
+        lambda i: F.size(
+            F.filter(F.slice(F.col("high")[i], 1, F.size(F.col("high")[i]) - 1), lambda h: h < F.col("own")[i])
+        ),
     )
     values = F.transform(
         slots,

@@ -2,12 +2,14 @@
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import with_label
 from riskframe.operators import encoding, evaluation, features, reporting, sampling, training
+from riskframe.operators import explain as attribution
 from riskframe.operators import sequences as seq
 from riskframe.sources import files
 from riskframe.sources.models import load_model, save_model
@@ -93,7 +95,34 @@ def sequences(spark: SparkSession, source: str, out_path: str, seq_len: int = 20
 
 
 def export(
-    spark: SparkSession, data_dir: str, models_dir: str, code: str, scores_path: str, split: str = "test"
+    spark: SparkSession, data_dir: str, models_dir: str, code: str, out_dir: str, split: str = "test",
+    sample_rows: int = 10_000,
 ) -> None:
-    """Scores of a saved model as CSV."""
-    files.export_scores(scored_split(spark, data_dir, models_dir, code, split), scores_path)
+    """Scores as CSV, a dense feature sample, and the parameters of a linear model."""
+    rows = files.read_split(spark, f"{data_dir}/splits", split)
+    model = load_model(spark, models_dir, code)
+    files.export_scores(training.score_model(model, rows), f"{out_dir}/scores")
+    files.export_feature_sample(rows, "tx_id", sample_rows, f"{out_dir}/sample")
+    if hasattr(model.stages[-1], "coefficients"):
+        files.write_documents(training.linear_parameters(spark, model), f"{out_dir}/parameters")
+
+
+def explain(
+    spark: SparkSession, data_dir: str, models_dir: str, code: str, out_path: str, split: str = "valid",
+    n_rows: int = 200, background_n: int = 100, n_masks: int = 100,
+) -> DataFrame:
+    """Kernel attributions of sampled rows, written as (tx_id, slot, phi); returns the slot ranking."""
+    model = load_model(spark, models_dir, code)
+
+    def sampled(part: str, n: int, purpose: str) -> DataFrame:
+        rows = files.read_split(spark, f"{data_dir}/splits", part)
+        return sampling.fixed_size_sample(rows, "tx_id", n, purpose).select(
+            "tx_id", vector_to_array("features").alias("x")
+        )
+
+    phi = attribution.shap_kernel(
+        sampled(split, n_rows, "foreground"), "tx_id", sampled("train", background_n, "background"),
+        model.stages[-1].numFeatures, attribution.model_scorer(model), background_n, n_masks,
+    )
+    phi.write.mode("overwrite").parquet(out_path)
+    return attribution.shap_summary(spark.read.parquet(out_path))

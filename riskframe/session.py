@@ -42,14 +42,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/riskframe/{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` through reliable storage, never executor-local."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def spread(df, key: str):
     """``df`` hashed by ``key`` over all cores where it reads fewer files than there are cores.
 
