@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MODULUS = 2147483647  # 2^31 - 1: products of two residues stay inside a BIGINT
+HIGH_BITS = 1000003  # keeps ids that differ above bit 31 apart
 
 # One multiplier and offset per purpose keeps the draws independent.
 PURPOSES = {
@@ -26,10 +27,12 @@ PURPOSES = {
 
 
 def residue(id_col, purpose: str) -> Column:
-    """Integer in [0, MODULUS): an affine step followed by a square."""
+    """Integer in [0, MODULUS): the id folded to 31 bits, an affine step, a square."""
     multiplier, offset = PURPOSES[purpose]
     id_col = F.col(id_col) if isinstance(id_col, str) else id_col
-    start = F.pmod(id_col.cast("long"), F.lit(MODULUS))
+    id_col = id_col.cast("long")
+    folded = F.pmod(id_col, F.lit(MODULUS)) + F.shiftright(id_col, 31) * F.lit(HIGH_BITS)
+    start = F.pmod(folded, F.lit(MODULUS))
     step = (start * F.lit(multiplier).cast("long") + F.lit(offset).cast("long")) % F.lit(MODULUS)
     return (step * step) % F.lit(MODULUS)
 
@@ -42,7 +45,8 @@ def uniform(id_col, purpose: str) -> Column:
 def residue_sql(id_expr: str, purpose: str) -> str:
     """The same draw as SQL text for non-negative ids."""
     multiplier, offset = PURPOSES[purpose]
-    step = f"((({id_expr}) % {MODULUS}) * {multiplier} + {offset}) % {MODULUS}"
+    start = f"((({id_expr}) % {MODULUS} + (({id_expr}) >> 31) * {HIGH_BITS}) % {MODULUS})"
+    step = f"({start} * {multiplier} + {offset}) % {MODULUS}"
     return f"((({step}) * ({step})) % {MODULUS})"
 
 

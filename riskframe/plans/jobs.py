@@ -15,13 +15,24 @@ from riskframe.sources import files
 from riskframe.sources.models import load_model, save_model
 from riskframe.sources.transactions import TRANSACTION_SCHEMA
 
-INPUT_SCHEMA = T.StructType([T.StructField("tx_id", T.LongType()), *TRANSACTION_SCHEMA.fields])
 SPLIT_COLUMNS = ("tx_id", "features", "label", "weight")
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """Raw transactions as parquet or CSV; ``tx_id`` is the unique row number of the extract."""
-    return files.scan_any(spark, path, INPUT_SCHEMA)
+    """Raw transactions as parquet or CSV, the columns in any order.
+
+    ``tx_id`` is the unique integer id of a row.  An extract without one gets the
+    position of the row in its file split, which is the same in every scan of the
+    same files.
+    """
+    types = {"tx_id": T.LongType(), **{f.name: f.dataType for f in TRANSACTION_SCHEMA}}
+    if files.has_parquet(spark, path):
+        rows = files.scan_parquet(spark, path)
+    else:
+        header = spark.read.option("header", True).csv(path).columns  # reads the first line
+        schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+        rows = files.scan_csv(spark, path, schema)
+    return rows if "tx_id" in rows.columns else rows.withColumn("tx_id", F.monotonically_increasing_id())
 
 
 def prepare(spark: SparkSession, source: str, out_dir: str) -> None:

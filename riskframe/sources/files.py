@@ -30,7 +30,8 @@ def scan_parquet(
     return reader.parquet(*paths)
 
 
-def _has_parquet(spark: SparkSession, path: str) -> bool:
+def has_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder holds parquet; an absent path is an error."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -47,7 +48,7 @@ def scan_any(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, sep: str = ","
 ) -> DataFrame:
     """Parquet where the folder holds parquet files, else CSV; read errors are not hidden."""
-    if _has_parquet(spark, path):
+    if has_parquet(spark, path):
         return scan_parquet(spark, path)
     return scan_csv(spark, path, schema, header, sep)
 

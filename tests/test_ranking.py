@@ -3,14 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.functions.keyed import MODULUS, PURPOSES
+from riskframe.functions.keyed import HIGH_BITS, MODULUS, PURPOSES
 from riskframe.operators import ranking as rk
 from riskframe.operators import sampling, sequences
 
 
 def draw(i, purpose):
     a, b = PURPOSES[purpose]
-    step = ((i % MODULUS) * a + b) % MODULUS
+    start = (i % MODULUS + (i >> 31) * HIGH_BITS) % MODULUS
+    step = (start * a + b) % MODULUS
     return step * step % MODULUS
 
 
@@ -104,8 +105,8 @@ def test_fixed_size_sample(spark, n):
     assert got == set(sorted(range(1000), key=lambda i: (draw(i, "foreground"), i))[:n])
 
 
-def test_ids_past_the_modulus_share_a_draw(spark):
-    ids = [i + k * MODULUS for i in range(50) for k in range(20)]
+def test_ids_past_the_modulus(spark):
+    ids = [i + (k << 33) for i in range(50) for k in range(20)] + [2**62 + 5, -3]
     df = spark.createDataFrame([(i,) for i in ids], "tx_id long")
     got = {r["tx_id"] for r in sampling.fixed_size_sample(df, "tx_id", 333).collect()}
     assert got == set(sorted(ids, key=lambda i: (draw(i, "foreground"), i))[:333])

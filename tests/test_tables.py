@@ -115,6 +115,20 @@ def test_split_reads_one_folder(spark, sf_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in train._jdf.queryExecution().toString()
 
 
+def test_extract_without_ids(spark, sf_dir, tmp_path):
+    """Twelve columns, in another order, several files: ids are unique and splits repeat."""
+    source = str(tmp_path / "raw.csv")
+    raw = transactions(spark, sf_dir).select(*reversed(TRANSACTION_SCHEMA.fieldNames()))
+    raw.repartition(3).write.option("header", True).csv(source)
+    rows = jobs.read_transactions(spark, source)
+    assert rows.select("tx_id").distinct().count() == 1000 and dict(rows.dtypes)["amount"] == "double"
+    assert rows.agg(F.sum("amount")).first()[0] == pytest.approx(raw.agg(F.sum("amount")).first()[0])
+    first, second = (sampling.three_way_split(rows, "tx_id").groupBy("split").agg(F.sum("tx_id")) for _ in range(2))
+    assert sorted(first.collect()) == sorted(second.collect())
+    jobs.sequences(spark, source, str(tmp_path / "seq"), 20)
+    assert spark.read.parquet(str(tmp_path / "seq")).count() == 44
+
+
 def test_jobs_from_csv_to_report(spark, sf_dir, tmp_path):
     source, data, models = (str(tmp_path / n) for n in ("tx.csv", "data", "models"))
     transactions(spark, sf_dir).select("tx_id", *TRANSACTION_SCHEMA.fieldNames()).write.option("header", True).csv(source)
