@@ -105,16 +105,18 @@ def cuts(
 
 def with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (source, size, key, any others) with ``source_size``, ``target`` and ``taken`` words."""
-    plan = plan.withColumnRenamed("source", "plan_source")
+    salt = F.substring("key", RANGE_DIGITS + 1, 1)  # deals the rows of a large source to 16 tasks
+    salts = F.explode(F.array(*[F.lit(c) for c in "0123456789abcdef"])).alias("plan_salt")
+    plan = plan.withColumnRenamed("source", "plan_source").select("*", salts)
     extra = (
         F.when(F.col("cut_key").isNull() | (F.col("key") > F.col("cut_key")), 0)
         .when(F.col("key") < F.col("cut_key"), F.col("size"))
         .otherwise(F.col("part"))
     )
     return (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+        rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (salt == F.col("plan_salt")))
         .withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
-        .drop("plan_source", "epochs", "cut_key", "part")
+        .drop("plan_source", "plan_salt", "epochs", "cut_key", "part")
     )
 
 
