@@ -1,12 +1,36 @@
 """The corpus pipeline: stages in order, each of which keeps or rewrites documents."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import source_mix
+from riskframe.llm import hyperminhash, personal_data, quality_rules, queries, source_mix
 from riskframe.llm.tables import n_words, table, written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rule ensemble does not reject."""
+    model = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return quality_rules.score_documents(whole, model).filter(F.col("score") >= queries.KEEP_FROM).select("doc.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return hyperminhash.one_of_each(docs, width=5, percent=80)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its personal data replaced by the kind in brackets and n_chars of the new text."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), personal_data.candidates().alias("c"))
+    found = written(whole.select("doc", "c.found"))
+    spans = personal_data.accepted(found, personal_data.learn(found))
+    rows = spans.select("doc", F.size("spans").alias("n_spans"), personal_data.masked("doc.text", "spans").alias("new"))
+    n_chars = F.when(F.col("n_spans") > 0, F.length("new")).otherwise(F.col("doc.n_chars"))
+    changed = {"text": F.col("new"), "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents are not torn apart."""
     sized = written(docs.select("doc_id", "source", n_words("text").alias("size")))
@@ -20,7 +44,18 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return taken.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
-STAGES = [("mixed_sources", mixed_sources)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of at most 2048 tokens with its place in a packed sequence."""
+    return queries.packed_pieces(docs, public_tokenizers.path(queries.TOKENIZER))
+
+
+STAGES = [
+    ("good_quality", good_quality),
+    ("one_of_each", one_of_each),
+    ("without_personal_data", without_personal_data),
+    ("mixed_sources", mixed_sources),
+    ("packed", packed),
+]
 ORACLE_SQL = None
 
 

@@ -2,11 +2,15 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm import source_mix
+from riskframe.llm import best_fit, hyperminhash, personal_data, quality_rules, source_mix
 from riskframe.llm.tables import n_words, table, written
 
+#: Place of the tokenizer file; the texts' token ids come from it.
+TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,3 +65,47 @@ def op10_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sized = written(docs.select("doc_id", "source", n_words("text").alias("size")))
     return source_mix.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+KEEP_FROM = 0.3
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality_rules.score_documents(docs, model)
+    return scored.select(
+        "doc_id",
+        quality_rules.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= KEEP_FROM, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op3_hyperminhash")
+def op3_hyperminhash(spark, sf_dir):
+    found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark, sf_dir):
+    found = personal_data.detect(table(spark, sf_dir, "documents"))
+    counts = [F.col("n")[i].alias(f"n_{kind}") for i, kind in enumerate(personal_data.BASE_KINDS)]
+    base = F.sha2(F.col("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, personal_data.as_text().alias("spans"))
+
+
+def packed_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The contract's rows: one per piece of the whole texts, with its place in a sequence."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        pieces = written(best_fit.tokenized(docs, file.read()))
+    digest = F.crc32("ids").alias("ids_crc32")
+    rows = pieces.select("doc_id", "piece", "start", "length", digest)
+    return best_fit.pack(rows, ["doc_id", "piece", "ids_crc32"])
+
+
+@query("op8_best_fit")
+def op8_best_fit(spark, sf_dir):
+    return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
