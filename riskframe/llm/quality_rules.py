@@ -43,6 +43,7 @@ STATISTICS = (
 MAX_LABELLED = 20_000  # labelled rows a fit may use, the first in the order of a hash of their id
 TREES, DEPTH = 30, 3
 LASSO = 0.002
+LASSO_STEPS = 25
 SYMBOLS = b"#$%&*+/<=>@[]\\^_`{|}~"
 
 
@@ -162,7 +163,7 @@ def fit_rules(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso
         array_to_vector(F.array(*[r.column("statistics").cast("double") for r in rules])).alias("features"), "label"
     )
     lasso_fit = LogisticRegression(
-        elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=100, tol=1e-5
+        elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=LASSO_STEPS, tol=1e-4
     ).fit(fired)
     weighted = tuple((r, float(w)) for r, w in zip(rules, lasso_fit.coefficients.toArray()) if abs(w) > 1e-6)
     return RuleModel(float(lasso_fit.intercept), weighted)

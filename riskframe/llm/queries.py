@@ -6,11 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import best_fit, hyperminhash, personal_data, quality_rules, source_mix
+from riskframe.llm import (
+    best_fit,
+    cross_entropy,
+    embedding_dedup,
+    hyperminhash,
+    personal_data,
+    quality_rules,
+    source_mix,
+    warc_segments,
+    weighted_fingerprints,
+    wordpiece_counts,
+)
 from riskframe.llm.tables import n_words, table, written
 
 #: Place of the tokenizer file; the texts' token ids come from it.
 TOKENIZER = "word_bpe_49k.json"
+#: Vocabulary of the word pieces.
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -109,3 +122,83 @@ def packed_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 @query("op8_best_fit")
 def op8_best_fit(spark, sf_dir):
     return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op9_weighted_fingerprints")
+def op9_weighted_fingerprints(spark, sf_dir):
+    return weighted_fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_embedding_dedup",
+    """
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, x -> x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+        ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+    ), reached AS (
+        SELECT vec_id AS node, vec_id AS seen FROM embeddings
+        UNION
+        SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.seen
+    ), smallest AS (
+        SELECT node, min(seen) AS component_id FROM reached GROUP BY node
+    )
+    SELECT s.node AS vec_id, (SELECT count(*) FROM links WHERE a = s.node)::BIGINT AS n_links, component_id,
+           s.node = component_id AS kept
+    FROM smallest s
+    """,
+)
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query("op4_cross_entropy")
+def op4_cross_entropy(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good)
+
+
+@query("op6_wordpiece_counts")
+def op6_wordpiece_counts(spark, sf_dir):
+    automaton = wordpiece_counts.PieceAutomaton(*wordpiece_counts.word_pieces(public_tokenizers.path(PIECES)))
+    return wordpiece_counts.count_pieces(table(spark, sf_dir, "documents"), automaton)
+
+
+@query(
+    "op7_warc_segments",
+    """
+    WITH sized AS (
+        SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+    ), digested AS (
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+               max(page_id) OVER (PARTITION BY sha1(html)) AS leader
+        FROM sized
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < leader THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < leader THEN leader END AS refers_to
+    FROM digested
+    """,
+)
+def op7_warc_segments(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    records = warc_segments.round_trip(pages)
+    # what the archives say about each page; the payloads end here
+    read = written(
+        records.select(
+            F.col("page").cast(pages.schema["page_id"].dataType).alias("page_id"),
+            F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"),
+            F.col("kind").alias("record_type"),
+            F.octet_length("payload").cast("long").alias("own_bytes"),
+            F.coalesce(F.sha1("payload"), F.col("digest")).alias("payload_digest"),
+        )
+    )
+    full = read.filter("record_type = 'response'").select(
+        F.col("page_id").alias("refers_to"), "payload_digest", F.col("own_bytes").alias("full_bytes")
+    )
+    out = read.join(full.distinct(), ["refers_to", "payload_digest"], "left")
+    size = F.coalesce("own_bytes", "full_bytes").alias("payload_bytes")
+    return out.select("page_id", size, "payload_digest", "record_type", "refers_to")
