@@ -13,7 +13,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from riskframe.plans import all_queries  # noqa: E402
-from riskframe.session import local_session  # noqa: E402
+from riskframe.session import drop_shared_folders, local_session  # noqa: E402
 
 # Fits dominate these; they run once, the others take the median of three.
 SLOW = {
@@ -38,6 +38,7 @@ def main():
         repeats = 1 if key in SLOW else 3
         times[key] = round(statistics.median(run(spark, sf_dir, key) for _ in range(repeats)), 3)
         print(f"{key} {times[key]}", file=sys.stderr, flush=True)
+    drop_shared_folders(spark)
     spark.stop()
     print(
         json.dumps(

@@ -2,39 +2,23 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskframe.functions.columns import safe_ratio
+from riskframe.operators.ranking import sorted_numbers
 
-MAX_DICTIONARY = 100_000
-
-
-def dictionary(df: DataFrame, column: str, start: int = 0, max_rows: int = MAX_DICTIONARY) -> tuple[DataFrame, bool]:
-    """(value, index) of the sorted distinct values, and whether it is small enough to broadcast.
-
-    Up to ``max_rows`` values the dictionary is fetched once, like a fitted indexer.
-    A larger one stays distributed and is numbered in sorted order by partition.
-    """
+def dictionary(df: DataFrame, column: str, start: int = 0) -> DataFrame:
+    """(value, idx) of the sorted distinct values that are not null, numbered without a one-task sort."""
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    schema = T.StructType([values.schema["value"], T.StructField("idx", T.IntegerType())])
-    head = values.limit(max_rows + 1).collect()
-    spark = df.sparkSession
-    if len(head) <= max_rows:
-        ordered = sorted(r["value"] for r in head)
-        return spark.createDataFrame([(v, i + start) for i, v in enumerate(ordered)], schema), True
-    pairs = values.orderBy("value").rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + start))
-    return spark.createDataFrame(pairs, schema), False
+    return sorted_numbers(values).select("value", (F.col("number") + F.lit(start)).cast("int").alias("idx"))
 
 
 def dict_encode(
-    df: DataFrame, column: str, output: str, source: DataFrame | None = None, start: int = 0,
-    max_rows: int = MAX_DICTIONARY,
+    df: DataFrame, column: str, output: str, source: DataFrame | None = None, start: int = 0
 ) -> DataFrame:
     """Add the sorted-order index of a category; 0 for a value ``source`` does not have."""
-    codes, small = dictionary(df if source is None else source, column, start, max_rows)
+    codes = dictionary(df if source is None else source, column, start)
     codes = codes.select(F.col("value").alias(f"{output}_value"), F.col("idx").alias(f"{output}_code"))
-    side = F.broadcast(codes) if small else codes
-    joined = df.join(side, F.col(column) == F.col(f"{output}_value"), "left")
+    joined = df.join(codes, F.col(column) == F.col(f"{output}_value"), "left")
     return joined.select(*df.columns, F.coalesce(F.col(f"{output}_code"), F.lit(0)).alias(output))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import safe_ratio
-from riskframe.operators.ranking import score_curve
+from riskframe.operators.ranking import known_score, score_curve
 
 GRID_19 = [round(0.05 * i, 2) for i in range(1, 20)]
 GRID_51 = [round(0.02 * i, 2) for i in range(51)]
@@ -17,8 +17,8 @@ RATIOS = ["accuracy", "precision", "recall", "f1"]
 def confusion(
     scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), label: str = "label", score: str = "score"
 ) -> DataFrame:
-    """tp, fp, tn, fn at an inclusive threshold."""
-    hit, positive, negative = F.col(score) >= F.lit(threshold), F.col(label) == 1, F.col(label) == 0
+    """tp, fp, tn, fn at an inclusive threshold; a missing score counts as 0."""
+    hit, positive, negative = known_score(score) >= F.lit(threshold), F.col(label) == 1, F.col(label) == 0
     return scored.groupBy(*by).agg(
         F.count_if(hit & positive).alias("tp"),
         F.count_if(hit & negative).alias("fp"),
@@ -55,7 +55,7 @@ def threshold_sweep(
     ``len(grid) + 1`` rows per group, from which every threshold is answered.
     """
     grid = sorted(grid)
-    values = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    values = known_score(score)
     splits = Bucketizer(
         splits=[float("-inf"), *grid, float("inf")], inputCol="value", outputCol="reached", handleInvalid="keep"
     )

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import slot_name
 from riskframe.operators.training import score_column
-from riskframe.session import spread
 
 
 def top_by_magnitude(values: DataFrame, n: int) -> DataFrame:
@@ -65,34 +64,38 @@ Scorer = Callable[[DataFrame], DataFrame]
 def model_scorer(model: PipelineModel) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
         predicted = model.transform(df.withColumn("features", array_to_vector("x")))
-        return predicted.withColumn("p", score_column(predicted)).select(*df.columns, "p")
+        return predicted.withColumn("p", score_column(predicted, model)).select(*df.columns, "p")
 
     return score
 
 
-def background_array(background: DataFrame, n: int) -> Column:
-    """At most n background rows as one array scalar."""
-    return background.limit(n).agg(F.collect_list("x").alias("b")).scalar()
+def background_array(background: DataFrame) -> Column:
+    """All background rows as one array scalar in a fixed order; the caller chooses how many they are."""
+    return background.agg(F.array_sort(F.collect_list("x")).alias("b")).scalar()
+
+
+def rebalanced(rows: DataFrame) -> DataFrame:
+    """``rows`` in tasks of the advisory size, before each row is multiplied; large tasks are split too."""
+    return rows.hint("rebalance")
 
 
 def coalition_values(
-    rows: DataFrame, id_col: str, background: DataFrame, background_n: int, masks: list[list[int]], scorer: Scorer
+    rows: DataFrame, id_col: str, background: DataFrame, masks: list[list[int]], scorer: Scorer
 ) -> DataFrame:
     """(id, mask, value): mean score of a row with the slots outside the mask taken from the background.
 
     Every (row, mask, background row) is generated and scored in the row's own task;
     only the averages are shuffled.
     """
-    coalitions = F.array(
-        *[
-            F.struct(F.lit(m).alias("mask"), F.lit([int(b) for b in bits]).alias("bits"))
-            for m, bits in enumerate(masks)
-        ]
-    )
+    # one literal per mask: its slots as a string of 0 and 1
+    patterns = F.split(F.lit(",".join("".join(map(str, map(int, bits))) for bits in masks)), ",")
+    at = F.sequence(F.lit(1), F.length("pattern"))
+    bits = F.transform(at, lambda i: F.substr(F.col("pattern"), i, F.lit(1)).cast("int"))
     expanded = (
-        spread(rows.select(id_col, F.col("x").alias("own")), id_col)
-        .select(id_col, "own", background_array(background, background_n).alias("others"))
-        .select(id_col, "own", "others", F.inline(coalitions))
+        rebalanced(rows.select(id_col, F.col("x").alias("own")))
+        .select(id_col, "own", background_array(background).alias("others"))
+        .select(id_col, "own", "others", F.posexplode(patterns).alias("mask", "pattern"))
+        .select(id_col, "own", "others", "mask", bits.alias("bits"))
         .select(id_col, "own", "mask", "bits", F.explode("others").alias("other"))
     )
     mixed = F.transform("own", lambda v, i: F.when(F.col("bits")[i] == 1, v).otherwise(F.col("other")[i]))
@@ -152,8 +155,7 @@ def kernel_solution(masks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray,
 
 
 def shap_kernel(
-    rows: DataFrame, id_col: str, background: DataFrame, width: int, scorer: Scorer, background_n: int = 100,
-    n_masks: int = 100,
+    rows: DataFrame, id_col: str, background: DataFrame, width: int, scorer: Scorer, n_masks: int = 100
 ) -> DataFrame:
     """(id, slot, phi): kernel estimate of Shapley values of any scored model.
 
@@ -162,10 +164,14 @@ def shap_kernel(
     """
     masks, weights = kernel_masks(width, n_masks)
     gain, share = kernel_solution(masks, weights)
-    base = scorer(background.limit(background_n).select("x")).agg(F.avg("p").alias("b")).scalar()
-    values = coalition_values(rows, id_col, background, background_n, masks.tolist(), scorer)
-    per_mask = F.array(*[F.lit([float(g) for g in column]) for column in gain.T])
-    from_masks = values.select(id_col, (F.col("value") - base).alias("d"), per_mask[F.col("mask")].alias("g"))
+    base = scorer(background.select("x")).agg(F.avg("p").alias("b")).scalar()
+    values = coalition_values(rows, id_col, background, masks.tolist(), scorer)
+    # one flat literal: the gains of a mask are a slice of it
+    flat = F.transform(F.split(F.lit(",".join(map(repr, gain.T.ravel().tolist()))), ","), lambda g: g.cast("double"))
+    of_mask = F.slice("gains", F.col("mask") * width + 1, width)
+    from_masks = values.withColumn("gains", flat).select(
+        id_col, (F.col("value") - base).alias("d"), of_mask.alias("g")
+    )
     own = scorer(rows.select(id_col, "x")).select(
         id_col, (F.col("p") - base).alias("d"), F.lit([float(s) for s in share]).alias("g")
     )
@@ -199,8 +205,8 @@ def shap_permutation(
         ]
     )
     expanded = (
-        spread(rows.select(id_col, F.col("x").alias("own")), id_col)
-        .select(id_col, "own", background_array(background, pairs).alias("others"))
+        rebalanced(rows.select(id_col, F.col("x").alias("own")))
+        .select(id_col, "own", background_array(background).alias("others"))
         .select(id_col, "own", "others", F.inline(walks))
         .select(
             id_col, "own", "order", "rank",
@@ -260,7 +266,7 @@ def lime_local(
         return F.array(*[F.array(*[F.lit(float(v)) for v in inner]) for inner in lists])
 
     shares = [np.cumsum(np.array(b["n"]) / sum(b["n"]))[:-1] for b in bins]
-    tables = spread(rows.select(id_col, F.col("x").alias("own")), id_col).select(
+    tables = rebalanced(rows.select(id_col, F.col("x").alias("own"))).select(
         id_col,
         "own",
         doubles(shares).cast("array<array<double>>").alias("cum"),

@@ -6,16 +6,14 @@ construction, so one key or one score holding a third of the table still spreads
 over the cluster.
 """
 
-from collections.abc import Callable
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.keyed import residue
+from riskframe.session import shared_folder
 
 BUCKET_SHIFT = 15  # residues below 2^31 fall into at most 65,536 buckets
-MAX_CLASSES = 1000
 HOT_ROWS = 1_000_000  # an account with more rows than this is split
 MAX_HOT_KEYS = 100_000
 CHUNK_IDS = 1 << 20  # unique ids per chunk, hence rows per chunk at most
@@ -25,64 +23,52 @@ def _before(*partition: str, order: str):
     return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def within_smallest(
-    df: DataFrame,
-    id_col: str,
-    purpose: str,
-    want: Callable[[Column], Column],
-    by: str | None = None,
-) -> Column:
-    """True for exactly ``want(total)`` rows of ``df`` (of each ``by`` class), lowest draw first.
+def within_smallest(df: DataFrame, id_col: str, purpose: str, want: int) -> Column:
+    """True for exactly ``want`` rows of ``df``, lowest draw first, or for all of a smaller table.
 
     The rows are never sorted or shuffled: a histogram of the draws finds the
     bucket that holds the last kept row, only that bucket is ranked, and every
     row is then compared with the (draw, id) of the last kept row.
     """
-
-    def group() -> Column:
-        return F.coalesce(F.col(by).cast("string"), F.lit("null")) if by else F.lit("all")
-
-    keys = df.select(
-        group().alias("grp"), residue(id_col, purpose).alias("draw"), F.col(id_col).cast("long").alias("id")
-    )
+    keys = df.select(residue(id_col, purpose).alias("draw"), F.col(id_col).cast("long").alias("id"))
     bucket = F.shiftright("draw", BUCKET_SHIFT)
-    counts = keys.groupBy("grp", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.select(
-        "grp",
-        "bucket",
-        F.sum("n").over(Window.partitionBy("grp").orderBy("bucket")).alias("upto"),
-        F.sum("n").over(Window.partitionBy("grp")).alias("total"),
-    ).withColumn("want", want(F.col("total")).cast("long"))
-    edges = running.groupBy("grp").agg(
+    counts = keys.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    running = counts.select("bucket", "n", F.sum("n").over(Window.orderBy("bucket")).alias("upto"))
+    reached = F.col("upto") >= want
+    edge = running.agg(
         F.struct(
-            F.max(F.col("total") <= F.col("want")).alias("whole"),
-            F.min(F.when(F.col("upto") >= F.col("want"), F.col("bucket"))).alias("bucket"),
-            (
-                F.max("want") - F.coalesce(F.max(F.when(F.col("upto") < F.col("want"), F.col("upto"))), F.lit(0))
-            ).alias("rest"),
+            (F.coalesce(F.sum("n"), F.lit(0)) <= want).alias("whole"),
+            F.min(F.when(reached, F.col("bucket"))).alias("bucket"),
+            (want - F.coalesce(F.max(F.when(~reached, F.col("upto"))), F.lit(0))).alias("rest"),
         ).alias("edge")
-    )
-    edge_of = _class_map(edges, "edge")
-    edge = F.element_at(edge_of, F.col("grp"))
-    in_edge = Window.partitionBy("grp").orderBy("draw", "id")
+    ).scalar()
     last = (
         keys.where(bucket == edge.getField("bucket"))
-        .withColumn("rn", F.row_number().over(in_edge))
+        .withColumn("rn", F.row_number().over(Window.orderBy("draw", "id")))
         .where(F.col("rn") == edge.getField("rest"))
-        .select("grp", F.struct("draw", "id").alias("last"))
+        .agg(F.max(F.struct("draw", "id")).alias("last"))
+        .scalar()
     )
-    last_of = F.element_at(_class_map(last, "last"), group())
-    kept = F.struct(residue(id_col, purpose).alias("draw"), F.col(id_col).cast("long").alias("id")) <= last_of
-    return F.element_at(edge_of, group()).getField("whole") | F.coalesce(kept, F.lit(False))
+    kept = F.struct(residue(id_col, purpose).alias("draw"), F.col(id_col).cast("long").alias("id")) <= last
+    return edge.getField("whole") | F.coalesce(kept, F.lit(False))
 
 
-def _class_map(rows: DataFrame, value: str) -> Column:
-    """One map value for the whole table; refuses more classes than a label can have."""
-    entries = F.collect_list(F.struct("grp", value))
-    checked = F.when(F.count(F.lit(1)) <= MAX_CLASSES, F.map_from_entries(entries)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_CLASSES} classes: rank them with many_classes=True"))
-    )
-    return rows.agg(checked.alias("m")).scalar()
+def sorted_numbers(values: DataFrame) -> DataFrame:
+    """``values`` (one column of distinct values) with their 0-based ``number`` in sorted order.
+
+    Spark cuts the values into sorted ranges, which are written once; the counts of
+    the ranges give each range its offset, and only rows of one range are ranked together.
+    """
+    (name,) = values.columns
+    ranges = values.repartitionByRange(name).withColumn("part", F.spark_partition_id())
+    path = shared_folder(values.sparkSession)
+    ranges.write.parquet(path)
+    ranges = values.sparkSession.read.schema(ranges.schema).parquet(path)
+    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", F.coalesce(F.sum("n").over(_before(order="part")), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy(name)
+    number = F.col("start") + F.row_number().over(inside) - F.lit(1)
+    return ranges.join(starts, "part").select(name, number.alias("number"))
 
 
 def numbered(df: DataFrame, id_col: str, purpose: str, name: str = "index") -> DataFrame:
@@ -174,6 +160,11 @@ def rank_hot(df: DataFrame, key: str, order: str, id_col: str, chunk_ids: int =
     )
 
 
+def known_score(score: str = "score") -> Column:
+    """The one rule for a missing score, in every matrix, sweep and curve: it counts as 0."""
+    return F.coalesce(F.col(score).cast("double"), F.lit(0.0))
+
+
 def score_curve(
     scored: DataFrame, by: tuple[str, ...] = (), buckets: int | None = None, label: str = "label",
     score: str = "score",
@@ -189,7 +180,8 @@ def score_curve(
     """
     keys = list(by)
     if buckets is None:
-        buckets = max(32, min(4096, 4 * int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        buckets = max(32, 4 * int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = scored.withColumn(score, known_score(score))
     per_score = scored.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
@@ -197,19 +189,18 @@ def score_curve(
     sums = per_score.groupBy(*keys, "bucket").agg(F.sum("pos").alias("b_pos"), F.sum("n").alias("b_n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
+    # A struct key: a null segment inside one still equals itself in a join.
+    unit = F.struct(*keys, "bucket").alias("unit")
     offsets = sums.select(
-        *keys,
-        "bucket",
+        unit,
         F.coalesce(F.sum("b_pos").over(above), F.lit(0)).alias("tp_above"),
         F.coalesce(F.sum("b_n").over(above), F.lit(0)).alias("pp_above"),
         F.sum("b_pos").over(group).alias("positives"),
         F.sum("b_n").over(group).alias("total"),
     )
-    # Both the join and the window hash on (by, bucket): one shuffle serves both.
-    downward = (
-        Window.partitionBy(*keys, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return per_score.join(offsets, [*keys, "bucket"]).select(
+    # Both the join and the window hash on the unit: one shuffle serves both.
+    downward = Window.partitionBy("unit").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return per_score.withColumn("unit", unit).join(offsets, "unit").select(
         *keys,
         "score",
         "pos",

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed display names of the model codes.
+# Display names of the model codes, and the columns of a comparison.
 MODEL_NAMES = {
     "LOGREG": "Logistic Regression",
     "RF": "Random Forest",
@@ -32,20 +32,24 @@ def missing_models(present: DataFrame, expected: Sequence[str]) -> DataFrame:
     return wanted.join(present.select("model").distinct(), "model", "left_anti")
 
 
-def metric_documents(evaluated: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
-    """One JSON document per segment, an object keyed by model name.
+def metric_documents(evaluated: DataFrame, segments: Sequence[str] = (), more: Sequence[str] = ()) -> DataFrame:
+    """One JSON document per segment, an object keyed by model name; ``more`` names further columns to report.
 
     A document holds one entry per model of its segment, so it stays small.
     """
     matrix = F.array(F.array("tn", "fp"), F.array("fn", "tp"))
     names = ["accuracy", "precision", "recall", "f1", "auc_pr", "auc_roc"]
-    entry = F.struct(F.struct(*names).alias("metrics"), matrix.alias("confusion_matrix"))
+    entry = F.struct(F.struct(*names).alias("metrics"), matrix.alias("confusion_matrix"), *more)
     models = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("model"), entry.alias("report")))))
     return evaluated.groupBy(*segments).agg(F.to_json(models).alias("document"))
 
 
 def _numbers(fields: Column) -> Column:
-    """The JSON numbers and truth values of an object, keys in lower case."""
+    """The JSON numbers and truth values of an object, keys in lower case.
+
+    Of keys that are equal in lower case the last in code point order wins, so a key
+    already in lower case beats its other spellings.
+    """
     kept = F.map_filter(fields, lambda _, v: F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"))
     as_double = F.transform_values(
         kept,
@@ -53,7 +57,12 @@ def _numbers(fields: Column) -> Column:
             F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "boolean").cast("double")
         ),
     )
-    return F.transform_keys(as_double, lambda k, _: F.lower(k))
+    entries = F.array_sort(F.map_entries(as_double))
+    last = F.filter(
+        entries,
+        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: F.lower(x["key"]) == F.lower(e["key"])),
+    )
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]), e["value"])))
 
 
 def normalise_documents(documents: DataFrame, segments: Sequence[str] = (), column: str = "document") -> DataFrame:
@@ -76,9 +85,16 @@ def normalise_documents(documents: DataFrame, segments: Sequence[str] = (), colu
     return fields.select(*segments, "model", F.explode(F.map_concat(outer, inner)).alias("metric", "value"))
 
 
-def wide_metrics(long: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("model",)) -> DataFrame:
-    """One row per model with the metrics as sorted columns, null where absent."""
-    return long.groupBy(*keys).pivot("metric", sorted(metrics)).agg(F.first("value"))
+def wide_metrics(
+    long: DataFrame, keys: Sequence[str] = ("model",), metrics: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per model with the metrics as sorted columns, null where absent.
+
+    Every metric that occurs gets a column, found in one pass over the long table;
+    naming ``metrics`` spares that pass and keeps only those.
+    """
+    pivoted = long.groupBy(*keys).pivot("metric", sorted(metrics) if metrics is not None else None)
+    return pivoted.agg(F.first("value"))
 
 
 def spark_rows(evaluated: DataFrame, segments: Sequence[str] = (), models: Sequence[str] = SPARK_MODELS) -> DataFrame:
@@ -101,11 +117,13 @@ def deep_rows(evaluated: DataFrame, best: DataFrame, segments: Sequence[str] = (
     threshold the metrics belong to.
     """
     keys = [*segments, "model"]
-    best = best.select(*keys, F.col("threshold").alias("best_threshold"))
-    return evaluated.join(best, keys, "left").select(
+    # A struct key: a null segment inside one still equals itself in a join.
+    best = best.select(F.struct(*keys).alias("unit"), F.col("threshold").alias("best_threshold"))
+    shown = F.when(F.col("best_threshold").isNotNull(), F.format_string("%.2f", F.col("best_threshold")))
+    return evaluated.withColumn("unit", F.struct(*keys)).join(best, "unit", "left").select(
         *segments,
         F.upper("model").alias("model"),
-        F.format_string("%.2f", F.col("best_threshold")).alias("threshold"),
+        shown.alias("threshold"),
         F.lit("0.50").alias("metrics_threshold"),
         "accuracy", "precision", "recall", "f1",
         F.col("auc_pr").alias("pr_auc"),

@@ -23,25 +23,16 @@ def bernoulli_sample(df: DataFrame, id_col: str, fraction: float) -> DataFrame:
     return df if fraction >= 1.0 else df.where(uniform(id_col, "sample") < F.lit(fraction))
 
 
-def stratified_split(
-    df: DataFrame, id_col: str, label: str = "label", train: float = 0.8, many_classes: bool = False
-) -> DataFrame:
-    """Add ``part`` in (train, valid) with floor(train * n) rows of every class in train.
-
-    Up to a thousand classes are cut without moving a row; ``many_classes`` ranks the
-    rows of any number of classes for one shuffle.  Both choose the same rows.
-    """
-    if many_classes:
-        ranked = ranked_in_class(df, id_col, "stratify", label)
-        first = F.col("rn") <= F.floor(F.col("total") * F.lit(train))
-        return ranked.select(*df.columns, F.when(first, "train").otherwise("valid").alias("part"))
-    in_train = within_smallest(df, id_col, "stratify", lambda n: F.floor(n * F.lit(train)), by=label)
-    return df.withColumn("part", F.when(in_train, "train").otherwise("valid"))
+def stratified_split(df: DataFrame, id_col: str, label: str = "label", train: float = 0.8) -> DataFrame:
+    """Add ``part`` in (train, valid) with floor(train * n) rows of every class in train; any number of classes."""
+    ranked = ranked_in_class(df, id_col, "stratify", label)
+    first = F.col("rn") <= F.floor(F.col("total") * F.lit(train))
+    return ranked.select(*df.columns, F.when(first, "train").otherwise("valid").alias("part"))
 
 
 def fixed_size_sample(df: DataFrame, id_col: str, n: int, purpose: str = "foreground") -> DataFrame:
     """Exactly n rows without replacement, or all of a smaller table."""
-    return df.where(within_smallest(df, id_col, purpose, lambda _: F.lit(n)))
+    return df.where(within_smallest(df, id_col, purpose, n))
 
 
 def class_counts(df: DataFrame, label: str = "label") -> tuple[int, int]:

@@ -6,9 +6,12 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.columns import logistic, positive_probability, require_columns
+from riskframe.functions.columns import logistic, positive_probability, require_columns, safe_ratio
 from riskframe.operators.features import slot_names
 
 # Fixed training settings.
@@ -62,19 +65,31 @@ TRAINERS: dict[str, Callable[..., PipelineModel]] = {
 }
 
 
-def score_column(df: DataFrame) -> Column:
-    """P(class 1): from ``probability``, else the logistic of the class 1 margin."""
+def score_column(df: DataFrame, model: PipelineModel | None = None) -> Column:
+    """P(class 1): from ``probability``, else from the raw prediction as the kind of ``model`` defines it.
+
+    A logistic model's raw value is its margin, a forest's are votes to be
+    normalised, a boosted model's is half the margin; without ``model`` a raw
+    prediction has no meaning and is refused.
+    """
     if "probability" in df.columns:
         return positive_probability(F.col("probability"))
-    if "rawPrediction" in df.columns:
-        return logistic(vector_to_array("rawPrediction")[1])
-    raise ValueError(f"neither probability nor rawPrediction in {df.columns}")
+    if "rawPrediction" not in df.columns:
+        raise ValueError(f"neither probability nor rawPrediction in {df.columns}")
+    last, raw = None if model is None else model.stages[-1], vector_to_array("rawPrediction")
+    if isinstance(last, LogisticRegressionModel):
+        return logistic(raw[1])
+    if isinstance(last, RandomForestClassificationModel):
+        return safe_ratio(raw[1], raw[0] + raw[1])
+    if isinstance(last, GBTClassificationModel):
+        return logistic(F.lit(2.0) * raw[1])
+    raise ValueError("a raw prediction needs the logistic, forest or boosted model that made it")
 
 
 def score_model(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
     """(kept columns, label, score) of a table under a model."""
     predicted = model.transform(require_columns(df, ["label"]))
-    return predicted.select(*keep, F.col("label").cast("int").alias("label"), score_column(predicted).alias("score"))
+    return predicted.select(*keep, F.col("label").cast("int").alias("label"), score_column(predicted, model).alias("score"))
 
 
 def mlp_layers(model: PipelineModel) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -124,6 +139,16 @@ def importance_table(models: dict[str, PipelineModel], vectors: DataFrame) -> Da
     return vectors.sparkSession.createDataFrame(rows, "model string, slot int, name string, value double")
 
 
+def top_slots(model: PipelineModel, vectors: DataFrame) -> dict:
+    """The slots that matter most to a fitted model: ten coefficients, or twenty importances, largest first."""
+    last, names = model.stages[-1], slot_names(vectors)
+    linear = hasattr(last, "coefficients")
+    values = (last.coefficients if linear else last.featureImportances).toArray()
+    order = np.argsort(-np.abs(values), kind="stable")[: 10 if linear else 20]
+    ranked = [{"feature": names[i] if i < len(names) else f"f{i}", "value": float(values[i])} for i in order]
+    return {"top_coefficients" if linear else "top_importances": ranked}
+
+
 def linear_parameters(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """One JSON document with the coefficients and the intercept of a logistic model."""
     last = model.stages[-1]

@@ -5,7 +5,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.functions import columns as c
-from riskframe.functions.keyed import residue, residue_sql, uniform, uniform_sql
 from riskframe.operators import encoding
 from riskframe.operators.reporting import MODEL_NAMES, with_display_name
 from riskframe.plans.registry import query
@@ -186,14 +185,13 @@ def balance_rules(spark, sf_dir):
 @query(
     "amount_boost",
     tx_sql(
-        f"""
-, d AS (SELECT *, {uniform_sql('tx_id', 'boost')} AS u FROM tx)
-SELECT tx_id, type, round(amount * (1e0 + CASE WHEN type = 'TRANSFER' THEN 1e0 + 1.5e0 * u
-  WHEN type = 'CASH_OUT' THEN 1e0 + u ELSE 0e0 END * 0.3e0), 2) AS boosted FROM d"""
+        """
+SELECT tx_id, type, round(amount * (1e0 + CASE WHEN type = 'TRANSFER' THEN 1.75e0
+  WHEN type = 'CASH_OUT' THEN 1.5e0 ELSE 0e0 END * 0.3e0), 2) AS boosted FROM tx"""
     ),
 )
 def amount_boost(spark, sf_dir):
-    boosted = c.boosted_amount(F.col("type"), F.col("amount"), uniform("tx_id", "boost"))
+    boosted = c.boosted_amount(F.col("type"), F.col("amount"))
     return activity(spark, sf_dir).select("tx_id", "type", boosted.alias("boosted"))
 
 
@@ -214,20 +212,19 @@ def flag_rule(spark, sf_dir):
 @query(
     "weighted_category",
     tx_sql(
-        f"""
-, d AS (SELECT tx_id, {uniform_sql('tx_id', 'category')} AS u, {residue_sql('tx_id', 'category')} AS k FROM tx)
-SELECT tx_id, CASE WHEN u < 0.45e0 THEN 'PAYMENT' WHEN u < 0.57e0 THEN 'TRANSFER' WHEN u < 0.85e0 THEN 'CASH_OUT'
-  WHEN u < 0.9e0 THEN 'DEBIT' ELSE 'CASH_IN' END AS type,
-  (['grocery','electronics','restaurants','travel','online','atm','utilities','fashion'])[CAST(k % 8 + 1 AS BIGINT)]
-  AS merchant FROM d"""
+        """
+, n AS (SELECT type, merchant, CAST(count(*) AS DOUBLE) AS n FROM tx GROUP BY type, merchant),
+shares AS (SELECT type, merchant, n / sum(n) OVER () AS weight FROM n)
+SELECT tx_id, type, merchant, round(weight, 9) AS weight FROM tx JOIN shares USING (type, merchant)"""
     ),
 )
 def weighted_category(spark, sf_dir):
-    return activity(spark, sf_dir).select(
-        "tx_id",
-        c.weighted_pick(uniform("tx_id", "category"), c.TYPES, c.TYPE_WEIGHTS).alias("type"),
-        c.uniform_pick(residue("tx_id", "category"), c.MERCHANTS).alias("merchant"),
-    )
+    """Each row's category pair with the weight it has in the table."""
+    tx = activity(spark, sf_dir).select("tx_id", "type", "merchant")
+    pairs = tx.groupBy("type", "merchant").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = tx.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    shares = pairs.select("type", "merchant", F.round(F.col("n") / total, 9).alias("weight"))
+    return tx.join(shares, ["type", "merchant"]).select("tx_id", "type", "merchant", "weight")
 
 
 @query("account_ids", tx_sql("SELECT tx_id, nameOrig, nameDest FROM tx"))

@@ -1,6 +1,9 @@
 """The batch jobs from raw transactions to reports, each one call."""
 
+import json
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,7 @@ from riskframe.functions.columns import with_label
 from riskframe.operators import encoding, evaluation, features, reporting, sampling, training
 from riskframe.operators import explain as attribution
 from riskframe.operators import sequences as seq
+from riskframe.session import shared_folder
 from riskframe.sources import files
 from riskframe.sources.models import load_model, save_model
 from riskframe.sources.transactions import TRANSACTION_SCHEMA
@@ -21,9 +25,10 @@ SPLIT_COLUMNS = ("tx_id", "features", "label", "weight")
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Raw transactions as parquet or CSV, the columns in any order.
 
-    ``tx_id`` is the unique integer id of a row.  An extract without one gets the
-    position of the row in its file split, which is the same in every scan of the
-    same files.
+    ``tx_id`` is the integer id of a row.  A row of an extract without one is named by
+    a hash of all its values, so its draws and its place in a sequence depend on the
+    row alone, however the files are cut or read; rows equal in every column share an
+    id and are interchangeable.
     """
     types = {"tx_id": T.LongType(), **{f.name: f.dataType for f in TRANSACTION_SCHEMA}}
     if files.has_parquet(spark, path):
@@ -32,29 +37,54 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
         header = spark.read.option("header", True).csv(path).columns  # reads the first line
         schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
         rows = files.scan_csv(spark, path, schema)
-    return rows if "tx_id" in rows.columns else rows.withColumn("tx_id", F.monotonically_increasing_id())
+    if "tx_id" in rows.columns:
+        return rows
+    # null markers keep a null apart from an absent neighbour; sorted names make the column order irrelevant
+    values = [part for c in sorted(rows.columns) for part in (F.col(c), F.col(c).isNull())]
+    return rows.withColumn("tx_id", F.xxhash64(*values).bitwiseAND(F.lit((1 << 63) - 1)))
 
 
 def prepare(spark: SparkSession, source: str, out_dir: str) -> None:
-    """Encoded train, valid and test splits, and the class counts, from raw transactions."""
+    """Encoded train, valid and test splits, and the class counts of the train split, from raw transactions."""
     clean = with_label(read_transactions(spark, source).dropna(subset=["type", "amount", "isFraud"]))
     split = sampling.three_way_split(clean, "tx_id")
     train = split.where(F.col("split") == "train")
     encoded = features.fit_features(train).transform(split)
     files.write_splits(encoding.with_class_weight(encoded, train=train), f"{out_dir}/splits", SPLIT_COLUMNS)
-    meta = encoding.preprocess_meta(clean, features.NUMERIC, features.CATEGORICAL)
+    # the same rows that the weights come from
+    meta = encoding.preprocess_meta(train, features.NUMERIC, features.CATEGORICAL)
     files.write_documents(meta.select(F.to_json(F.struct("*")).alias("document")), f"{out_dir}/meta")
 
 
+MODELS = (*training.TRAINERS, "mlp")
+
+
 def train(
-    spark: SparkSession, data_dir: str, models_dir: str, codes: Sequence[str] = ("logreg", "rf", "gbt"),
-    fraction: float = 1.0,
-) -> None:
-    """Fit and save the named models on a reproducible share of the train split."""
-    rows = files.read_split(spark, f"{data_dir}/splits", "train")
-    rows = sampling.bernoulli_sample(rows, "tx_id", fraction)
+    spark: SparkSession, data_dir: str, models_dir: str, codes: Sequence[str] = MODELS, fraction: float = 1.0,
+    report_path: str | None = None, weighted: bool = True,
+) -> DataFrame:
+    """Fit and save the named models on a reproducible share of the train split.
+
+    Returns, and writes as one JSON document where ``report_path`` is given, the
+    metrics of each on the validation split with the share and the weighting used.
+    """
+    rows = sampling.bernoulli_sample(files.read_split(spark, f"{data_dir}/splits", "train"), "tx_id", fraction)
+    parts = []
     for code in codes:
-        save_model(training.TRAINERS[code](rows), models_dir, code)
+        if code == "mlp":
+            width = len(rows.select("features").head()["features"])
+            model = training.train_mlp(sampling.oversample_minority(rows, "tx_id", 0.1), width)
+        else:
+            model = training.TRAINERS[code](rows, weighted=weighted)
+        save_model(model, models_dir, code)
+        scores = written_scores(spark, data_dir, models_dir, code, "valid")
+        parts.append(evaluation.evaluate_models(scores, ["model"]))
+    table = reduce(DataFrame.unionByName, parts).withColumns(
+        {"train_frac": F.lit(float(fraction)), "used_weight": F.lit(weighted) & (F.col("model") != "mlp")}
+    )
+    if report_path is not None:
+        files.write_documents(reporting.metric_documents(table, more=["train_frac", "used_weight"]), report_path)
+    return table
 
 
 def scored_split(spark: SparkSession, data_dir: str, models_dir: str, code: str, split: str = "test") -> DataFrame:
@@ -63,22 +93,47 @@ def scored_split(spark: SparkSession, data_dir: str, models_dir: str, code: str,
     return training.score_model(load_model(spark, models_dir, code), rows, "tx_id")
 
 
+def written_scores(spark: SparkSession, data_dir: str, models_dir: str, code: str, split: str) -> DataFrame:
+    """(model, tx_id, label, score), scored once into the shared folder and read from there."""
+    scores = scored_split(spark, data_dir, models_dir, code, split).withColumn("model", F.lit(code))
+    path = shared_folder(spark)
+    scores.write.parquet(path)
+    return spark.read.schema(scores.schema).parquet(path)
+
+
 def evaluate(spark: SparkSession, data_dir: str, models_dir: str, report_path: str, split: str = "test") -> DataFrame:
-    """Metrics of every saved model; also written as one JSON document keyed by model."""
-    parts = []
-    for code in training.TRAINERS:
+    """Metrics of every saved model; also written as one JSON document keyed by model.
+
+    The document also names the largest coefficients or importances of each model
+    that has them, the neural model's metrics at 0.30 and its best threshold, and
+    under ``missing_models`` the expected models that are not there.
+    """
+    present, extras, parts = [], {}, []
+    for code in MODELS:
         try:
-            scores = scored_split(spark, data_dir, models_dir, code, split)
+            model = load_model(spark, models_dir, code)
         except FileNotFoundError:
             continue
-        parts.append(scores.withColumn("model", F.lit(code)))
-    if not parts:
+        present.append(code)
+        scores = written_scores(spark, data_dir, models_dir, code, split)
+        parts.append(scores)
+        if code == "mlp":
+            at = evaluation.threshold_sweep(scores, [0.3]).first().asDict()
+            best = evaluation.best_threshold(evaluation.threshold_sweep(scores, evaluation.GRID_19)).first()
+            extras[code] = {"metrics_030": at, "best_f1": best.asDict()}
+        else:
+            rows = files.read_split(spark, f"{data_dir}/splits", split)
+            extras[code] = training.top_slots(model, rows)
+    if not present:
         raise FileNotFoundError(f"no model in {models_dir}")
-    together = parts[0]
-    for other in parts[1:]:
-        together = together.unionByName(other)
-    table = evaluation.evaluate_models(together, ["model"])
-    files.write_documents(reporting.metric_documents(table), report_path)
+    missing = sorted(set(MODELS) - set(present))
+    table = evaluation.evaluate_models(reduce(DataFrame.unionByName, parts), ["model"])
+    report = json.loads(reporting.metric_documents(table).first()["document"])  # one entry per model
+    report = {code: {**entry, **extras.get(code, {})} for code, entry in report.items()}
+    if missing:
+        warnings.warn(f"models missing in {models_dir}: {', '.join(missing)}", stacklevel=2)
+        report["missing_models"] = missing
+    files.write_documents(spark.createDataFrame([(json.dumps(report),)], "document string"), report_path)
     return table
 
 
@@ -87,7 +142,7 @@ def sweep(
     grid: Sequence[float] = evaluation.GRID_19, split: str = "test",
 ) -> DataFrame:
     """Threshold sweep of a saved model; also written as one JSON document."""
-    scores = scored_split(spark, data_dir, models_dir, code, split)
+    scores = written_scores(spark, data_dir, models_dir, code, split)
     table = evaluation.threshold_sweep(scores, grid)
     matrix = F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix")
     row = F.struct("threshold", "precision", "recall", "f1", matrix)
@@ -120,20 +175,25 @@ def export(
 
 def explain(
     spark: SparkSession, data_dir: str, models_dir: str, code: str, out_path: str, split: str = "valid",
-    n_rows: int = 200, background_n: int = 100, n_masks: int = 100,
+    n_rows: int | None = None, background_n: int = 4, n_masks: int | None = None,
 ) -> DataFrame:
-    """Kernel attributions of sampled rows, written as (tx_id, slot, phi); returns the slot ranking."""
+    """Kernel attributions of a split, written as (tx_id, slot, phi); returns the slot ranking.
+
+    All rows are explained unless ``n_rows`` asks for a sample.  The cost per row is
+    masks times background rows; by default the masks are all subsets of one slot and
+    of all but one.
+    """
     model = load_model(spark, models_dir, code)
+    width = model.stages[-1].numFeatures
 
-    def sampled(part: str, n: int, purpose: str) -> DataFrame:
+    def dense(part: str, n: int | None, purpose: str) -> DataFrame:
         rows = files.read_split(spark, f"{data_dir}/splits", part)
-        return sampling.fixed_size_sample(rows, "tx_id", n, purpose).select(
-            "tx_id", vector_to_array("features").alias("x")
-        )
+        rows = rows if n is None else sampling.fixed_size_sample(rows, "tx_id", n, purpose)
+        return rows.select("tx_id", vector_to_array("features").alias("x"))
 
     phi = attribution.shap_kernel(
-        sampled(split, n_rows, "foreground"), "tx_id", sampled("train", background_n, "background"),
-        model.stages[-1].numFeatures, attribution.model_scorer(model), background_n, n_masks,
+        dense(split, n_rows, "foreground"), "tx_id", dense("train", background_n, "background"), width,
+        attribution.model_scorer(model), 2 * width if n_masks is None else n_masks,
     )
     phi.write.mode("overwrite").parquet(out_path)
     return attribution.shap_summary(spark.read.parquet(out_path))

@@ -1,6 +1,7 @@
 """Training, scoring and explanation over whole tables."""
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import linear_margin, logistic
@@ -11,7 +12,7 @@ from riskframe.plans.feature_queries import TRAIN_SQL, split_transactions, train
 from riskframe.plans.registry import query
 from riskframe.plans.sequence_queries import GAP_SQL, class_gap
 from riskframe.plans.sql import tx_sql
-from riskframe.session import shared_folder, spread
+from riskframe.session import shared_folder
 from riskframe.sources import files
 from riskframe.sources.models import load_model, save_model
 from riskframe.sources.transactions import table
@@ -31,7 +32,7 @@ def vectors(spark, sf_dir):
     weighted = encoding.with_class_weight(encoded, train=train_part(split))
     path = shared_folder(spark)
     columns = ("tx_id", "features", "label", "weight")
-    files.write_splits(spread(weighted, "tx_id"), path, columns)
+    files.write_splits(weighted.hint("rebalance"), path, columns)
     return spark.read.schema(weighted.select(*columns, "split").schema).parquet(path)
 
 
@@ -40,24 +41,46 @@ def part(df, split):
 
 
 def validated(code, model, valid):
-    """Metrics at 0.50 on the validation split."""
-    metrics = evaluation.classification_metrics(training.score_model(model, valid))
-    return metrics.select(F.lit(code).alias("model"), "tp", "fp", "tn", "fn", *evaluation.RATIOS)
+    """Rows and positives of the validation split by the matrix at 0.50, and how far a second route is off.
+
+    The second route is a sweep over the same scores, whose counts come from another aggregation.
+    """
+    scores = training.score_model(model, valid)
+    cells = ["tp", "fp", "tn", "fn"]
+    once = evaluation.classification_metrics(scores)
+    again = evaluation.threshold_sweep(scores, [0.5]).select(*[F.col(c).alias(f"{c}_again") for c in cells])
+    off = sum((F.abs(F.col(c) - F.col(f"{c}_again")) for c in cells), F.lit(0))
+    both = once.join(again)  # one row each
+    return both.select(
+        F.lit(code).alias("model"),
+        (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        off.cast("long").alias("off"),
+        F.col("accuracy").between(0.5, 1.0).alias("better_than_chance"),
+    )
+
+
+def _valid_sql(code):
+    return tx_sql(
+        TRAIN_SQL
+        + f" SELECT '{code}' AS model, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(isFraud) AS BIGINT) AS positives,"
+        " CAST(0 AS BIGINT) AS off, true AS better_than_chance FROM split_tx WHERE split = 'valid'"
+    )
 
 
-@query("train_logreg")
+@query("train_logreg", _valid_sql("logreg"))
 def train_logreg(spark, sf_dir):
     data = vectors(spark, sf_dir)
     return validated("logreg", training.train_logreg(part(data, "train")), part(data, "valid"))
 
 
-@query("train_random_forest")
+@query("train_random_forest", _valid_sql("rf"))
 def train_random_forest(spark, sf_dir):
     data = vectors(spark, sf_dir)
     return validated("rf", training.train_forest(part(data, "train")), part(data, "valid"))
 
 
-@query("train_gbt")
+@query("train_gbt", _valid_sql("gbt"))
 def train_gbt(spark, sf_dir):
     data = vectors(spark, sf_dir)
     return validated("gbt", training.train_gbt(part(data, "train")), part(data, "valid"))
@@ -65,27 +88,33 @@ def train_gbt(spark, sf_dir):
 
 def fitted_mlp(data, hidden=training.HIDDEN):
     train = sampling.oversample_minority(part(data, "train"), "tx_id", 0.1)
-    return training.train_mlp(train, WIDTH, hidden, maxIter=8)
+    return training.train_mlp(train, WIDTH, hidden)
 
 
-@query("train_mlp")
+@query("train_mlp", _valid_sql("mlp"))
 def train_mlp(spark, sf_dir):
     data = vectors(spark, sf_dir)
     return validated("mlp", fitted_mlp(data), part(data, "valid"))
 
 
-@query("score_model")
-def score_model(spark, sf_dir):
-    data = vectors(spark, sf_dir)
-    model = training.train_logreg(part(data, "train"))
-    return training.score_model(model, part(data, "test"), "tx_id")
-
-
 _TEST_ROWS = tx_sql(
     TRAIN_SQL + " SELECT tx_id, isFraud AS label, 0e0 AS difference FROM split_tx WHERE split = 'test'"
 )
 
 
+@query("score_model", _TEST_ROWS)
+def score_model(spark, sf_dir):
+    """Scores of the test split against the logistic of the exported coefficients."""
+    data = vectors(spark, sf_dir)
+    model = training.train_logreg(part(data, "train"))
+    last = model.stages[-1]
+    weights = F.lit([float(w) for w in last.coefficients.toArray()])
+    test = part(data, "test")
+    own = logistic(linear_margin(vector_to_array("features"), weights, last.intercept))
+    scores = training.score_model(model, test.withColumn("own", own), "tx_id", "own")
+    return scores.select("tx_id", "label", F.round(F.abs(F.col("score") - F.col("own")), 9).alias("difference"))
+
+
 @query("model_store", _TEST_ROWS)
 def model_store(spark, sf_dir):
     """Scores of the loaded model differ from the scores before saving by nothing."""
@@ -105,7 +134,7 @@ def model_store(spark, sf_dir):
 def score_batched(spark, sf_dir):
     """Batch scores differ from the model's own transform by nothing at nine digits."""
     data = vectors(spark, sf_dir)
-    model = fitted_mlp(data, (64, 32))
+    model = fitted_mlp(data)
     own = model.transform(part(data, "test"))
     batched = own.withColumn("score", training.score_batched(model, vector_to_array("features")))
     difference = F.abs(F.col("score") - vector_to_array("probability")[1])
@@ -186,7 +215,7 @@ def background_cross(spark, sf_dir):
         return df.withColumn("w", weights).withColumn("p", linear_margin(F.col("x"), F.col("w"))).drop("w")
 
     background = sampling.fixed_size_sample(rows, "vec_id", 50, "background")
-    values = explain.coalition_values(rows.select("vec_id", "x"), "vec_id", background, 50, _MASKS, margin)
+    values = explain.coalition_values(rows.select("vec_id", "x"), "vec_id", background, _MASKS, margin)
     return rounded(values, "value", digits=6)
 
 
@@ -194,39 +223,83 @@ def dense(df):
     return df.select("tx_id", vector_to_array("features").alias("x"))
 
 
-@query("shap_kernel")
+_EXPLAINED = tx_sql(
+    TRAIN_SQL
+    + f" SELECT tx_id, CAST({WIDTH} AS BIGINT) AS slots, 0e0 AS difference FROM split_tx WHERE split = 'test'"
+)
+
+
+def adding_up(phi, rows, background, scorer):
+    """Per explained row: how many slots it has, and how far their sum is from f(x) minus the base value."""
+    base = scorer(background).agg(F.avg("p").alias("b")).scalar()
+    whole = scorer(rows).select("tx_id", (F.col("p") - base).alias("expected"))
+    sums = phi.groupBy("tx_id").agg(F.count("phi").alias("slots"), F.sum("phi").alias("total"))
+    difference = F.round(F.abs(F.col("total") - F.col("expected")), 6)
+    return sums.join(whole, "tx_id").select("tx_id", "slots", difference.alias("difference"))
+
+
+@query("shap_kernel", _EXPLAINED)
 def shap_kernel(spark, sf_dir):
-    """200 sampled test rows against 100 sampled train rows under boosted trees."""
+    """Every test row under boosted trees: all subsets of one slot and of all but one, four background rows."""
     data = vectors(spark, sf_dir)
-    model = training.train_gbt(part(data, "train"))
-    rows = sampling.fixed_size_sample(part(data, "test"), "tx_id", 200)
-    background = sampling.fixed_size_sample(part(data, "train"), "tx_id", 100, "background")
-    return explain.shap_kernel(dense(rows), "tx_id", dense(background), WIDTH, explain.model_scorer(model))
+    scorer = explain.model_scorer(training.train_gbt(part(data, "train")))
+    rows = dense(part(data, "test"))
+    background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", 4, "background"))
+    phi = explain.shap_kernel(rows, "tx_id", background, WIDTH, scorer, n_masks=2 * WIDTH)
+    return adding_up(phi, rows, background, scorer)
 
 
-@query("shap_permutation")
+@query("shap_permutation", _EXPLAINED)
 def shap_permutation(spark, sf_dir):
-    """Every test row under the logistic model."""
+    """Every test row under the logistic model, in two orders and their reverses."""
     data = vectors(spark, sf_dir)
-    model = training.train_logreg(part(data, "train"))
-    background = sampling.fixed_size_sample(part(data, "train"), "tx_id", 2, "background")
-    return explain.shap_permutation(
-        dense(part(data, "test")), "tx_id", dense(background), WIDTH, explain.model_scorer(model)
-    )
+    scorer = explain.model_scorer(training.train_logreg(part(data, "train")))
+    rows = dense(part(data, "test"))
+    background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", 2, "background"))
+    return adding_up(explain.shap_permutation(rows, "tx_id", background, WIDTH, scorer), rows, background, scorer)
 
 
-@query("lime_local")
+@query(
+    "lime_local",
+    tx_sql(
+        TRAIN_SQL
+        + " SELECT tx_id, CAST(rank AS INTEGER) AS rank, true AS ordered"
+        " FROM split_tx, (SELECT unnest(range(1, 11)) AS rank) WHERE split = 'test'"
+    ),
+)
 def lime_local(spark, sf_dir):
-    """Ten sampled test rows, 5000 neighbours each, bins of the whole train split."""
+    """Every test row, 100 neighbours each, bins of the whole train split."""
     data = vectors(spark, sf_dir)
-    model = training.train_logreg(part(data, "train"))
-    rows = sampling.fixed_size_sample(part(data, "test"), "tx_id", 10)
-    return explain.lime_local(dense(rows), "tx_id", dense(part(data, "train")), explain.model_scorer(model))
+    scorer = explain.model_scorer(training.train_logreg(part(data, "train")))
+    found = explain.lime_local(dense(part(data, "test")), "tx_id", dense(part(data, "train")), scorer, n_samples=100)
+    above = F.lag(F.abs("weight")).over(Window.partitionBy("tx_id").orderBy("rank"))
+    return found.select("tx_id", "rank", F.coalesce(above >= F.abs("weight"), F.lit(True)).alias("ordered"))
+
+
+def _ranked_sql(column):
+    return (
+        f"SELECT '{column}' AS column_name, {column} AS value, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 "
+        f"AS i FROM split_tx WHERE split = 'train' GROUP BY {column}"
+    )
 
 
-@query("importance_table")
+@query(
+    "importance_table",
+    tx_sql(
+        TRAIN_SQL
+        + f""", category AS (SELECT *, 0 AS first FROM ({_ranked_sql('type')})
+  UNION ALL SELECT *, 6 AS first FROM ({_ranked_sql('merchant')})),
+slots AS (SELECT CAST(first + i AS INTEGER) AS slot, column_name || '_ohe_' || value AS name FROM category),
+models(model, total) AS (VALUES ('logreg', CAST(NULL AS DOUBLE)), ('rf', 1e0), ('gbt', 1e0))
+SELECT model, slot, name, total FROM slots, models"""
+    ),
+)
 def importance_table(spark, sf_dir):
+    """Names of the category slots by frequency, and the sum of the importances of each tree model."""
     data = vectors(spark, sf_dir)
     train = part(data, "train")
-    models = {code: fit(train) for code, fit in training.TRAINERS.items()}
-    return training.importance_table(models, data)
+    table = training.importance_table({code: fit(train) for code, fit in training.TRAINERS.items()}, data)
+    sums = table.groupBy("model").agg(F.round(F.sum("value"), 6).alias("sum"))
+    total = F.when(F.col("model") != "logreg", F.col("sum"))
+    named = table.where(F.col("name").contains("_ohe_") & ~F.col("name").endswith("__unknown"))
+    return named.join(sums, "model").select("model", "slot", "name", total.alias("total"))

@@ -79,7 +79,7 @@ def normalise_metrics(spark, sf_dir):
 ))
 def wide_metric_table(spark, sf_dir):
     documents = rp.metric_documents(evaluated(spark, sf_dir), SEGMENTS)
-    wide = rp.wide_metrics(rp.normalise_documents(documents, SEGMENTS), METRICS, [*SEGMENTS, "model"])
+    wide = rp.wide_metrics(rp.normalise_documents(documents, SEGMENTS), [*SEGMENTS, "model"])
     return rounded(wide, *METRICS)
 
 

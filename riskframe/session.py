@@ -1,6 +1,7 @@
 """Session settings and the shared folder for written intermediate tables."""
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,9 @@ def local_session(cores: str = "*", app_name: str = "riskframe", **conf) -> Spar
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", _local_folder())
+        # small tables should still use all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -31,22 +35,28 @@ def shared_folder(spark: SparkSession) -> str:
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only a local
     session, where the driver and the executors are one machine, may fall back
-    to a temporary folder.
+    to a temporary folder.  :func:`drop_shared_folders` deletes what a job made.
     """
+    return f"{_own_root(spark)}/{uuid.uuid4().hex}"
+
+
+def _own_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="riskframe-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/riskframe/{uuid.uuid4().hex}"
+        base = _local_folder()
+    return f"{base.rstrip('/')}/riskframe/{spark.sparkContext.applicationId}"
 
 
-def spread(df, key: str):
-    """``df`` hashed by ``key`` over all cores where it reads fewer files than there are cores.
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    base = tempfile.mkdtemp(prefix="riskframe-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
 
-    For work that multiplies each row many times.  A table of many files already has
-    enough tasks and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df._jdf.inputFiles()) < cores else df
+
+def drop_shared_folders(spark: SparkSession) -> None:
+    """Deletes every intermediate table that this application wrote; call it when the job ends."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

@@ -3,7 +3,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-# Folder names a model may have been saved under, in order of preference.
+# The folder names a model may have been saved under.
 FOLDERS = {
     "logreg": ["logreg", "lr", "baseline_logreg"],
     "rf": ["rf", "random_forest", "randomForest"],
@@ -11,23 +11,34 @@ FOLDERS = {
 }
 
 
+class AmbiguousModel(ValueError):
+    """Two folders claim to hold the same model."""
+
+
 def save_model(model: PipelineModel, models_dir: str, code: str) -> str:
     path = f"{models_dir.rstrip('/')}/{code}"
     model.write().overwrite().save(path)
     return path
 
 
-def resolve_model(spark: SparkSession, models_dir: str, code: str) -> str:
-    """The first existing folder among the names of a model code."""
-    names = list(dict.fromkeys([*FOLDERS.get(code, []), code]))
+def saved_models(spark: SparkSession, models_dir: str) -> set[str]:
+    """Names of the folders below ``models_dir`` that hold a saved pipeline, from two listings."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(models_dir)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for name in names:
-        if fs.exists(hadoop.Path(root, name)):
-            return f"{models_dir.rstrip('/')}/{name}"
-    present = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
-    raise FileNotFoundError(f"no model {code} in {models_dir}: looked for {names}, found {present}")
+    saved = fs.globStatus(hadoop.Path(root, "*/metadata")) or []
+    return {status.getPath().getParent().getName() for status in saved}
+
+
+def resolve_model(spark: SparkSession, models_dir: str, code: str) -> str:
+    """The folder that holds the saved pipeline of a model code, under whichever of its names."""
+    saved = saved_models(spark, models_dir)
+    candidates = saved & {code, *FOLDERS.get(code, [])}
+    if not candidates:
+        raise FileNotFoundError(f"no model {code} in {models_dir}, which holds {sorted(saved)}")
+    if len(candidates) > 1:
+        raise AmbiguousModel(f"model {code} is in {models_dir} as {sorted(candidates)}; keep one")
+    return f"{models_dir.rstrip('/')}/{candidates.pop()}"
 
 
 def load_model(spark: SparkSession, models_dir: str, code: str) -> PipelineModel:

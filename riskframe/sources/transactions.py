@@ -75,10 +75,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event, with the account and merchant balances joined in."""
     payers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    # Ten supplier keys are ever asked for and the key is unique: at most ten rows.
-    payees = F.broadcast(
-        table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 10").select("s_suppkey", "s_acctbal")
-    )
+    payees = table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 10").select("s_suppkey", "s_acctbal")
     return (
         activity(spark, sf_dir)
         .join(payees, F.expr("payee = s_suppkey"), "left")

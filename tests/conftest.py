@@ -6,13 +6,14 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from riskframe.session import local_session  # noqa: E402
+from riskframe.session import drop_shared_folders, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("8", "riskframe-tests")
     yield session
+    drop_shared_folders(session)
     session.stop()
 
 

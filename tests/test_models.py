@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.columns import linear_margin, logistic
 from riskframe.operators import explain, sampling, training
 from riskframe.plans import model_queries as mq
-from riskframe.sources.models import load_model, resolve_model, save_model
+from riskframe.sources.models import AmbiguousModel, load_model, resolve_model, save_model
 
 
 @pytest.fixture(scope="module")
@@ -24,14 +24,6 @@ def gbt(data):
     return training.train_gbt(mq.part(data, "train"), maxIter=5)
 
 
-@pytest.mark.parametrize("key", ["train_random_forest", "train_mlp", "importance_table"])
-def test_fits_run(spark, sf_dir, key):
-    from riskframe.plans.all_queries import QUERIES
-
-    rows = QUERIES[key](spark, sf_dir).collect()
-    assert len(rows) == (63 if key == "importance_table" else 1)
-
-
 def test_linear_score_is_the_model(data, logreg):
     last = logreg.stages[-1]
     w = F.array(*[F.lit(float(v)) for v in last.coefficients.toArray()])
@@ -43,14 +35,18 @@ def test_linear_score_is_the_model(data, logreg):
     assert rows.where(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
 
 
-def test_score_from_the_margin_when_probability_is_absent(data, logreg):
-    out = logreg.transform(mq.part(data, "test"))
+@pytest.mark.parametrize("kind", ["logreg", "gbt", "rf"])
+def test_score_from_the_raw_prediction_of_each_kind(data, logreg, gbt, kind):
+    model = {"logreg": logreg, "gbt": gbt}.get(kind) or training.train_forest(mq.part(data, "train"), numTrees=4)
+    out = model.transform(mq.part(data, "test"))
     a = out.select("tx_id", training.score_column(out).alias("a"))
     raw = out.drop("probability")
-    b = raw.select("tx_id", training.score_column(raw).alias("b"))
+    b = raw.select("tx_id", training.score_column(raw, model).alias("b"))
     assert a.join(b, "tx_id").where(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
+    with pytest.raises(ValueError, match="needs the"):
+        training.score_column(raw)
     with pytest.raises(ValueError, match="neither"):
-        training.score_column(raw.drop("rawPrediction"))
+        training.score_column(raw.drop("rawPrediction"), model)
 
 
 def test_batched_scores_vary(data):
@@ -68,6 +64,12 @@ def test_model_round_trip_under_an_alias(spark, data, logreg, tmp_path):
     assert again.stages[-1].coefficients == logreg.stages[-1].coefficients
     with pytest.raises(FileNotFoundError, match="no model gbt"):
         resolve_model(spark, str(tmp_path), "gbt")
+    (tmp_path / "gbtc").mkdir()  # an empty folder is no saved model
+    with pytest.raises(FileNotFoundError, match="no model gbt"):
+        resolve_model(spark, str(tmp_path), "gbt")
+    save_model(logreg, str(tmp_path), "logreg")
+    with pytest.raises(AmbiguousModel, match="keep one"):
+        resolve_model(spark, str(tmp_path), "logreg")
 
 
 def samples(data, n, m):
@@ -89,7 +91,7 @@ def test_attributions_add_up(data, gbt):
     rows, background = samples(data, 12, 2)
     scorer = explain.model_scorer(gbt)
     expected = expected_sums(rows, background, scorer)
-    kernel = explain.shap_kernel(rows, "tx_id", background, mq.WIDTH, scorer, 2, 60)
+    kernel = explain.shap_kernel(rows, "tx_id", background, mq.WIDTH, scorer, 60)
     assert sums(kernel) == pytest.approx(expected, abs=1e-9)
     walks = explain.shap_permutation(rows, "tx_id", background, mq.WIDTH, scorer, 2)
     assert sums(walks) == pytest.approx(expected, abs=1e-9)
@@ -106,7 +108,7 @@ def test_estimates_equal_the_exact_linear_values(data):
     mean = np.mean([r["x"] for r in background.collect()], axis=0)
     exact = {(r["tx_id"], i): w[i] * (r["x"][i] - mean[i]) for r in rows.collect() for i in range(mq.WIDTH)}
     for phi in (
-        explain.shap_kernel(rows, "tx_id", background, mq.WIDTH, margin, 4, 100),
+        explain.shap_kernel(rows, "tx_id", background, mq.WIDTH, margin, 100),
         explain.shap_permutation(rows, "tx_id", background, mq.WIDTH, margin, 4),
     ):
         assert {(r["tx_id"], r["slot"]): r["phi"] for r in phi.collect()} == pytest.approx(exact, abs=1e-9)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.keyed import HIGH_BITS, MODULUS, PURPOSES
 from riskframe.operators import ranking as rk
-from riskframe.operators import sampling, sequences
+from riskframe.operators import evaluation, sampling, sequences
 
 
 def draw(i, purpose):
@@ -158,19 +158,40 @@ def test_splits_are_disjoint_complete_and_stable(spark):
     assert share == pytest.approx({"train": 0.7, "valid": 0.15, "test": 0.15}, abs=0.01)
 
 
-def test_many_classes_take_the_other_way(spark):
+def test_many_classes_are_split_like_few(spark):
     df = spark.range(3000).select(F.col("id").alias("tx_id"), (F.col("id") % 1500).alias("label"))
-    with pytest.raises(Exception, match="many_classes"):
-        sampling.stratified_split(df, "tx_id").collect()
-    parts = sampling.stratified_split(df, "tx_id", train=0.5, many_classes=True).groupBy("part").count().collect()
+    parts = sampling.stratified_split(df, "tx_id", train=0.5).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in parts} == {"train": 1500, "valid": 1500}
 
 
-def test_both_ways_choose_the_same_rows(spark):
+def test_null_class_is_a_class(spark):
     rows = [(i, None if i % 11 == 0 else int(i % 4 == 0)) for i in range(2000)]
     df = spark.createDataFrame(rows, "tx_id long, label int")
-    a, b = (
-        {r["tx_id"]: r["part"] for r in sampling.stratified_split(df, "tx_id", many_classes=m).collect()}
-        for m in (False, True)
-    )
-    assert a == b and len(a) == 2000
+    found = sampling.stratified_split(df, "tx_id").groupBy("label", "part").count().collect()
+    sizes = {label: sum(1 for _, x in rows if x == label) for label in (None, 0, 1)}
+    assert {(r["label"], r["part"]): r["count"] for r in found if r["part"] == "train"} == {
+        (label, "train"): int(n * 0.8) for label, n in sizes.items()
+    }
+    assert sum(r["count"] for r in found) == 2000
+
+
+def test_null_segments_and_scores_follow_one_rule(spark):
+    rows = [("a", 1, 0.9), ("a", 0, 0.2), (None, 1, 0.7), (None, 0, 0.6), (None, 1, None)]
+    df = spark.createDataFrame(rows, "seg string, label int, score double")
+    table = {r["seg"]: r for r in evaluation.evaluate_models(df, ["seg"]).collect()}
+    matrix = {r["seg"]: r for r in evaluation.confusion(df, by=["seg"]).collect()}
+    sweep = {r["seg"]: r for r in evaluation.threshold_sweep(df, [0.5], by=["seg"]).collect()}
+    assert set(table) == set(matrix) == set(sweep) == {"a", None}
+    for seg in table:
+        cells = [[t[seg][c] for c in ("tp", "fp", "tn", "fn")] for t in (table, matrix, sweep)]
+        assert cells[0] == cells[1] == cells[2]
+    assert [matrix[None][c] for c in ("tp", "fp", "tn", "fn")] == [1, 1, 0, 1]
+    assert evaluation.threshold_sweep(df, [0.0]).first()["fn"] == 0  # a missing score is 0
+
+
+def test_sorted_numbers_of_many_values(spark):
+    values = spark.range(5000).select(F.format_string("k%05d", (F.col("id") * 7919) % 5000).alias("v"))
+    found = rk.sorted_numbers(values.repartition(13)).collect()
+    assert sorted((r["v"], r["number"]) for r in found) == [(f"k{i:05d}", i) for i in range(5000)]
+    assert rk.sorted_numbers(values.where("v is null")).count() == 0
+

@@ -66,11 +66,10 @@ def test_weight_is_not_a_feature(spark):
     assert c.flat_feature_columns(df) == ["a", "b"]
 
 
-def test_large_dictionaries_are_not_broadcast(spark):
+def test_dictionaries_of_any_size_are_numbered_in_order(spark):
     df = spark.range(300).select(F.concat(F.lit("k"), F.format_string("%03d", "id")).alias("type"))
-    codes, small = encoding.dictionary(df, "type", max_rows=50)
-    assert not small and codes.count() == 300
-    encoded = encoding.dict_encode(df, "type", "idx", max_rows=50)
+    assert encoding.dictionary(df, "type").count() == 300
+    encoded = encoding.dict_encode(df, "type", "idx")
     assert all(int(r["type"][1:]) == r["idx"] for r in encoded.collect())
     assert encoding.dict_encode(df, "type", "idx", start=1).agg(F.min("idx")).first()[0] == 1
 
@@ -123,8 +122,16 @@ def test_extract_without_ids(spark, sf_dir, tmp_path):
     rows = jobs.read_transactions(spark, source)
     assert rows.select("tx_id").distinct().count() == 1000 and dict(rows.dtypes)["amount"] == "double"
     assert rows.agg(F.sum("amount")).first()[0] == pytest.approx(raw.agg(F.sum("amount")).first()[0])
-    first, second = (sampling.three_way_split(rows, "tx_id").groupBy("split").agg(F.sum("tx_id")) for _ in range(2))
-    assert sorted(first.collect()) == sorted(second.collect())
+    def splits():
+        fresh = jobs.read_transactions(spark, source)
+        return sorted(map(tuple, sampling.three_way_split(fresh, "tx_id").select("tx_id", "split").collect()))
+
+    first = splits()
+    for key, values in (("spark.sql.files.maxPartitionBytes", ("128m", "20k")), ("spark.sql.files.minPartitionNum", ("4", "16"))):
+        for value in values:  # however the files are cut, every row keeps its id and its split
+            spark.conf.set(key, value)
+            assert splits() == first
+        spark.conf.unset(key)
     jobs.sequences(spark, source, str(tmp_path / "seq"), 20)
     assert spark.read.parquet(str(tmp_path / "seq")).count() == 44
 
@@ -134,10 +141,18 @@ def test_jobs_from_csv_to_report(spark, sf_dir, tmp_path):
     transactions(spark, sf_dir).select("tx_id", *TRANSACTION_SCHEMA.fieldNames()).write.option("header", True).csv(source)
     jobs.prepare(spark, source, data)
     meta = json.loads(files.read_documents(spark, f"{data}/meta").first()["document"])
-    assert meta["pos"] + meta["neg"] == 1000 and meta["num_cols"] == features.NUMERIC
-    jobs.train(spark, data, models, ["logreg"])
-    report = jobs.evaluate(spark, data, models, str(tmp_path / "report"))
-    assert [r["model"] for r in report.collect()] == ["logreg"]
+    n_train = files.read_split(spark, f"{data}/splits", "train").count()
+    assert meta["pos"] + meta["neg"] == n_train and meta["num_cols"] == features.NUMERIC
+    trained = jobs.train(spark, data, models, ["logreg", "mlp"], report_path=str(tmp_path / "trained"))
+    assert {r["model"]: r["used_weight"] for r in trained.collect()} == {"logreg": True, "mlp": False}
+    document = json.loads(files.read_documents(spark, str(tmp_path / "trained")).first()["document"])
+    assert document["logreg"]["train_frac"] == 1.0 and "metrics" in document["mlp"]
+    with pytest.warns(UserWarning, match="gbt, rf"):
+        report = jobs.evaluate(spark, data, models, str(tmp_path / "report"))
+    assert sorted(r["model"] for r in report.collect()) == ["logreg", "mlp"]
+    document = json.loads(files.read_documents(spark, str(tmp_path / "report")).first()["document"])
+    assert document["missing_models"] == ["gbt", "rf"] and len(document["logreg"]["top_coefficients"]) == 10
+    assert document["mlp"]["metrics_030"]["threshold"] == 0.3 and 0 <= document["mlp"]["best_f1"]["threshold"] < 1
     sweep = jobs.sweep(spark, data, models, "logreg", str(tmp_path / "sweep"))
     assert sweep.count() == 19
     document = json.loads(files.read_documents(spark, str(tmp_path / "sweep")).first()["document"])
@@ -150,5 +165,5 @@ def test_jobs_from_csv_to_report(spark, sf_dir, tmp_path):
     assert files.scan_parquet(spark, str(tmp_path / "out" / "sample")).count() == 50
     parameters = json.loads(files.read_documents(spark, str(tmp_path / "out" / "parameters")).first()["document"])
     assert len(parameters["coefficients"]) == 21
-    top = jobs.explain(spark, data, models, "logreg", str(tmp_path / "phi"), n_rows=10, background_n=5, n_masks=60)
+    top = jobs.explain(spark, data, models, "logreg", str(tmp_path / "phi"), background_n=2)
     assert top.count() == 20
