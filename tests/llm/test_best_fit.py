@@ -27,9 +27,9 @@ def plain_best_fit(lengths, capacity):
 
 
 def unrolled(counts, capacity):
-    bins = {}
-    for p in best_fit.pack_counts(counts, capacity):
-        starts = [q.rank for q in best_fit.pack_counts(counts, capacity) if q.length == p.length and q.rank > p.rank]
+    bins, places = {}, best_fit.pack_counts(counts, capacity)
+    for p in places:
+        starts = [q.rank for q in places if q.length == p.length and q.rank > p.rank]
         for rank in range(p.rank, min(starts, default=counts[p.length])):
             step = rank - p.rank
             bins.setdefault(p.first_bin + step // p.each, []).append((p.offset + step % p.each * p.length, p.length))

@@ -9,9 +9,9 @@ from riskframe.llm import wordpiece_counts as wp
 
 
 def greedy(word, starts, continuations):
-    n, at, pieces = 0, 0, starts
+    n, at, pieces, longest = 0, 0, starts, max(map(len, {*starts, *continuations}), default=0)
     while at < len(word):
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces), None)
         if end is None:
             return wp.UNKNOWN
         n, at, pieces = n + 1, end, continuations
