@@ -30,6 +30,7 @@ REGISTERS = 160
 BAND_REGISTERS = 5  # at similarity 0.8 all 32 bands miss with probability 3e-6
 BANDS = REGISTERS // BAND_REGISTERS
 MANTISSA_BITS = 10
+ROWS_AT_ONCE = 500
 BLOCK = 1024  # members of one bucket that are compared in one piece
 DEVIATIONS = 5.0  # an estimate this many standard errors below the threshold is still verified
 
@@ -86,13 +87,20 @@ def worth_verifying(a, b, size_a, size_b, threshold: float) -> np.ndarray:
     return (estimate >= threshold - slack) & ratio
 
 
+def in_parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The batches in parts of ROWS_AT_ONCE rows, so that results leave a task before many are held."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.iloc[start : start + ROWS_AT_ONCE]
+
+
 def sketch(text: Column, width: int) -> Column:
     """Struct of n_shingles, digest of the set, registers and band keys; null counts as empty."""
 
     @F.pandas_udf("n_shingles long, digest binary, registers binary, bands array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for part in texts:
+        for part in in_parts(texts):
             rows = []
             for text in part:
                 shingles = shingle_set(text, width, hashes)
@@ -109,7 +117,7 @@ def full_sets(text: Column, width: int) -> Column:
     @F.pandas_udf("digest binary, shingles array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for part in texts:
+        for part in in_parts(texts):
             sets = [shingle_set(text, width, hashes) for text in part]
             digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pd.DataFrame({"digest": digests, "shingles": [s.view(np.int64) for s in sets]})

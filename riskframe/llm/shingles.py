@@ -3,7 +3,7 @@
 import numpy as np
 import xxhash
 
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 50_000  # the frequent words of a corpus; rarer ones are hashed again
 
 
 class WordHashes(dict):
