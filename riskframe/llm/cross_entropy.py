@@ -10,7 +10,7 @@ the target.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -82,11 +82,17 @@ def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-@lru_cache(maxsize=1)
-def _tables(shared) -> tuple[np.ndarray, np.ndarray]:
-    codes, n_all, n_target = shared.value
-    scale = n_target.sum() / max(1, n_all.sum())
-    return losses(codes, n_target), losses(codes, n_all * scale)
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _tables(model: str, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Both loss tables of a model, built once per worker process; an older model's go first."""
+    if model not in _TABLES:
+        _TABLES.clear()
+        codes, n_all, n_target = shared.value
+        scale = n_target.sum() / max(1, n_all.sum())
+        _TABLES[model] = losses(codes, n_target), losses(codes, n_all * scale)
+    return _TABLES[model]
 
 
 def loss_columns(counts: DataFrame, text: str = "text") -> Column:
@@ -97,11 +103,11 @@ def loss_columns(counts: DataFrame, text: str = "text") -> Column:
     """
     found = counts.toPandas().sort_values("code")
     table = tuple(found[c].to_numpy(np.int64) for c in ("code", "n_all", "n_target"))
-    shared = counts.sparkSession.sparkContext.broadcast(table)
+    shared, model = counts.sparkSession.sparkContext.broadcast(table), uuid4().hex
 
     @F.pandas_udf("n_tokens long, target_loss double, background_loss double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        target, background = _tables(shared)
+        target, background = _tables(model, shared)
         for part in texts:
             rows = []
             for text in part:
