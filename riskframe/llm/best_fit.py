@@ -9,8 +9,11 @@ one run, so its work and its result are bounded by the capacity, whatever the
 number of documents.
 """
 
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -158,17 +161,54 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     return with_places(ranked, places).select(*pieces.columns, "sequence_id", "offset")
 
 
+def byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds(dict):
-    """Token ids, as bytes, of the words a task has seen; emptied when full."""
+    """Token ids, as bytes, of the words a worker has seen; emptied when full.
+
+    Most words are Latin letters with ASCII punctuation behind them.  A tokenizer that
+    lower-cases and splits letters from punctuation gives such a word the ids of its
+    two parts, so each part is encoded once, whatever stands beside it, and a run of
+    letters goes straight to the tokenizer's own BPE model in its byte characters.
+    All other words, and other kinds of tokenizers, take the whole encoder.
+    """
 
     LIMIT, LONGEST = 300_000, 64
+    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")  # no apostrophe: it joins letters
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        described = json.loads(tokenizer_json)
+        steps = [json.dumps(described.get(k)) for k in ("normalizer", "pre_tokenizer")]
+        self.by_parts = (
+            described["model"]["type"] == "BPE"
+            and '"Lowercase"' in steps[0]
+            and '"ByteLevel"' in steps[1]
+            and "[\\\\p{L}]+" in steps[1]
+        )
+        self.characters = byte_characters()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
+        found = self.PARTS.match(word) if self.by_parts else None
+        if not found:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        elif found[2]:
+            return self.keep(word, self[found[1]] + (self[found[2]] if found[2] != word else b""))
+        elif (lower := word.lower()) != word:
+            return self.keep(word, self[lower])
+        else:
+            plain = word if word.isascii() else "".join(map(self.characters.__getitem__, word.encode()))
+            ids = [token.id for token in self.tokenizer.model.tokenize(plain)]
+        return self.keep(word, np.array(ids, "<u4").tobytes())
+
+    def keep(self, word: str, value: bytes) -> bytes:
         if len(word) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -176,19 +216,23 @@ class WordIds(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def known_words(tokenizer_json: str) -> WordIds:
+    """One table per worker process, which serves many tasks."""
+    return WordIds(tokenizer_json)
+
+
 def token_pieces(text: Column, tokenizer_json: str, end_id: int = 0, capacity: int = CAPACITY) -> Column:
     """Array of (piece, start, ids) of whole texts; ids are little-endian unsigned 32-bit.
 
     The tokenizer must drop white space, as word-level vocabularies do: a text's ids
-    are then those of its words in turn, and each word is encoded once per task.
+    are then those of its words in turn, and a worker encodes each word once.
     ``end_id`` ends every document; a null or empty text is that id alone.
     """
 
     @F.pandas_udf("array<struct<piece: int, start: long, ids: binary>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        known, end = WordIds(Tokenizer.from_str(tokenizer_json)), np.array([end_id], "<u4").tobytes()
+        known, end = known_words(tokenizer_json), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for part in texts:
             out = []
