@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
-from conftest import ODD_TEXTS
+from samples import ODD_TEXTS
 
 from riskframe.llm import cross_entropy as ce
 from riskframe.llm import queries

@@ -1,7 +1,7 @@
 import re
 
 import numpy as np
-from conftest import ODD_TEXTS
+from samples import ODD_TEXTS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

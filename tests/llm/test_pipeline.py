@@ -1,5 +1,5 @@
 import pytest
-from conftest import ODD_TEXTS
+from samples import ODD_TEXTS
 
 import corpus_pipeline
 from riskframe.llm import hyperminhash, personal_data
@@ -60,8 +60,7 @@ def test_mix_repeats_whole_documents(stages):
         assert (r.doc_id, r.text) in texts
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert max(seen.values()) <= 3
-    words = {r.source: r.w for r in after.groupBy("source").agg({"size": "sum"} if False else {"n_chars": "sum"}).toDF("source", "w").collect()}
-    assert len(words) == before.select("source").distinct().count()
+    assert after.select("source").distinct().count() == before.select("source").distinct().count()
 
 
 def test_packed_rows_fill_sequences(stages):

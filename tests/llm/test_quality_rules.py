@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import ODD_TEXTS
+from samples import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from riskframe.llm import quality_rules, queries
