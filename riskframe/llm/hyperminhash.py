@@ -31,7 +31,7 @@ BAND_REGISTERS = 5  # at similarity 0.8 all 32 bands miss with probability 3e-6
 BANDS = REGISTERS // BAND_REGISTERS
 MANTISSA_BITS = 10
 ROWS_AT_ONCE = 500
-BLOCK = 1024  # members of one bucket that are compared in one piece
+BLOCK = 512  # members of one bucket that are compared in one piece
 DEVIATIONS = 5.0  # an estimate this many standard errors below the threshold is still verified
 
 _ORDERS = np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1)
@@ -144,15 +144,19 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    both = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-    return both.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b")
+    """The rows of ``pairs`` (a, b, any others) with 100 * intersection >= percent * union on their full sets."""
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b")).alias("common")
+    both = both.select(*pairs.columns, common, (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    linked = F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent
+    return both.filter(linked).select(*pairs.columns)
 
 
 def _cross_pairs(threshold: float):
-    """Pairs of one bucket that lie in different components and pass the estimate."""
+    """Pairs of one bucket that lie in different components and pass the estimate, with the components.
+
+    A pair that shares several bands is compared in the first of them only.
+    """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in sorted_groups(frames, ["key", "block_a", "block_b"]):
@@ -160,18 +164,22 @@ def _cross_pairs(threshold: float):
             if (comps == comps[0]).all():
                 continue
             regs, sizes = _matrix(group["registers"]), group["n_shingles"].to_numpy()
-            side = group["block"].to_numpy()
+            bands, side = np.stack(group["bands"].to_numpy()), group["block"].to_numpy()
+            band = int((bands[0] == group["key"].iat[0]).argmax())
             crossing = group["block_a"].iat[0] != group["block_b"].iat[0]
             found = []
             for i in range(len(ids) - 1):
                 other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
                 if crossing:
                     other = other[side[other] != side[i]]
+                if band and len(other):
+                    other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
                 if len(other):
-                    ok = worth_verifying(regs[[i]], regs[other], sizes[i], sizes[other], threshold)
-                    found.append(np.stack([np.full(ok.sum(), ids[i]), ids[other[ok]]], axis=1))
+                    other = other[worth_verifying(regs[[i]], regs[other], sizes[i], sizes[other], threshold)]
+                    mine = [np.full(len(other), x[i]) for x in (ids, comps)]
+                    found.append(np.stack([mine[0], ids[other], mine[1], comps[other]], axis=1))
             if found:
-                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "component_a", "component_b"])
 
     return pairs
 
@@ -234,11 +242,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     mixed = mixed.filter("low != high").select("key", "n")
     open_rows = with_blocks(labelled.join(mixed, "key"), "n", "class_id", BLOCK)
-    open_rows = open_rows.join(classes.select("class_id", "n_shingles", "registers"), "class_id")
-    pairs = grouped(open_rows, "key", "class_id").mapInPandas(_cross_pairs(threshold), "a long, b long")
-    links = links.unionByName(verified(pairs.distinct(), sets, percent))
-
-    components = connected_components(links).withColumnRenamed("node", "class_id")
+    open_rows = open_rows.join(classes.select("class_id", "n_shingles", "registers", "bands"), "class_id")
+    pairs = grouped(open_rows, "key", "class_id").mapInPandas(
+        _cross_pairs(threshold), "a long, b long, component_a long, component_b long"
+    )
+    across = verified(pairs, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    # whole components are the nodes now, so the second contraction is as small as what was still open
+    joined = connected_components(across).toDF("first", "last")
+    components = merged.join(joined, merged["component"] == joined["first"], "left")
+    components = components.select("node", F.coalesce("last", "component").alias("component"))
+    alone = joined.join(merged, joined["first"] == merged["node"], "left_anti").toDF("node", "component")
+    components = components.unionByName(alone).withColumnRenamed("node", "class_id")
     of_class = classes.select("class_id", "digest").join(components, "class_id", "left")
     of_class = of_class.select("digest", F.coalesce("component", "class_id").alias("component"))
     of_row = rows.select("doc_id", "hash_a", "hash_b", "n_shingles", "digest").join(of_class, "digest", "left")
