@@ -126,6 +126,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     the target model is uniform.
     """
     ids = target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    counts = written(trigram_counts(docs.select("doc_id", "text").join(ids, "doc_id", "left")))
+    # the target grows with the corpus: it is never broadcast, at any size
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left")
+    counts = written(trigram_counts(marked))
     scored = docs.select("doc_id", loss_columns(counts).alias("l")).select("doc_id", "l.*")
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
