@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.tables import written
 from riskframe.session import shared_folder
 
 SEGMENT_BYTES = 16_384
@@ -120,7 +121,8 @@ def write_archive(pages: DataFrame, path: str) -> None:
     rows = rows.withColumn("sha1", F.sha1("payload"))
     long_enough = rows.filter(F.octet_length("payload") >= DEDUP_FROM)
     leaders = long_enough.groupBy("sha1").agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n"))
-    leaders = leaders.filter("n > 1 and leader is not null").drop("n")
+    # written first, so that the payloads are shuffled only where the digests with copies are many
+    leaders = written(leaders.filter("n > 1 and leader is not null").drop("n"))
     own = F.col("page_id").eqNullSafe(F.col("leader"))
     records = rows.join(leaders, "sha1", "left").select(
         F.col("page_id").cast("string").alias("page"),
