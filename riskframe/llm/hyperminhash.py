@@ -58,7 +58,8 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One key per band; an empty register borrows the first filled one in its own random order."""
     filled = regs > 0
-    source = np.arange(REGISTERS) if filled.all() else _ORDERS[np.arange(REGISTERS), filled[_ORDERS].argmax(axis=1)]
+    own = np.arange(REGISTERS)
+    source = np.where(filled, own, _ORDERS[own, filled[_ORDERS].argmax(axis=1)])
     cells = ((source.astype(np.uint64) << np.uint64(16)) | regs[source]).reshape(BANDS, BAND_REGISTERS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(BAND_REGISTERS):

@@ -137,3 +137,24 @@ def test_shingles_of_words():
     assert len(shingle_set(" \x0b\x0c", 2, hashes)) == 0
     assert len(shingle_set("a b", 2, hashes)) == 1  # no ASCII white space, so one word
     assert (shingle_set("É x", 2, hashes) != shingle_set("é x", 2, hashes)).all()
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 0.99])
+def test_pairs_share_a_band_at_every_size(similarity):
+    rng = np.random.default_rng(5)
+    for union in (20, 100, 400, 600, 800, 1_000, 1_200, 1_500, 2_000):
+        same = int(np.ceil(similarity * union))
+        cut = same + (union - same) // 2
+        for _ in range(100):
+            ids = mix(rng.integers(0, 2**62, union, np.uint64))
+            a, b = (hyperminhash.band_keys(hyperminhash.registers(s)) for s in (ids[:cut], np.r_[ids[:same], ids[cut:]]))
+            assert (a == b).any(), union
+
+
+def test_pairs_of_long_texts(make_docs):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2_000)]
+    docs = []
+    for i, length in enumerate((400, 600, 800, 900, 1_000, 1_100, 1_200, 1_500, 2_000) * 8):
+        docs += near_copies(rng, 2, length, vocabulary, length // 25, 10 * i)
+    assert found(make_docs(docs), 2) == reference(docs, 2, 80)
