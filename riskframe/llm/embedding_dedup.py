@@ -48,9 +48,9 @@ def _digest(vectors: pd.Series) -> pd.Series:
 
 
 def sign_codes(vector: Column, bits: int, tables: int, seed: int = 5) -> Column:
-    """The sign codes of a vector, one unsigned 32-bit integer per table, as bytes."""
+    """The sign codes of a vector, one integer of at most MAX_BITS = 31 bits per table."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def codes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         planes = {}
         for part in parts:
@@ -60,7 +60,7 @@ def sign_codes(vector: Column, bits: int, tables: int, seed: int = 5) -> Column:
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((tables * bits, len(v)))
                 signs = (planes[len(v)] @ v >= 0).reshape(tables, bits)
-                out.append((signs @ (1 << np.arange(bits))).astype("<u4").tobytes())
+                out.append((signs @ (1 << np.arange(bits))).astype(np.int32))
             yield pd.Series(out, dtype=object)
 
     return codes(vector)
@@ -101,7 +101,7 @@ def _links(threshold: float):
                     continue
                 ids, size = group["class_id"].to_numpy()[at], group["n"].to_numpy()[at]
                 edges = [(ids[a], ids[b], 0) for a, b in spanning_forest(linked)]
-                codes = np.frombuffer(b"".join(group["codes"].iloc[at]), "<u4").reshape(len(at), -1)
+                codes = np.stack(group["codes"].iloc[at].to_numpy())
                 i, j = np.nonzero(np.triu(linked))
                 mine = (codes[i] == codes[j]).argmax(axis=1) == group["key"].iat[0] >> 32
                 i, j = i[mine], j[mine]
@@ -131,10 +131,8 @@ def near_duplicates(
     bits, tables = plan_tables(classes.count(), threshold, recall)
     coded = written(classes.select("class_id", "n", "embedding", sign_codes(F.col("embedding"), bits, tables).alias("codes")))
 
-    place = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("place")
-    members = coded.select("class_id", "codes", place)
-    code = F.conv(F.hex(F.reverse(F.substring("codes", F.col("place") * 4 + 1, F.lit(4)))), 16, 10).cast("long")
-    members = members.select("class_id", (F.shiftleft(F.col("place").cast("long"), 32) + code).alias("key"))
+    members = coded.select("class_id", F.posexplode("codes").alias("place", "code"))
+    members = members.select("class_id", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("code")).alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     placed = with_blocks(members.join(sizes, "key"), "members", "class_id", BLOCK).join(coded, "class_id")
     found = grouped(placed, "key", "class_id").mapInPandas(_links(threshold), "a long, b long, weight long")

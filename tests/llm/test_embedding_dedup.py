@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from riskframe.llm import embedding_dedup
 
@@ -71,3 +72,13 @@ def test_tables_meet_the_recall():
         bits, tables = embedding_dedup.plan_tables(n, 0.9, 0.99)
         same = (1 - np.arccos(0.9) / np.pi) ** bits
         assert 1 - (1 - same) ** tables >= 0.99
+
+
+@pytest.mark.parametrize("bits", [16, 24, 31])
+def test_equal_codes_meet_at_every_width(spark, monkeypatch, bits):
+    monkeypatch.setattr(embedding_dedup, "plan_tables", lambda *a: (bits, 1))
+    rng = np.random.default_rng(bits)
+    base = rng.standard_normal((1_000, 64)).astype(np.float32)
+    # twice the vector is another row with the same signs
+    rows = [(2 * i + k, ((1 + k) * v).tolist()) for i, v in enumerate(base) for k in (0, 1)]
+    assert found(spark, rows) == sorted(((i, 1, i - i % 2) for i in range(2_000)), key=str)
