@@ -10,7 +10,7 @@ beside the base spans.
 """
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -52,7 +52,7 @@ _WIDER = {
         r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señor|Señora)\.? [A-Z][\w'-]+(?: [A-Z][\w'-]+)?"
     ),
     "secret": re.compile(
-        r"(?:(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?[^\s\"']{6,256}+[\"']?)"
+        r"(?:(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?[^\s\"']{6,}+[\"']?)"
         r"|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
     ),
 }
@@ -143,7 +143,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def wider_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the wider patterns that touch none of ``taken``."""
+    """Spans of the wider patterns that touch none of ``taken``; a secret that does gives its parts outside of them."""
     found, has_digit = [], bool(_DIGIT.search(text))
     for kind, pattern in _WIDER.items():
         clues = _CLUES[kind]
@@ -153,7 +153,16 @@ def wider_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         order = sorted((a, b) for _, a, b in taken)
         starts, reach = [a for a, _ in order], list(accumulate((b for _, b in order), max))
         free = lambda a, b: not (i := bisect_left(starts, b)) or reach[i - 1] <= a
+        touching = [s for s in found if s[0] == "secret" and not free(s[1], s[2])]
         found = [s for s in found if free(s[1], s[2])]
+        for _, start, end in touching:
+            i, parts = bisect_right(reach, start), []
+            while i < len(order) and order[i][0] < end:
+                parts, start, i = [*parts, (start, order[i][0])], max(start, order[i][1]), i + 1
+            parts = [p for p in [*parts, (start, end)] if p[1] - p[0] >= 6]
+            # what precedes the first base span must be a secret by itself
+            if parts and _WIDER["secret"].match(text, *parts[0]):
+                found += [("secret", *p) for p in parts]
     return found
 
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from samples import ODD_TEXTS
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,27 @@ def test_masks(make_docs):
     rows = pd_.accepted(found, pd_.SpanModel((-30.0,) + (0.0,) * (len(pd_.KINDS) + pd_.N_FEATURES), ()))
     out = [r.m for r in rows.select(pd_.masked().alias("m")).collect()]
     assert out == ["mail [EMAIL] or [PHONE].", "clean", None]
+
+
+@pytest.mark.parametrize("token", ["aZ3-" * 1_500, "eyJhbGciOiJIUzI1NiJ9." + "Qx7_" * 150])
+def test_long_secrets_are_whole(token):
+    text = f"use token={token} for now"
+    assert pd_.wider_spans(text, pd_.base_spans(text)) == [("secret", 4, 10 + len(token))]
+
+
+def test_long_secret_beside_an_address():
+    head, tail = "token=" + "aZ3-" * 100, "&x=" + "bY4-" * 100
+    text = head + "&mail=jane@example.com" + tail + " end"
+    spans = pd_.wider_spans(text, pd_.base_spans(text))
+    assert [s[0] for s in spans] == ["secret", "secret"]
+    assert spans[0][1] == 0 and spans[0][2] >= len(head) and spans[1][2] == len(text) - 4
+    text = "password: jane@example.com"
+    assert pd_.wider_spans(text, pd_.base_spans(text)) == []
+
+
+def test_long_secret_is_masked(make_docs):
+    token = "aZ3-" * 1_500
+    docs = make_docs([(1, f"use token={token} for now")])
+    found = docs.select("text", pd_.candidates().alias("c")).select("text", "c.*")
+    rows = pd_.accepted(found, pd_.SpanModel((30.0,) + (0.0,) * (len(pd_.KINDS) + pd_.N_FEATURES), ()))
+    assert [r.m for r in rows.select(pd_.masked().alias("m")).collect()] == ["use [SECRET] for now"]
