@@ -1,6 +1,6 @@
 """Feature rankings and attributions."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -254,83 +254,62 @@ def lime_local(
 ) -> DataFrame:
     """(id, rank, feature, weight): a local linear surrogate per row on quartile bins.
 
-    For each row ``n_samples`` neighbours draw a bin per slot by its share in
-    ``train`` and a value evenly inside the bin.  A ridge regression on "same bin as
-    the row" indicators, weighted by closeness, gives the slot weights.
+    The row itself and ``n_samples`` - 1 neighbours, which draw a bin per slot by its
+    share in ``train`` and a value evenly inside the bin, are scored; all rows share
+    the neighbours.  A ridge regression on "same bin as the row" indicators, weighted
+    by closeness, gives the slot weights.
     """
     bins = quartile_bins(train)
     width = len(bins)
     kernel = kernel_width if kernel_width is not None else 0.75 * width**0.5
 
-    def doubles(lists) -> Column:
-        return F.array(*[F.array(*[F.lit(float(v)) for v in inner]) for inner in lists])
-
-    shares = [np.cumsum(np.array(b["n"]) / sum(b["n"]))[:-1] for b in bins]
-    tables = rebalanced(rows.select(id_col, F.col("x").alias("own"))).select(
-        id_col,
-        "own",
-        doubles(shares).cast("array<array<double>>").alias("cum"),
-        doubles([b["low"] for b in bins]).alias("low"),
-        doubles([b["high"] for b in bins]).alias("high"),
-    )
-    neighbours = tables.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-
-    def draw(i: Column, purpose: int) -> Column:
-        code = F.xxhash64(F.col(id_col), F.col("sample"), i, F.lit(purpose), F.lit(seed))
-        return F.pmod(code, F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
-
-    slots = F.sequence(F.lit(0), F.lit(width - 1))
-    picked = neighbours.withColumn(
-        "bin", F.transform(slots, lambda i: F.size(F.filter(F.col("cum")[i], lambda c: c <= draw(i, 1))))
-    )
-    own_bin = F.transform(
-        slots,
-        lambda i: F.size(
-            F.filter(F.slice(F.col("high")[i], 1, F.size(F.col("high")[i]) - 1), lambda h: h < F.col("own")[i])
-        ),
-    )
-    values = F.transform(
-        slots,
-        lambda i: F.when(F.col("sample") == 0, F.col("own")[i]).otherwise(
-            F.col("low")[i][F.col("bin")[i]]
-            + draw(i, 2) * (F.col("high")[i][F.col("bin")[i]] - F.col("low")[i][F.col("bin")[i]])
-        ),
-    )
-    neighbours = (
-        picked.withColumn("own_bin", own_bin)
-        .withColumn(
-            "same",
-            F.transform(
-                slots, lambda i: ((F.col("bin")[i] == F.col("own_bin")[i]) | (F.col("sample") == 0)).cast("double")
-            ),
-        )
-        .select(id_col, "same", values.alias("x"))
+    # the draws do not depend on the explained row: made and scored once, n_samples bounds what is collected
+    rng = np.random.default_rng(seed)
+    drawn, values = [], []
+    for b in bins:
+        cum = np.cumsum(np.array(b["n"]) / sum(b["n"]))[:-1]
+        bin_ = np.searchsorted(cum, rng.random(n_samples - 1), side="right")
+        low, high = np.array(b["low"], float)[bin_], np.array(b["high"], float)[bin_]
+        drawn.append(bin_)
+        values.append(low + rng.random(n_samples - 1) * (high - low))
+    drawn, values = np.stack(drawn, axis=1).astype(np.int8), np.stack(values, axis=1)
+    neighbours = rows.sparkSession.createDataFrame(
+        [(i, v) for i, v in enumerate(values.tolist())], "sample int, x array<double>"
     )
-    scored = scorer(neighbours).select(id_col, "same", "p")
+    scores = scorer(neighbours).select("sample", "p").toPandas().sort_values("sample")["p"].to_numpy(float)
+    tops = [np.array(b["high"][:-1], float) for b in bins]
 
     def ridge(z, y, w, alpha):
         zm, ym = np.average(z, axis=0, weights=w), np.average(y, weights=w)
         zc, yc = z - zm, y - ym
         return np.linalg.solve(zc.T @ (w[:, None] * zc) + alpha * np.eye(z.shape[1]), zc.T @ (w * yc))
 
-    def surrogate(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, y = np.stack(pdf["same"].to_numpy()), pdf["p"].to_numpy()
+    def surrogate(own: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+        own_bin = np.array([np.searchsorted(top, v, side="left") for top, v in zip(tops, own)])
+        z = np.vstack([np.ones(width), drawn == own_bin])  # the row itself comes first
+        y = np.append(p, scores)
         w = np.sqrt(np.exp(-((1.0 - z) ** 2).sum(axis=1) / kernel**2))
         first = ridge(z, y, w, 0.01)
         chosen = np.argsort(-np.abs(first), kind="stable")[:n_features]
         weight = ridge(z[:, chosen], y, w, 1.0)
         order = np.argsort(-np.abs(weight), kind="stable")
-        return pd.DataFrame(
-            {
-                id_col: pdf[id_col].iloc[0],
-                "rank": np.arange(1, len(order) + 1, dtype="int32"),
-                "feature": [f"f{chosen[o]}" for o in order],
-                "weight": weight[order],
-            }
-        )
-
-    # A group is one explained row: n_samples neighbours, whatever the table size.
+        return chosen[order], weight[order]
+
+    def surrogates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for id_, own, p in zip(frame[id_col], frame["x"], frame["p"]):
+                slots, weight = surrogate(np.asarray(own, float), p)
+                yield pd.DataFrame(
+                    {
+                        id_col: id_,
+                        "rank": np.arange(1, len(slots) + 1, dtype="int32"),
+                        "feature": [f"f{i}" for i in slots],
+                        "weight": weight,
+                    }
+                )
+
+    # each row is explained in its own task, against the same neighbours: nothing is shuffled but whole rows
     id_type = rows.schema[id_col].dataType.simpleString()
-    return scored.groupBy(id_col).applyInPandas(
-        surrogate, f"{id_col} {id_type}, rank int, feature string, weight double"
+    return scorer(rebalanced(rows.select(id_col, "x"))).select(id_col, "x", "p").mapInPandas(
+        surrogates, f"{id_col} {id_type}, rank int, feature string, weight double"
     )

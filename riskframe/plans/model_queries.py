@@ -268,10 +268,10 @@ def shap_permutation(spark, sf_dir):
     ),
 )
 def lime_local(spark, sf_dir):
-    """Every test row, 64 neighbours each, bins of the whole train split."""
+    """Every test row against 5000 neighbours, bins of the whole train split."""
     data = vectors(spark, sf_dir)
     scorer = explain.model_scorer(training.train_logreg(part(data, "train")))
-    found = explain.lime_local(dense(part(data, "test")), "tx_id", dense(part(data, "train")), scorer, n_samples=64)
+    found = explain.lime_local(dense(part(data, "test")), "tx_id", dense(part(data, "train")), scorer)
     above = F.lag(F.abs("weight")).over(Window.partitionBy("tx_id").orderBy("rank"))
     return found.select("tx_id", "rank", F.coalesce(above >= F.abs("weight"), F.lit(True)).alias("ordered"))
 

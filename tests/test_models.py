@@ -1,3 +1,5 @@
+from inspect import signature
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -145,3 +147,27 @@ def test_nan_attributions_count_as_zero(spark):
     assert [tuple(r) for r in explain.mean_abs_by_feature(values).collect()] == [("f0", 1.0), ("f1", 0.5)]
     by_class = spark.createDataFrame([(0, 0, 5.0), (1, 0, 1.0)], "class int, slot int, phi double")
     assert explain.shap_summary(by_class).first()["mean_abs"] == 1.0
+
+
+def test_registered_surrogates_use_all_neighbours(spark, sf_dir, monkeypatch):
+    asked, lime_local = [], explain.lime_local
+    default = signature(lime_local).parameters["n_samples"].default
+
+    def spy(*args, **more):
+        asked.append(more.get("n_samples", default))
+        return lime_local(*args, **more)
+
+    monkeypatch.setattr(explain, "lime_local", spy)
+    mq.lime_local(spark, sf_dir)
+    assert asked == [5000]
+
+
+def test_surrogates_of_two_seeds_agree(data, logreg):
+    """With all neighbours the strongest slot hardly depends on the draws."""
+    rows = mq.dense(mq.part(data, "test")).limit(60)
+    train, scorer = mq.dense(mq.part(data, "train")), explain.model_scorer(logreg)
+    top = [
+        {r["tx_id"]: r["feature"] for r in explain.lime_local(rows, "tx_id", train, scorer, seed=s).where("rank = 1").collect()}
+        for s in (1, 2)
+    ]
+    assert len(top[0]) == 60 and np.mean([top[1][i] == f for i, f in top[0].items()]) > 0.75
