@@ -175,7 +175,7 @@ def export(
 
 def explain(
     spark: SparkSession, data_dir: str, models_dir: str, code: str, out_path: str, split: str = "valid",
-    n_rows: int | None = None, background_n: int = 4, n_masks: int | None = None,
+    n_rows: int | None = None, background_n: int = 100, n_masks: int | None = None,
 ) -> DataFrame:
     """Kernel attributions of a split, written as (tx_id, slot, phi); returns the slot ranking.
 

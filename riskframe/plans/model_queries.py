@@ -18,6 +18,7 @@ from riskframe.sources.models import load_model, save_model
 from riskframe.sources.transactions import table
 
 WIDTH = 21
+BACKGROUND = 100  # rows that stand for the train split in an attribution
 
 
 def vectors(spark, sf_dir):
@@ -240,23 +241,24 @@ def adding_up(phi, rows, background, scorer):
 
 @query("shap_kernel", _EXPLAINED)
 def shap_kernel(spark, sf_dir):
-    """Every test row under boosted trees: all subsets of one slot and of all but one, four background rows."""
+    """Every test row under boosted trees: all subsets of one slot and of all but one, 100 background rows."""
     data = vectors(spark, sf_dir)
     scorer = explain.model_scorer(training.train_gbt(part(data, "train")))
     rows = dense(part(data, "test"))
-    background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", 4, "background"))
+    background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", BACKGROUND, "background"))
     phi = explain.shap_kernel(rows, "tx_id", background, WIDTH, scorer, n_masks=2 * WIDTH)
     return adding_up(phi, rows, background, scorer)
 
 
 @query("shap_permutation", _EXPLAINED)
 def shap_permutation(spark, sf_dir):
-    """Every test row under the logistic model, in two orders and their reverses."""
+    """Every test row under the logistic model: for each of 100 background rows one order and its reverse."""
     data = vectors(spark, sf_dir)
     scorer = explain.model_scorer(training.train_logreg(part(data, "train")))
     rows = dense(part(data, "test"))
-    background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", 2, "background"))
-    return adding_up(explain.shap_permutation(rows, "tx_id", background, WIDTH, scorer), rows, background, scorer)
+    background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", BACKGROUND, "background"))
+    phi = explain.shap_permutation(rows, "tx_id", background, WIDTH, scorer, pairs=BACKGROUND)
+    return adding_up(phi, rows, background, scorer)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import linear_margin, logistic
 from riskframe.operators import explain, sampling, training
+from riskframe.plans import jobs
 from riskframe.plans import model_queries as mq
 from riskframe.sources.models import AmbiguousModel, load_model, resolve_model, save_model
 
@@ -171,3 +172,12 @@ def test_surrogates_of_two_seeds_agree(data, logreg):
         for s in (1, 2)
     ]
     assert len(top[0]) == 60 and np.mean([top[1][i] == f for i, f in top[0].items()]) > 0.75
+
+
+def test_registered_attributions_use_a_large_background(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mq, "adding_up", lambda phi, rows, background, scorer: seen.append(background.count()))
+    mq.shap_kernel(spark, sf_dir)
+    mq.shap_permutation(spark, sf_dir)
+    assert seen == [100, 100]
+    assert signature(jobs.explain).parameters["background_n"].default == 100
