@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import (
     best_fit,
+    centroid_clusters,
     cross_entropy,
     embedding_dedup,
+    fill_in_middle,
     hyperminhash,
+    level_packing,
     personal_data,
     quality_rules,
     source_mix,
@@ -202,3 +205,92 @@ def op7_warc_segments(spark, sf_dir):
     out = read.join(full.distinct(), ["refers_to", "payload_digest"], "left")
     size = F.coalesce("own_bytes", "full_bytes").alias("payload_bytes")
     return out.select("page_id", size, "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS draw
+        FROM documents
+    ), units AS (
+        SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+               ('0x' || substr(draw, 1, 8))::BIGINT AS h1, ('0x' || substr(draw, 9, 8))::BIGINT AS h2,
+               ('0x' || substr(draw, 17, 8))::BIGINT AS h3, ('0x' || substr(draw, 25, 8))::BIGINT AS h4
+        FROM texts
+    ), cuts AS (
+        SELECT doc_id, text, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+               greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                         OR h3 % 100 >= 50 THEN 'plain'
+                    WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+        FROM units
+    ), parts AS (
+        SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+               array_to_string(u[b + 1:], '') AS s
+        FROM cuts
+    )
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=42, with_output=False)
+
+
+def _lloyd_sql(k: int, rounds: int, seed: int) -> str:
+    """Lloyd's rounds over whole vectors, one after the other."""
+    steps = [
+        f"""WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+        FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, 'null')), x) - 1 AS j, x AS c
+        FROM v QUALIFY j < {k}
+    )"""
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} AS MATERIALIZED (
+        SELECT r, min((d, j)) AS best FROM (
+            SELECT r, j, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d
+            FROM v, c{t}
+        ) GROUP BY r
+    )"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""c{t + 1} AS MATERIALIZED (
+        SELECT j, coalesce(n.c, c{t}.c) AS c FROM c{t} LEFT JOIN (
+            SELECT j, list(m ORDER BY i) AS c FROM (
+                SELECT best[2] AS j, i, floor(sum(x[i]) / count(*)) AS m
+                FROM a{t} JOIN v USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL
+            ) GROUP BY j
+        ) n USING (j)
+    )"""
+            )
+    return (
+        ", ".join(steps)
+        + f""", found AS (SELECT vec_id, best[2] AS j, best[1]::BIGINT AS distance FROM a{rounds} JOIN v USING (r))
+    SELECT vec_id, j::INTEGER AS cluster, distance,
+           sum(distance) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+    FROM found JOIN c{rounds} USING (j)"""
+    )
+
+
+@query("op12_centroid_clusters", _lloyd_sql(k=40, rounds=5, seed=2))
+def op12_centroid_clusters(spark, sf_dir):
+    return centroid_clusters.clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+@query("op13_level_packing")
+def op13_level_packing(spark, sf_dir):
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        return level_packing.pack(table(spark, sf_dir, "documents"), file.read(), end_id=2)

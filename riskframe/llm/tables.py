@@ -13,15 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once into a new table of the shared folder and read from there.
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` computed once into a new table of the shared folder, read from there, and the table's path.
 
     Lineage ends at files that every executor reaches, so a lost executor costs
     only the tasks that were reading or writing.
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a new table of the shared folder, as by :func:`stored`."""
+    return stored(df)[0]
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Deletes a table that :func:`stored` wrote; nothing may read it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def n_words(text: str) -> Column:
