@@ -7,12 +7,13 @@ from math import comb
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import slot_name
-from riskframe.operators.training import score_column
+from riskframe.operators.training import BatchScorer, batch_scorer, score_column
 
 
 def top_by_magnitude(values: DataFrame, n: int) -> DataFrame:
@@ -43,12 +44,11 @@ def positive_class(values: DataFrame, column: str = "class") -> DataFrame:
 def shap_linear(rows: DataFrame, weights: Column, x: str = "x") -> DataFrame:
     """(kept columns, slot, phi): phi = w * (x - mean x), exact for a linear margin."""
     keep = [c for c in rows.columns if c != x]
-    exploded = rows.select(*keep, F.posexplode(x).alias("slot", "value"))
-    means = exploded.groupBy("slot").agg(F.avg("value").alias("mean"))
-    mean_of = as_array(means, "mean")
-    with_stats = exploded.withColumn("_w", weights).withColumn("_m", mean_of)
-    phi = F.col("_w")[F.col("slot")] * (F.col("value") - F.col("_m")[F.col("slot")])
-    return with_stats.select(*keep, "slot", phi.alias("phi"))
+    # one mean vector over the rows, not one row per slot
+    means = rows.agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("m")).scalar()
+    with_stats = rows.select(*keep, F.col(x).alias("_x"), weights.alias("_w"), means.alias("_m"))
+    phi = F.transform("_x", lambda v, i: F.col("_w")[i] * (v - F.col("_m")[i]))
+    return with_stats.select(*keep, F.posexplode(phi).alias("slot", "phi"))
 
 
 def as_array(per_slot: DataFrame, value: str) -> Column:
@@ -61,12 +61,24 @@ def as_array(per_slot: DataFrame, value: str) -> Column:
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def model_scorer(model: PipelineModel) -> Scorer:
-    def score(df: DataFrame) -> DataFrame:
-        predicted = model.transform(df.withColumn("features", array_to_vector("x")))
-        return predicted.withColumn("p", score_column(predicted, model)).select(*df.columns, "p")
+class ModelScorer:
+    """The scorer of a fitted model.
 
-    return score
+    ``batch`` scores a matrix of rows inside a task, to the model's own scores, where the
+    kind of model is known; else it is None and explanations go through the table form.
+    """
+
+    def __init__(self, model: PipelineModel):
+        self.model = model
+        self.batch = batch_scorer(model)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        predicted = self.model.transform(df.withColumn("features", array_to_vector("x")))
+        return predicted.withColumn("p", score_column(predicted, self.model)).select(*df.columns, "p")
+
+
+def model_scorer(model: PipelineModel) -> ModelScorer:
+    return ModelScorer(model)
 
 
 def background_array(background: DataFrame) -> Column:
@@ -154,16 +166,120 @@ def kernel_solution(masks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray,
     return gain, share
 
 
+class Mixes:
+    """Scores of rows mixed into background rows, each distinct mix of a row scored once.
+
+    Mix j takes the slots of ``masks[j]`` from the row and the others from background row
+    ``of[j]``.  Where row and background agree, a slot changes nothing.  So a mix in
+    which nothing changes has the background's own score, one in which everything
+    changes the row's, and one in which a single slot changes is looked up in a table
+    by (background row, slot, value) that all rows of a task share.  Of the others,
+    those that come to the same values are one: background rows that agree in the slots
+    that are left to them make no difference.
+    """
+
+    LARGEST_TABLE = 2_000  # (slot, value) entries that a task keeps, one score per background row each
+
+    def __init__(self, background: np.ndarray, of: np.ndarray, masks: np.ndarray, score: BatchScorer):
+        self.background, self.of, self.masks, self.score = background, of, masks.astype(bool), score
+        self.base = score(background)
+        # a number per slot and distinct background value; 0 is the row's own value
+        codes = np.stack([np.unique(column, return_inverse=True)[1] + 1 for column in background.T], axis=1)
+        self.codes = codes.astype(np.uint64)
+        self.spread = np.random.default_rng(7).integers(1, 1 << 62, background.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+        self.changed: dict[tuple[int, float], np.ndarray] = {}  # (slot, value): the score of every background row with it
+        self.scored = len(background)  # mixes that were scored
+
+    def of_row(self, own: np.ndarray, p: float) -> np.ndarray:
+        """The score of every mix of a row whose own score is ``p``."""
+        differs = self.background != own
+        moved = self.masks & differs[self.of]
+        n_moved, n_differs = moved.sum(axis=1), differs.sum(axis=1)[self.of]
+        out = np.where(n_moved == 0, self.base[self.of], p)
+        single = np.flatnonzero((n_moved == 1) & (n_differs > 1))
+        slots = moved[single].argmax(axis=1)
+        open_ = np.flatnonzero((n_moved > 1) & (n_moved < n_differs))
+        moved, of = moved[open_], self.of[open_]
+        # slots in which both agree count as the row's own, so equal mixes have equal codes
+        codes = np.where(moved | ~differs[of], np.uint64(0), self.codes[of])
+        _, first, same = np.unique(codes @ self.spread, return_index=True, return_inverse=True)
+        if (codes[first][same] != codes).any():  # two mixes with one number
+            _, first, same = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+        mixed = np.where(moved[first], own, self.background[of[first]])
+        # what the table lacks is scored together with the mixes
+        lacking = [s for s in np.unique(slots) if (s, own[s]) not in self.changed]
+        changed = np.tile(self.background, (len(lacking), 1))
+        n = len(self.background)
+        for k, slot in enumerate(lacking):
+            changed[k * n : (k + 1) * n, slot] = own[slot]
+        new = np.flatnonzero((changed != np.tile(self.background, (len(lacking), 1))).any(axis=1))
+        scores = np.tile(self.base, len(lacking))
+        scored = self.score(np.concatenate([mixed, changed[new]]))
+        self.scored += len(scored)
+        scores[new] = scored[len(mixed) :]
+        if len(self.changed) + len(lacking) > self.LARGEST_TABLE:
+            self.changed = {(s, own[s]): self.changed[s, own[s]] for s in np.unique(slots) if (s, own[s]) in self.changed}
+        for k, slot in enumerate(lacking):
+            self.changed[slot, own[slot]] = scores[k * n : (k + 1) * n]
+        for slot in np.unique(slots):
+            at = single[slots == slot]
+            out[at] = self.changed[slot, own[slot]][self.of[at]]
+        out[open_] = scored[: len(mixed)][same.ravel()]
+        return out
+
+
+def background_matrix(background: DataFrame) -> np.ndarray:
+    """The background rows in a fixed order; the caller chooses how many they are."""
+    return np.array(background.select(F.array_sort(F.collect_list("x"))).first()[0], float)
+
+
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.array(x.tolist(), float)
+
+
+def _by_change(
+    rows: DataFrame, id_col: str, background: DataFrame, of, masks: np.ndarray, batch: BatchScorer, attribute
+) -> DataFrame:
+    """(id, slot, phi) from ``attribute(values, p, base)`` of each row's mixes, all in the row's own task."""
+    others = background_matrix(background)
+    if not len(others):
+        raise ValueError("an attribution needs at least one background row")
+    of = np.asarray(of(len(others)))
+
+    @F.pandas_udf("array<double>")
+    def attributions(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        mixes = Mixes(others, of, masks(len(others)), batch)
+        base = mixes.base.mean()
+        for part in parts:
+            x = _matrix(part)
+            scores = batch(x) if len(x) else []
+            yield pd.Series([attribute(mixes.of_row(own, p), p, base) for own, p in zip(x, scores)], dtype=object)
+
+    found = rebalanced(rows.select(id_col, "x")).select(id_col, attributions("x").alias("phi"))
+    return found.select(id_col, F.posexplode("phi").alias("slot", "phi"))
+
+
 def shap_kernel(
     rows: DataFrame, id_col: str, background: DataFrame, width: int, scorer: Scorer, n_masks: int = 100
 ) -> DataFrame:
     """(id, slot, phi): kernel estimate of Shapley values of any scored model.
 
     ``rows`` and ``background`` hold a dense array ``x``.  Per row the phi add up to
-    f(x) minus the mean score of the background.
+    f(x) minus the mean score of the background.  A scorer with a batch form is asked
+    for the distinct mixes of a row and a background row only, see :class:`Mixes`.
     """
     masks, weights = kernel_masks(width, n_masks)
     gain, share = kernel_solution(masks, weights)
+    if getattr(scorer, "batch", None):
+
+        def attribute(values: np.ndarray, p: float, base: float) -> np.ndarray:
+            means = values.reshape(len(masks), -1).mean(axis=1)
+            return gain @ (means - base) + share * (p - base)
+
+        return _by_change(
+            rows, id_col, background, lambda n: np.tile(np.arange(n), len(masks)),
+            lambda n: np.repeat(masks, n, axis=0), scorer.batch, attribute,
+        )
     base = scorer(background.select("x")).agg(F.avg("p").alias("b")).scalar()
     values = coalition_values(rows, id_col, background, masks.tolist(), scorer)
     # one flat literal: the gains of a mask are a slice of it
@@ -179,35 +295,50 @@ def shap_kernel(
     return parts.groupBy(id_col, "slot").agg(F.sum(F.col("d") * F.col("factor")).alias("phi"))
 
 
+def sampled_orders(width: int, pairs: int, seed: int = 42) -> list[tuple[int, np.ndarray]]:
+    """(number of the background row, order of the slots): each drawn order next to its reverse."""
+    rng = np.random.default_rng(seed)
+    orders = []
+    for k in range(pairs):
+        order = rng.permutation(width)
+        orders += [(k, order), (k, order[::-1])]
+    return orders
+
+
 def shap_permutation(
     rows: DataFrame, id_col: str, background: DataFrame, width: int, scorer: Scorer, pairs: int = 2, seed: int = 42
 ) -> DataFrame:
     """(id, slot, phi): Shapley values from sampled orders, each next to its reverse.
 
     Walking an order moves one slot at a time from a background row to the row; a
-    slot's share is the change of the score at its step.  Each step's score counts
-    for the slot that just entered and against the one that enters next, so no
-    ordering of the scored rows is needed.
+    slot's share is the change of the score at its step.  A step at which the row and
+    the background agree changes nothing; a scorer with a batch form is not asked for it.
     """
-    rng = np.random.default_rng(seed)
-    orders = []
-    for k in range(pairs):
-        order = rng.permutation(width).tolist()
-        orders += [(k, order), (k, order[::-1])]
-    walks = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                F.lit([int(s) for s in order]).alias("order"),
-                F.lit([int(r) for r in np.argsort(order)]).alias("rank"),
-            )
-            for k, order in orders
-        ]
-    )
+    orders = sampled_orders(width, pairs, seed)
+    if getattr(scorer, "batch", None):
+        ranks = np.stack([np.argsort(order) for _, order in orders])
+        steps = np.arange(width + 1)
+        entered = ranks[:, None, :] < steps[None, :, None]  # (walk, step, slot)
+        walk = np.arange(len(orders))[:, None]
+
+        def attribute(values: np.ndarray, p: float, base: float) -> np.ndarray:
+            changes = np.diff(values.reshape(len(orders), width + 1), axis=1)
+            return changes[walk, ranks].mean(axis=0)
+
+        return _by_change(
+            rows, id_col, background, lambda n: np.repeat([k % n for k, _ in orders], width + 1),
+            lambda n: entered.reshape(-1, width), scorer.batch, attribute,
+        )
+    # one literal: the orders as numbers in a string, each next to the number of its background row
+    text = ";".join(",".join(map(str, [k, *order])) for k, order in orders)
+    walks = F.transform(F.split(F.lit(text), ";"), lambda w: F.transform(F.split(w, ","), lambda i: i.cast("int")))
+    at = F.sequence(F.lit(0), F.lit(width - 1))
     expanded = (
         rebalanced(rows.select(id_col, F.col("x").alias("own")))
         .select(id_col, "own", background_array(background).alias("others"))
-        .select(id_col, "own", "others", F.inline(walks))
+        .select(id_col, "own", "others", F.explode(walks).alias("walk"))
+        .select(id_col, "own", "others", F.get("walk", F.lit(0)).alias("k"), F.slice("walk", 2, width).alias("order"))
+        .select("*", F.transform(at, lambda i: (F.array_position("order", i) - 1).cast("int")).alias("rank"))
         .select(
             id_col, "own", "order", "rank",
             F.col("others")[F.col("k") % F.size("others")].alias("other"),
@@ -229,25 +360,77 @@ def shap_summary(values: DataFrame, n: int = 20) -> DataFrame:
 
 def quartile_bins(train: DataFrame) -> list[dict]:
     """Per slot of ``x``: inner quartile edges and each bin's share, lowest and highest value."""
-    exploded = train.select(F.posexplode("x").alias("slot", "value"))
-    quartiles = F.array_distinct(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000))
-    edges = exploded.groupBy("slot").agg(quartiles.alias("edges"))
-    edge_of = as_array(edges, "edges")
-    binned = exploded.withColumn("_e", edge_of).select(
-        "slot", "value", F.col("_e")[F.col("slot")].alias("edges")
-    )
-    bin_ = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    stats = binned.groupBy("slot", "edges", bin_.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    slots: dict[int, dict] = {}
+    width = train.select(F.max(F.size("x"))).first()[0] or 0
+    quartiles = [F.array_distinct(F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 10000)) for i in range(width)]
+    edges = [np.array(e, float) for e in train.agg(F.array(*quartiles)).first()[0]] if width else []
+
+    def of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """At most four rows per slot and task."""
+        found: dict[tuple[int, int], list] = {}
+        for frame in frames:
+            x = _matrix(frame["x"])
+            for slot in range(width if len(x) else 0):
+                bin_ = np.searchsorted(edges[slot], x[:, slot], side="left")
+                for b in np.unique(bin_):
+                    inside = x[bin_ == b, slot]
+                    n, low, high = found.get((slot, int(b)), (0, np.inf, -np.inf))
+                    found[slot, int(b)] = [n + len(inside), min(low, inside.min()), max(high, inside.max())]
+        if found:
+            yield pd.DataFrame([(*key, *stats) for key, stats in found.items()], columns=["slot", "bin", "n", "low", "high"])
+
+    parts = train.select("x").mapInPandas(of_task, "slot int, bin int, n long, low double, high double")
+    stats = parts.groupBy("slot", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    slots: dict[int, dict] = {i: {"edges": e.tolist(), "n": [], "low": [], "high": []} for i, e in enumerate(edges)}
     for r in stats.orderBy("slot", "bin").collect():  # at most four rows per slot
-        slot = slots.setdefault(r["slot"], {"edges": list(r["edges"]), "n": [], "low": [], "high": []})
         for key in ("n", "low", "high"):
-            slot[key].append(r[key])
+            slots[r["slot"]][key].append(r[key])
     return [slots[i] for i in range(len(slots))]
 
 
+class Surrogates:
+    """Weighted ridge fits of neighbours' scores on "same bin as the row", one set of sums per pattern of bins.
+
+    How close a neighbour is depends on the bins of the row only, so rows with the same
+    bins share the weighted sums of all neighbours.  The row itself, closest of all,
+    is added to them as one more observation.
+    """
+
+    LARGEST_TABLE = 2_000  # patterns whose sums a task keeps
+
+    def __init__(self, drawn: np.ndarray, scores: np.ndarray, kernel: float, n_features: int):
+        self.drawn, self.scores, self.n_features = drawn, scores, n_features
+        self.width = drawn.shape[1]
+        # by the number of slots in which a neighbour is in another bin
+        self.closeness = np.sqrt(np.exp(-np.arange(self.width + 1.0) / kernel**2))
+        self.sums: dict[bytes, np.ndarray] = {}
+
+    def of_pattern(self, own_bin: np.ndarray) -> np.ndarray:
+        """Weighted sums of products of (1, same bin per slot, score) over the neighbours."""
+        key = own_bin.tobytes()
+        if key not in self.sums:
+            if len(self.sums) >= self.LARGEST_TABLE:
+                self.sums.clear()
+            design = np.empty((len(self.drawn), self.width + 2))
+            design[:, 0], design[:, 1:-1], design[:, -1] = 1.0, self.drawn == own_bin, self.scores
+            apart = self.width - design[:, 1:-1].sum(axis=1).astype(int)
+            self.sums[key] = design.T @ (self.closeness[apart][:, None] * design)
+        return self.sums[key]
+
+    def weights(self, own_bin: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, weights) of the surrogate of a row, largest first."""
+        own = np.ones(self.width + 2)
+        own[-1] = p
+        sums = self.of_pattern(own_bin) + np.outer(own, own)
+        total, sides = sums[0, 0], sums[0, 1:]
+        centred = sums[1:, 1:] - np.outer(sides, sides) / total
+        first = np.linalg.solve(centred[:-1, :-1] + 0.01 * np.eye(self.width), centred[:-1, -1])
+        chosen = np.argsort(-np.abs(first), kind="stable")[: self.n_features]
+        inner = centred[np.ix_(chosen, chosen)] + np.eye(len(chosen))
+        weight = np.linalg.solve(inner, centred[chosen, -1])
+        order = np.argsort(-np.abs(weight), kind="stable")
+        return chosen[order], weight[order]
+
+
 def lime_local(
     rows: DataFrame, id_col: str, train: DataFrame, scorer: Scorer, n_samples: int = 5000, n_features: int = 10,
     kernel_width: float | None = None, seed: int = 42,
@@ -279,37 +462,18 @@ def lime_local(
     scores = scorer(neighbours).select("sample", "p").toPandas().sort_values("sample")["p"].to_numpy(float)
     tops = [np.array(b["high"][:-1], float) for b in bins]
 
-    def ridge(z, y, w, alpha):
-        zm, ym = np.average(z, axis=0, weights=w), np.average(y, weights=w)
-        zc, yc = z - zm, y - ym
-        return np.linalg.solve(zc.T @ (w[:, None] * zc) + alpha * np.eye(z.shape[1]), zc.T @ (w * yc))
-
-    def surrogate(own: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
-        own_bin = np.array([np.searchsorted(top, v, side="left") for top, v in zip(tops, own)])
-        z = np.vstack([np.ones(width), drawn == own_bin])  # the row itself comes first
-        y = np.append(p, scores)
-        w = np.sqrt(np.exp(-((1.0 - z) ** 2).sum(axis=1) / kernel**2))
-        first = ridge(z, y, w, 0.01)
-        chosen = np.argsort(-np.abs(first), kind="stable")[:n_features]
-        weight = ridge(z[:, chosen], y, w, 1.0)
-        order = np.argsort(-np.abs(weight), kind="stable")
-        return chosen[order], weight[order]
-
-    def surrogates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for id_, own, p in zip(frame[id_col], frame["x"], frame["p"]):
-                slots, weight = surrogate(np.asarray(own, float), p)
-                yield pd.DataFrame(
-                    {
-                        id_col: id_,
-                        "rank": np.arange(1, len(slots) + 1, dtype="int32"),
-                        "feature": [f"f{i}" for i in slots],
-                        "weight": weight,
-                    }
-                )
+    @F.pandas_udf("array<struct<rank: int, feature: string, weight: double>>")
+    def surrogates(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        fits = Surrogates(drawn, scores, kernel, n_features)
+        for x, p in parts:
+            x = _matrix(x).reshape(-1, width)
+            own_bins = np.stack([np.searchsorted(t, x[:, i], side="left") for i, t in enumerate(tops)], axis=1)
+            out = []
+            for own_bin, score in zip(own_bins.astype(np.int8), p):
+                found = zip(*fits.weights(own_bin, score))
+                out.append([(i, f"f{slot}", float(w)) for i, (slot, w) in enumerate(found, 1)])
+            yield pd.Series(out, dtype=object)
 
     # each row is explained in its own task, against the same neighbours: nothing is shuffled but whole rows
-    id_type = rows.schema[id_col].dataType.simpleString()
-    return scorer(rebalanced(rows.select(id_col, "x"))).select(id_col, "x", "p").mapInPandas(
-        surrogates, f"{id_col} {id_type}, rank int, feature string, weight double"
-    )
+    scored = scorer(rebalanced(rows.select(id_col, "x"))).select(id_col, surrogates("x", "p").alias("s"))
+    return scored.select(id_col, F.inline("s"))

@@ -37,6 +37,23 @@ def slot_names(df: DataFrame, column: str = "features") -> list[str]:
     return [names.get(i, f"f{i}") for i in range(width)]
 
 
+def slot_expressions(model: PipelineModel) -> list[str]:
+    """The SQL of every slot that :func:`fit_features` makes, over the raw columns.
+
+    Categories of a fitted feature pipeline are few: they are the slots of a dense vector.
+    """
+    indexer, _, assembler, scaler, _ = model.stages
+    slots = []
+    for column, labels in zip(indexer.getInputCols(), indexer.labelsArray):
+        known = ["'" + str(label).replace("\\", "\\\\").replace("'", "\\'") + "'" for label in labels]
+        slots += [f"CAST({column} <=> {label} AS DOUBLE)" for label in known]
+        unknown = f"{column} NOT IN ({', '.join(known)})" if known else "true"
+        slots.append(f"CAST({column} IS NULL OR {unknown} AS DOUBLE)")
+    for column, std in zip(assembler.getInputCols(), scaler.std):
+        slots.append(f"{column} * {1.0 / float(std) if std else 0.0!r}D")
+    return slots
+
+
 def zscore(df: DataFrame, columns: Sequence[str], train: DataFrame) -> DataFrame:
     """(x - mean) / (population std + 1e-6) with the statistics of ``train``."""
     stats = train.agg(

@@ -10,6 +10,7 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
+    MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
     RandomForestClassificationModel,
     RandomForestClassifier,
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import logistic, positive_probability, require_columns, safe_ratio
+from riskframe.operators import trees
 from riskframe.operators.features import slot_names
 
 # Fixed training settings.
@@ -105,25 +107,44 @@ def mlp_layers(model: PipelineModel) -> list[tuple[np.ndarray, np.ndarray]]:
     return layers
 
 
-def score_batched(model: PipelineModel, values: Column, batch: int = BATCH) -> Column:
-    """P(class 1) of a fitted network by matrix products over batches of dense rows."""
-    layers = mlp_layers(model)
+# A batch scorer gives P(class 1) of a matrix with one dense row each, inside a task.
+BatchScorer = Callable[[np.ndarray], np.ndarray]
 
-    def make_predictor():
-        def predict(rows: np.ndarray) -> np.ndarray:
-            out = rows
-            for i, (matrix, bias) in enumerate(layers):
-                out = out @ matrix.T + bias
-                if i < len(layers) - 1:
-                    out = 1.0 / (1.0 + np.exp(-out))
-            shifted = np.exp(out - out.max(axis=1, keepdims=True))
-            return shifted[:, 1] / shifted.sum(axis=1)
 
-        return predict
+def _network_scorer(layers: list[tuple[np.ndarray, np.ndarray]]) -> BatchScorer:
+    def score(rows: np.ndarray) -> np.ndarray:
+        out = rows
+        for i, (matrix, bias) in enumerate(layers):
+            out = out @ matrix.T + bias
+            if i < len(layers) - 1:
+                out = 1.0 / (1.0 + np.exp(-out))
+        shifted = np.exp(out - out.max(axis=1, keepdims=True))
+        return shifted[:, 1] / shifted.sum(axis=1)
 
-    width = layers[0][0].shape[1]
+    return score
+
+
+def batch_scorer(model: PipelineModel) -> BatchScorer | None:
+    """The score of a one-stage model as a function of matrices; None for a kind of model that is not known."""
+    last = model.stages[-1]
+    if len(model.stages) > 1:
+        return None
+    if isinstance(last, LogisticRegressionModel) and last.numClasses == 2:
+        weights, intercept = last.coefficients.toArray(), float(last.intercept)
+        return lambda rows: 1.0 / (1.0 + np.exp(-(rows @ weights + intercept)))
+    if isinstance(last, MultilayerPerceptronClassificationModel):
+        return _network_scorer(mlp_layers(model))
+    if trees.is_ensemble(model) and last.numClasses == 2:
+        return trees.BatchTrees(trees.ensemble(model), last.numFeatures)
+    return None
+
+
+def score_batched(model: PipelineModel, values: Column, batch: int = BATCH) -> Column:
+    """P(class 1) of a fitted network by matrix products over batches of dense rows."""
+    layers = mlp_layers(model)
     udf = predict_batch_udf(
-        make_predictor, return_type=T.DoubleType(), batch_size=batch, input_tensor_shapes=[[width]]
+        lambda: _network_scorer(layers), return_type=T.DoubleType(), batch_size=batch,
+        input_tensor_shapes=[[layers[0][0].shape[1]]],
     )
     return udf(values)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import with_label
-from riskframe.operators import encoding, evaluation, features, reporting, sampling, training
+from riskframe.operators import encoding, evaluation, features, reporting, sampling, training, trees
 from riskframe.operators import explain as attribution
 from riskframe.operators import sequences as seq
 from riskframe.session import shared_folder
@@ -72,7 +72,10 @@ def train(
     parts = []
     for code in codes:
         if code == "mlp":
-            width = len(rows.select("features").head()["features"])
+            # the metadata of the encoded column knows its width; an empty split has no row to ask
+            width = len(features.slot_names(rows))
+            if not width or rows.isEmpty():
+                raise ValueError(f"no rows with encoded features in the train split of {data_dir}")
             model = training.train_mlp(sampling.oversample_minority(rows, "tx_id", 0.1), width)
         else:
             model = training.TRAINERS[code](rows, weighted=weighted)
@@ -173,27 +176,49 @@ def export(
         files.write_documents(training.linear_parameters(spark, model), f"{out_dir}/parameters")
 
 
+METHODS = ("kernel", "permutation", "tree", "linear", "surrogate")
+
+
 def explain(
     spark: SparkSession, data_dir: str, models_dir: str, code: str, out_path: str, split: str = "valid",
-    n_rows: int | None = None, background_n: int = 100, n_masks: int | None = None,
+    n_rows: int | None = None, background_n: int = 100, n_masks: int = 100, method: str = "kernel",
 ) -> DataFrame:
-    """Kernel attributions of a split, written as (tx_id, slot, phi); returns the slot ranking.
+    """Attributions of a split, written as a table; returns the ranking of the slots.
 
-    All rows are explained unless ``n_rows`` asks for a sample.  The cost per row is
-    masks times background rows; by default the masks are all subsets of one slot and
-    of all but one.
+    All rows are explained unless ``n_rows`` asks for a sample.  ``kernel`` and
+    ``permutation`` take any model, ``n_masks`` masks or ``background_n`` pairs of orders
+    against ``background_n`` rows of the train split; ``tree`` is exact for forests and
+    boosted trees against the whole train split, ``linear`` for a logistic margin.  All
+    four write (tx_id, slot, phi).  ``surrogate`` writes (tx_id, rank, feature, weight).
     """
+    if method not in METHODS:
+        raise ValueError(f"{method} is none of {', '.join(METHODS)}")
     model = load_model(spark, models_dir, code)
-    width = model.stages[-1].numFeatures
+    last = model.stages[-1]
+    width = last.numFeatures
 
     def dense(part: str, n: int | None, purpose: str) -> DataFrame:
         rows = files.read_split(spark, f"{data_dir}/splits", part)
         rows = rows if n is None else sampling.fixed_size_sample(rows, "tx_id", n, purpose)
         return rows.select("tx_id", vector_to_array("features").alias("x"))
 
-    phi = attribution.shap_kernel(
-        dense(split, n_rows, "foreground"), "tx_id", dense("train", background_n, "background"), width,
-        attribution.model_scorer(model), 2 * width if n_masks is None else n_masks,
-    )
-    phi.write.mode("overwrite").parquet(out_path)
-    return attribution.shap_summary(spark.read.parquet(out_path))
+    rows = dense(split, n_rows, "foreground")
+    if method == "tree":
+        found = trees.shap_tree(rows, "tx_id", trees.ensemble(model), dense("train", None, ""), width)
+    elif method == "linear":
+        if not hasattr(last, "coefficients"):
+            raise ValueError(f"{code} has no linear margin")
+        found = attribution.shap_linear(rows, F.lit([float(w) for w in last.coefficients.toArray()]))
+    elif method == "surrogate":
+        found = attribution.lime_local(rows, "tx_id", dense("train", None, ""), attribution.model_scorer(model))
+    else:
+        estimate = attribution.shap_kernel if method == "kernel" else attribution.shap_permutation
+        background = dense("train", background_n, "background")
+        effort = n_masks if method == "kernel" else background_n
+        found = estimate(rows, "tx_id", background, width, attribution.model_scorer(model), effort)
+    found.write.mode("overwrite").parquet(out_path)
+    written = spark.read.parquet(out_path)
+    if method == "surrogate":
+        strength = F.round(F.avg(F.abs("weight")), 9).alias("mean_abs")
+        return written.groupBy("feature").agg(strength).orderBy(F.desc("mean_abs"), "feature").limit(20)
+    return attribution.shap_summary(written)

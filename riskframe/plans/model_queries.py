@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import linear_margin, logistic
 from riskframe.functions.keyed import residue_sql
-from riskframe.operators import encoding, evaluation, explain, features, sampling, training
+from riskframe.operators import encoding, evaluation, explain, features, sampling, training, trees
 from riskframe.plans.evaluation_queries import rounded
 from riskframe.plans.feature_queries import TRAIN_SQL, split_transactions, train_part
 from riskframe.plans.registry import query
@@ -21,20 +21,35 @@ WIDTH = 21
 BACKGROUND = 100  # rows that stand for the train split in an attribution
 
 
+# What this application has written for a data folder: (application, folder, name) to path.
+_ONCE: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark, sf_dir, name, write):
+    """The path of what ``write(path)`` left in the shared folder, made once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ONCE or not files.exists(spark, _ONCE[key]):
+        path = shared_folder(spark)
+        write(path)
+        _ONCE[key] = path
+    return _ONCE[key]
+
+
 def vectors(spark, sf_dir):
-    """(tx_id, features, label, weight, split) written once, then read as often as a fit needs.
+    """(tx_id, features, label, weight, split) written once, then read as often as fits and explanations need.
 
     Everything is fitted on the train split.  The written table spares every pass of
     a fit the joins and the encoding, survives lost executors and lets one split be
     read without the others.
     """
-    split = split_transactions(spark, sf_dir).withColumn("label", F.col("isFraud"))
-    encoded = features.fit_features(train_part(split)).transform(split)
-    weighted = encoding.with_class_weight(encoded, train=train_part(split))
-    path = shared_folder(spark)
-    columns = ("tx_id", "features", "label", "weight")
-    files.write_splits(weighted.hint("rebalance"), path, columns)
-    return spark.read.schema(weighted.select(*columns, "split").schema).parquet(path)
+
+    def write(path):
+        split = split_transactions(spark, sf_dir).withColumn("label", F.col("isFraud"))
+        encoded = features.fit_features(train_part(split)).transform(split)
+        weighted = encoding.with_class_weight(encoded, train=train_part(split))
+        files.write_splits(weighted.hint("rebalance"), path, ("tx_id", "features", "label", "weight"))
+
+    return spark.read.parquet(once(spark, sf_dir, "vectors", write))
 
 
 def part(df, split):
@@ -69,33 +84,54 @@ def _valid_sql(code):
     )
 
 
+def fitted_mlp(data, hidden=training.HIDDEN):
+    train = sampling.oversample_minority(part(data, "train"), "tx_id", 0.1)
+    return training.train_mlp(train, WIDTH, hidden)
+
+
+FITS = {
+    "logreg": lambda data: training.train_logreg(part(data, "train")),
+    "rf": lambda data: training.train_forest(part(data, "train")),
+    "gbt": lambda data: training.train_gbt(part(data, "train")),
+    "mlp": fitted_mlp,
+}
+
+
+def trained(spark, sf_dir, code):
+    """A model fitted now, and saved for the queries that score and explain with it."""
+    model = FITS[code](vectors(spark, sf_dir))
+    folder = shared_folder(spark)
+    save_model(model, folder, code)
+    _ONCE[spark.sparkContext.applicationId, sf_dir, f"model {code}"] = folder
+    return model
+
+
+def stored(spark, sf_dir, code):
+    """The model that was fitted on a data folder, loaded; fitted and saved where it is not yet."""
+    folder = once(
+        spark, sf_dir, f"model {code}", lambda path: save_model(FITS[code](vectors(spark, sf_dir)), path, code)
+    )
+    return load_model(spark, folder, code)
+
+
 @query("train_logreg", _valid_sql("logreg"))
 def train_logreg(spark, sf_dir):
-    data = vectors(spark, sf_dir)
-    return validated("logreg", training.train_logreg(part(data, "train")), part(data, "valid"))
+    return validated("logreg", trained(spark, sf_dir, "logreg"), part(vectors(spark, sf_dir), "valid"))
 
 
 @query("train_random_forest", _valid_sql("rf"))
 def train_random_forest(spark, sf_dir):
-    data = vectors(spark, sf_dir)
-    return validated("rf", training.train_forest(part(data, "train")), part(data, "valid"))
+    return validated("rf", trained(spark, sf_dir, "rf"), part(vectors(spark, sf_dir), "valid"))
 
 
 @query("train_gbt", _valid_sql("gbt"))
 def train_gbt(spark, sf_dir):
-    data = vectors(spark, sf_dir)
-    return validated("gbt", training.train_gbt(part(data, "train")), part(data, "valid"))
-
-
-def fitted_mlp(data, hidden=training.HIDDEN):
-    train = sampling.oversample_minority(part(data, "train"), "tx_id", 0.1)
-    return training.train_mlp(train, WIDTH, hidden)
+    return validated("gbt", trained(spark, sf_dir, "gbt"), part(vectors(spark, sf_dir), "valid"))
 
 
 @query("train_mlp", _valid_sql("mlp"))
 def train_mlp(spark, sf_dir):
-    data = vectors(spark, sf_dir)
-    return validated("mlp", fitted_mlp(data), part(data, "valid"))
+    return validated("mlp", trained(spark, sf_dir, "mlp"), part(vectors(spark, sf_dir), "valid"))
 
 
 _TEST_ROWS = tx_sql(
@@ -107,7 +143,7 @@ _TEST_ROWS = tx_sql(
 def score_model(spark, sf_dir):
     """Scores of the test split against the logistic of the exported coefficients."""
     data = vectors(spark, sf_dir)
-    model = training.train_logreg(part(data, "train"))
+    model = stored(spark, sf_dir, "logreg")
     last = model.stages[-1]
     weights = F.lit([float(w) for w in last.coefficients.toArray()])
     test = part(data, "test")
@@ -135,7 +171,7 @@ def model_store(spark, sf_dir):
 def score_batched(spark, sf_dir):
     """Batch scores differ from the model's own transform by nothing at nine digits."""
     data = vectors(spark, sf_dir)
-    model = fitted_mlp(data)
+    model = stored(spark, sf_dir, "mlp")
     own = model.transform(part(data, "test"))
     batched = own.withColumn("score", training.score_batched(model, vector_to_array("features")))
     difference = F.abs(F.col("score") - vector_to_array("probability")[1])
@@ -241,20 +277,54 @@ def adding_up(phi, rows, background, scorer):
 
 @query("shap_kernel", _EXPLAINED)
 def shap_kernel(spark, sf_dir):
-    """Every test row under boosted trees: all subsets of one slot and of all but one, 100 background rows."""
+    """Every test row under boosted trees: 100 masks, 100 background rows."""
     data = vectors(spark, sf_dir)
-    scorer = explain.model_scorer(training.train_gbt(part(data, "train")))
+    scorer = explain.model_scorer(stored(spark, sf_dir, "gbt"))
     rows = dense(part(data, "test"))
     background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", BACKGROUND, "background"))
-    phi = explain.shap_kernel(rows, "tx_id", background, WIDTH, scorer, n_masks=2 * WIDTH)
+    phi = explain.shap_kernel(rows, "tx_id", background, WIDTH, scorer, n_masks=100)
     return adding_up(phi, rows, background, scorer)
 
 
+@query("shap_tree", _EXPLAINED)
+def shap_tree(spark, sf_dir):
+    """Every test row under boosted trees, exactly, against the whole train split.
+
+    The sums are compared with the model's own margins less their mean over the train split.
+    """
+    data = vectors(spark, sf_dir)
+    model = stored(spark, sf_dir, "gbt")
+    rows, background = part(data, "test"), part(data, "train")
+    phi = trees.shap_tree(dense(rows), "tx_id", trees.ensemble(model), dense(background), WIDTH)
+
+    def margins(df):
+        return model.transform(df).select("tx_id", vector_to_array("rawPrediction")[1].alias("margin"))
+
+    base = margins(background).agg(F.avg("margin")).scalar()
+    sums = phi.groupBy("tx_id").agg(F.count("phi").alias("slots"), F.sum("phi").alias("total"))
+    difference = F.round(F.abs(F.col("total") - (F.col("margin") - base)), 9)
+    return sums.join(margins(rows), "tx_id").select("tx_id", "slots", difference.alias("difference"))
+
+
+@query("tree_columns", _TEST_ROWS)
+def tree_columns(spark, sf_dir):
+    """Scores of a boosted model as one expression over the raw columns, against the model's own transform."""
+    split = split_transactions(spark, sf_dir).withColumn("label", F.col("isFraud"))
+    encoder = features.fit_features(train_part(split))
+    data = vectors(spark, sf_dir)
+    model = stored(spark, sf_dir, "gbt")
+    test = split.where(F.col("split") == "test")
+    test = trees.scored(test, trees.ensemble(model), features.slot_expressions(encoder), "tx_id", "label")
+    own = training.score_model(model, part(data, "test"), "tx_id").select("tx_id", F.col("score").alias("own"))
+    difference = F.round(F.abs(F.col("score") - F.col("own")), 12)
+    return test.join(own, "tx_id").select("tx_id", "label", difference.alias("difference"))
+
+
 @query("shap_permutation", _EXPLAINED)
 def shap_permutation(spark, sf_dir):
     """Every test row under the logistic model: for each of 100 background rows one order and its reverse."""
     data = vectors(spark, sf_dir)
-    scorer = explain.model_scorer(training.train_logreg(part(data, "train")))
+    scorer = explain.model_scorer(stored(spark, sf_dir, "logreg"))
     rows = dense(part(data, "test"))
     background = dense(sampling.fixed_size_sample(part(data, "train"), "tx_id", BACKGROUND, "background"))
     phi = explain.shap_permutation(rows, "tx_id", background, WIDTH, scorer, pairs=BACKGROUND)
@@ -272,7 +342,7 @@ def shap_permutation(spark, sf_dir):
 def lime_local(spark, sf_dir):
     """Every test row against 5000 neighbours, bins of the whole train split."""
     data = vectors(spark, sf_dir)
-    scorer = explain.model_scorer(training.train_logreg(part(data, "train")))
+    scorer = explain.model_scorer(stored(spark, sf_dir, "logreg"))
     found = explain.lime_local(dense(part(data, "test")), "tx_id", dense(part(data, "train")), scorer)
     above = F.lag(F.abs("weight")).over(Window.partitionBy("tx_id").orderBy("rank"))
     return found.select("tx_id", "rank", F.coalesce(above >= F.abs("weight"), F.lit(True)).alias("ordered"))
@@ -299,8 +369,8 @@ SELECT model, slot, name, total FROM slots, models"""
 def importance_table(spark, sf_dir):
     """Names of the category slots by frequency, and the sum of the importances of each tree model."""
     data = vectors(spark, sf_dir)
-    train = part(data, "train")
-    table = training.importance_table({code: fit(train) for code, fit in training.TRAINERS.items()}, data)
+    models = {code: stored(spark, sf_dir, code) for code in training.TRAINERS}
+    table = training.importance_table(models, data)
     sums = table.groupBy("model").agg(F.round(F.sum("value"), 6).alias("sum"))
     total = F.when(F.col("model") != "logreg", F.col("sum"))
     named = table.where(F.col("name").contains("_ohe_") & ~F.col("name").endswith("__unknown"))

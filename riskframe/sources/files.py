@@ -30,6 +30,11 @@ def scan_parquet(
     return reader.parquet(*paths)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
+
 def has_parquet(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder holds parquet; an absent path is an error."""
     jvm = spark.sparkContext._jvm
