@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import safe_ratio
@@ -45,14 +45,13 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5, by: Sequen
     return with_ratios(confusion(scored, threshold, by))
 
 
-def threshold_sweep(
+def step_counts(
     scored: DataFrame, grid: Sequence[float], by: Sequence[str] = (), label: str = "label", score: str = "score"
 ) -> DataFrame:
-    """Confusion counts and ratios at every grid threshold from one scan.
+    """(by, reached, pos, neg): rows per number of grid thresholds that their score passes.
 
-    ``reached`` is the number of thresholds a score passes, found by a search in the
-    literal grid values.  Counting rows per ``reached`` leaves at most
-    ``len(grid) + 1`` rows per group, from which every threshold is answered.
+    At most ``len(grid) + 1`` rows per group.  Counts of several tables add up to the
+    counts of all their rows.
     """
     grid = sorted(grid)
     values = known_score(score)
@@ -60,14 +59,19 @@ def threshold_sweep(
         splits=[float("-inf"), *grid, float("inf")], inputCol="value", outputCol="reached", handleInvalid="keep"
     )
     reached = F.least(F.col("reached").cast("int"), F.lit(len(grid)))  # NaN ranks above every number
-    steps = (
+    return (
         splits.transform(scored.select(*by, F.col(label).alias("label"), values.alias("value")))
         .groupBy(*by, reached.alias("reached"))
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     )
+
+
+def sweep_of_steps(steps: DataFrame, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts and ratios at every grid threshold from :func:`step_counts` of any number of tables."""
+    grid = sorted(grid)
     if not by:  # an empty input still answers every threshold
-        nothing = scored.sparkSession.range(1).selectExpr("0 AS reached", "0L AS pos", "0L AS neg")
-        steps = steps.unionByName(nothing)
+        nothing = steps.sparkSession.range(1).selectExpr("0 AS reached", "0L AS pos", "0L AS neg")
+        steps = steps.select("reached", "pos", "neg").unionByName(nothing)
     thresholds = F.posexplode(F.lit(grid)).alias("level", "threshold")
     passed = F.col("reached") > F.col("level")
 
@@ -87,6 +91,58 @@ def threshold_sweep(
     return with_ratios(counts).select(*by, "threshold", "tp", "fp", "tn", "fn", *RATIOS)
 
 
+def threshold_sweep(
+    scored: DataFrame, grid: Sequence[float], by: Sequence[str] = (), label: str = "label", score: str = "score"
+) -> DataFrame:
+    """Confusion counts and ratios at every grid threshold from one scan.
+
+    Rows are counted per number of thresholds that their score passes; from these few
+    counts every threshold is answered.
+    """
+    return sweep_of_steps(step_counts(scored, grid, by, label, score), grid, by)
+
+
+class SweepState:
+    """The step counts of every score file that was added to a sweep, kept in a folder.
+
+    A new file is counted alone and its counts are put beside the others', so none of
+    them is read again; adding a file once more replaces its own counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, grid: Sequence[float] = GRID_51) -> "SweepState":
+        rows = spark.createDataFrame([(float(t),) for t in sorted(grid)], "threshold double")
+        rows.coalesce(1).write.parquet(f"{path}/grid")
+        return cls(spark, path)
+
+    def grid(self) -> list[float]:
+        return sorted(r["threshold"] for r in self.spark.read.parquet(f"{self.path}/grid").collect())
+
+    def add(self, source: str, scored: DataFrame, label: str = "label", score: str = "score") -> None:
+        """Counts of a table (label, score) under the name ``source``."""
+        counts = step_counts(scored, self.grid(), (), label, score).withColumn("source", F.lit(source))
+        # a file without rows still has its folder, which empties what it had before
+        nothing = self.spark.range(1).selectExpr("0 AS reached", "0L AS pos", "0L AS neg")
+        counts = counts.unionByName(nothing.withColumn("source", F.lit(source)))
+        writer = counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("source").parquet(f"{self.path}/steps")
+
+    def steps(self) -> DataFrame:
+        """(source, reached, pos, neg) of all files."""
+        schema = "reached int, pos long, neg long, source string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/steps")
+
+    def sweep(self) -> DataFrame:
+        """The sweep over the rows of all files."""
+        return sweep_of_steps(self.steps(), self.grid())
+
+    def sweep_by_source(self) -> DataFrame:
+        return sweep_of_steps(self.steps(), self.grid(), ["source"])
+
+
 def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The sweep row of the highest F1; the lowest threshold wins a tie."""
     values = [c for c in sweep.columns if c not in by]

@@ -85,6 +85,74 @@ def normalise_documents(documents: DataFrame, segments: Sequence[str] = (), colu
     return fields.select(*segments, "model", F.explode(F.map_concat(outer, inner)).alias("metric", "value"))
 
 
+def report_kind(column: str = "document") -> Column:
+    """What a report holds: a threshold ``sweep``, one ``network``, or any number of ``models``."""
+    body = F.try_parse_json(column)
+    sweep = F.try_variant_get(body, "$.sweep", "array<variant>").isNotNull()
+    network = F.try_variant_get(body, "$.test_metrics_t0_50", "map<string,variant>").isNotNull()
+    models = F.try_variant_get(body, "$", "map<string,variant>").isNotNull()
+    return F.when(sweep, "sweep").when(network, "network").when(models, "models")
+
+
+def all_reports(documents: DataFrame) -> DataFrame:
+    """(name, kind, model, threshold, metric, value) of reports of all kinds, from (name, document).
+
+    A model's metrics stand at threshold 0.50; a network's best threshold is its metric
+    ``best_threshold``; a sweep gives one row per threshold and metric.  A network or a
+    sweep that does not name its model is called by the last part of its own name.  A
+    text that is no JSON object gives no rows.
+    """
+    kinds = documents.select("name", "document", report_kind().alias("kind"))
+    inside = "map<string,variant>"
+    columns = ["name", "kind", "model", "threshold", "metric", "value"]
+
+    def long(rows: DataFrame, fields: Column, threshold: Column) -> DataFrame:
+        found = rows.withColumn("threshold", threshold).withColumn("fields", _numbers(fields))
+        return found.select("name", "kind", "model", "threshold", F.explode("fields").alias("metric", "value"))
+
+    models = normalise_documents(kinds.where("kind = 'models'"), ["name", "kind"])
+    models = models.withColumn("threshold", F.lit(0.5)).select(columns)
+
+    body = F.try_parse_json("document")
+    own = F.element_at(F.split(F.regexp_replace("name", r"(_metrics)?\.json$", ""), "_"), -1)
+    named = F.coalesce(F.try_variant_get(body, "$.model", "string"), own).alias("model")
+    networks = kinds.where("kind = 'network'").select("name", "kind", named, body.alias("body"))
+    at_half = F.try_variant_get("body", "$.test_metrics_t0_50", inside)
+    best = F.try_variant_get("body", "$.best_f1.threshold", "double")
+    networks = long(networks, at_half, F.lit(0.5)).unionByName(
+        networks.where(best.isNotNull()).select(
+            "name", "kind", "model", F.lit(0.5).alias("threshold"), F.lit("best_threshold").alias("metric"), best.alias("value")
+        )
+    )
+    steps = F.explode(F.try_variant_get(body, "$.sweep", "array<variant>")).alias("step")
+    sweeps = kinds.where("kind = 'sweep'").select("name", "kind", named, steps)
+    at = F.try_variant_get("step", "$.threshold", "double")
+    fields = F.map_filter(F.try_variant_get("step", "$", inside), lambda k, _: k != "threshold")
+    return models.unionByName(networks).unionByName(long(sweeps, fields, at))
+
+
+def compared_reports(reports: DataFrame) -> DataFrame:
+    """The comparison table of :func:`all_reports`: a row per distributed model and per network.
+
+    The threshold of a network's row is that of its best F1, its metrics are those at 0.50.
+    """
+    wanted = ["accuracy", "precision", "recall", "f1", "auc_pr", "auc_roc", "best_threshold"]
+    rows = reports.where(
+        ((F.col("kind") == "models") & F.col("model").isin(SPARK_MODELS)) | (F.col("kind") == "network")
+    )
+    wide = rows.groupBy("name", "kind", "model").pivot("metric", wanted).agg(F.first("value"))
+    best = F.when(F.col("best_threshold").isNotNull(), F.format_string("%.2f", "best_threshold"))
+    network = F.col("kind") == "network"
+    return wide.select(
+        F.upper("model").alias("model"),
+        F.when(network, best).otherwise(F.lit("0.50")).alias("threshold"),
+        "accuracy", "precision", "recall", "f1",
+        F.col("auc_pr").alias("pr_auc"),
+        F.col("auc_roc").alias("roc_auc"),
+        F.when(network, "DL").otherwise("SPARK").alias("source"),
+    )
+
+
 def wide_metrics(
     long: DataFrame, keys: Sequence[str] = ("model",), metrics: Sequence[str] | None = None
 ) -> DataFrame:

@@ -1,8 +1,9 @@
 """Fixed-length event sequences per account."""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.operators.encoding import dict_encode
@@ -67,6 +68,52 @@ def build_sequences(
     return first.unionByName(second)
 
 
+@dataclass(frozen=True)
+class AccountLayout:
+    """Transactions written once in the order of their accounts.
+
+    Ordinary accounts are a table bucketed and sorted by account, so ranking and cutting
+    them into sequences reads each account where it lies, without a shuffle.  Accounts
+    above the row limit would fill a bucket, so they lie in a table of their own, ranked
+    when it is written.  Categories are numbered when the layout is written.
+    """
+
+    ordinary: str  # names of the two tables
+    hot: str
+    key: str
+    order: str
+    id_col: str
+
+    @classmethod
+    def write(
+        cls, df: DataFrame, name: str, path: str, buckets: int, key: str = "nameOrig", order: str = "step",
+        id_col: str = "tx_id", hot_rows: int = HOT_ROWS, survey: DataFrame | None = None,
+    ) -> "AccountLayout":
+        layout = cls(f"{name}_ordinary", f"{name}_hot", key, order, id_col)
+        encoded = dict_encode(df, "type", "type_idx", source=survey)
+        ordinary, hot = split_hot(encoded, key, hot_rows, survey)
+        # the same hash deals rows to tasks and to buckets: one file per bucket
+        bucketed = ordinary.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key)
+        bucketed.sortBy(key, order, id_col).option("path", f"{path}/ordinary").saveAsTable(layout.ordinary)
+        ranked = rank_hot(hot, key, order, id_col)
+        ranked.write.mode("overwrite").option("path", f"{path}/hot").saveAsTable(layout.hot)
+        return layout
+
+    def ranked(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The rows of ordinary and of hot accounts with ``rn``."""
+        ordinary = rank_ordinary(spark.table(self.ordinary), self.key, self.order, self.id_col)
+        return ordinary, spark.table(self.hot)
+
+    def sequences(self, spark: SparkSession, seq_len: int = 20, label: str = "isFraud") -> DataFrame:
+        """As :func:`build_sequences`."""
+        first, second = (_windows(part, self.key, seq_len, label) for part in self.ranked(spark))
+        return first.unionByName(second)
+
+    def drop(self, spark: SparkSession) -> None:
+        for name in (self.ordinary, self.hot):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def n_types(sequences: DataFrame) -> DataFrame:
     """One row: number of category codes in use."""
     return sequences.agg((F.max(F.array_max("type_seq")) + 1).alias("n_types"))

@@ -6,6 +6,8 @@ from riskframe.operators import evaluation as ev
 from riskframe.operators.ranking import score_curve
 from riskframe.plans.registry import query
 from riskframe.plans.sql import AP, PR, ROC, counts_at, curve_views, models_sql, ratios, scored_sql
+from riskframe.session import shared_folder
+from riskframe.sources import files
 from riskframe.sources.transactions import scored, scored_models
 
 
@@ -34,6 +36,17 @@ def threshold_sweep_51(spark, sf_dir):
     return rounded(ev.threshold_sweep(scored(spark, sf_dir), ev.GRID_51), *ev.RATIOS)
 
 
+@query("sweep_state", scored_sql(_sweep_sql(ev.GRID_51)))
+def sweep_state(spark, sf_dir):
+    """Three exported score files added one after the other, one of them twice."""
+    folder, rows = shared_folder(spark), scored(spark, sf_dir)
+    state = ev.SweepState.create(spark, f"{folder}/state", ev.GRID_51)
+    for part in (0, 1, 2, 1):
+        files.export_scores(rows.where(F.pmod("tx_id", F.lit(3)) == part), f"{folder}/scores_{part}")
+        state.add(f"scores_{part}", files.read_scores(spark, f"{folder}/scores_{part}"))
+    return rounded(state.sweep(), *ev.RATIOS)
+
+
 @query(
     "threshold_cross",
     models_sql(

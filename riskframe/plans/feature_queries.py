@@ -5,10 +5,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.functions.keyed import residue_sql, uniform_sql
-from riskframe.operators import features, sampling
+from riskframe.operators import categories, features, sampling
 from riskframe.operators.features import NUMERIC
 from riskframe.plans.registry import query
 from riskframe.plans.sql import tx_sql
+from riskframe.session import shared_folder
 from riskframe.sources.transactions import activity, transactions
 
 SPLIT_SQL = (
@@ -70,6 +71,50 @@ def one_hot(spark, sf_dir):
     return encoded.select("tx_id", F.posexplode(vector_to_array("type_ohe")).alias("slot", "value"))
 
 
+_WIDE = ["nameOrig", "merchant"]
+
+
+@query(
+    "category_index",
+    tx_sql(
+        f"""
+, known AS (SELECT * FROM tx WHERE type <> 'DEBIT'),
+a AS {_index_sql('nameOrig', 'known')}, m AS {_index_sql('merchant', 'known')}
+SELECT tx_id, CAST(coalesce(a.idx, (SELECT count(*) FROM a)) AS DOUBLE) AS nameOrig_idx,
+       CAST(coalesce(m.idx, (SELECT count(*) FROM m)) AS DOUBLE) AS merchant_idx
+FROM tx LEFT JOIN a ON a.v = nameOrig LEFT JOIN m ON m.v = merchant"""
+    ),
+)
+def category_index(spark, sf_dir):
+    """Accounts and merchants numbered by a dictionary table, fitted without DEBIT rows, loaded and joined."""
+    tx = activity(spark, sf_dir).select("tx_id", "nameOrig", "merchant", "type")
+    path = shared_folder(spark)
+    categories.CategoryIndex.fit(tx.where(F.col("type") != "DEBIT"), _WIDE, path)
+    index = categories.CategoryIndex.load(spark, path)
+    return index.transform(tx.select("tx_id", *_WIDE)).select("tx_id", "nameOrig_idx", "merchant_idx")
+
+
+@query(
+    "sparse_slots",
+    tx_sql(
+        f"""
+, known AS (SELECT * FROM tx WHERE type <> 'DEBIT'),
+a AS {_index_sql('nameOrig', 'known')}, m AS {_index_sql('merchant', 'known')},
+n AS (SELECT (SELECT count(*) FROM m) AS nm, (SELECT count(*) FROM a) AS na)
+SELECT tx_id, CAST(coalesce(m.idx, nm) AS BIGINT) AS slot, 1e0 AS value FROM n, tx LEFT JOIN m ON m.v = merchant
+UNION ALL SELECT tx_id, CAST(nm + 1 + coalesce(a.idx, na) AS BIGINT), 1e0 FROM n, tx LEFT JOIN a ON a.v = nameOrig
+UNION ALL SELECT tx_id, CAST(nm + na + 2 AS BIGINT), amount FROM n, tx WHERE amount <> 0e0"""
+    ),
+)
+def sparse_slots(spark, sf_dir):
+    """The slots that are not 0 of one-hot merchants and accounts and of an amount, at any width."""
+    tx = activity(spark, sf_dir).select("tx_id", "nameOrig", "merchant", "amount", "type")
+    path = shared_folder(spark)
+    index = categories.CategoryIndex.fit(tx.where(F.col("type") != "DEBIT"), ["merchant", "nameOrig"], path)
+    found = index.sparse_slots(tx.select("tx_id", "nameOrig", "merchant", "amount"), ["amount"])
+    return found.select("tx_id", F.inline(F.arrays_zip("slots", "values"))).toDF("tx_id", "slot", "value")
+
+
 @query(
     "scale_unit_std",
     tx_sql(

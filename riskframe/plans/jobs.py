@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import with_label
-from riskframe.operators import encoding, evaluation, features, reporting, sampling, training, trees
+from riskframe.operators import encoding, evaluation, features, network, reporting, sampling, training, trees
 from riskframe.operators import explain as attribution
 from riskframe.operators import sequences as seq
 from riskframe.session import shared_folder
@@ -57,17 +57,22 @@ def prepare(spark: SparkSession, source: str, out_dir: str) -> None:
 
 
 MODELS = (*training.TRAINERS, "mlp")
+CLASS_WEIGHTS = ("none", "balanced")
 
 
 def train(
     spark: SparkSession, data_dir: str, models_dir: str, codes: Sequence[str] = MODELS, fraction: float = 1.0,
-    report_path: str | None = None, weighted: bool = True,
+    report_path: str | None = None, weighted: bool = True, network_weights: str = "none",
 ) -> DataFrame:
     """Fit and save the named models on a reproducible share of the train split.
 
     Returns, and writes as one JSON document where ``report_path`` is given, the
     metrics of each on the validation split with the share and the weighting used.
+    With ``network_weights`` "balanced" the network learns from all rows, positives
+    weighed by the class counts, else from rows in which the minority is oversampled.
     """
+    if network_weights not in CLASS_WEIGHTS:
+        raise ValueError(f"{network_weights} is none of {', '.join(CLASS_WEIGHTS)}")
     rows = sampling.bernoulli_sample(files.read_split(spark, f"{data_dir}/splits", "train"), "tx_id", fraction)
     parts = []
     for code in codes:
@@ -76,14 +81,19 @@ def train(
             width = len(features.slot_names(rows))
             if not width or rows.isEmpty():
                 raise ValueError(f"no rows with encoded features in the train split of {data_dir}")
-            model = training.train_mlp(sampling.oversample_minority(rows, "tx_id", 0.1), width)
+            if network_weights == "balanced":
+                pos_weight = encoding.floored_class_weight(rows).first()["pos_weight"]  # one row
+                weight = F.when(F.col("label") == 1, F.lit(pos_weight)).otherwise(F.lit(1.0))
+                model, _ = network.train_weighted_network(rows.withColumn("weight", weight), training.HIDDEN)
+            else:
+                model = training.train_mlp(sampling.oversample_minority(rows, "tx_id", 0.1), width)
         else:
             model = training.TRAINERS[code](rows, weighted=weighted)
         save_model(model, models_dir, code)
         scores = written_scores(spark, data_dir, models_dir, code, "valid")
         parts.append(evaluation.evaluate_models(scores, ["model"]))
     table = reduce(DataFrame.unionByName, parts).withColumns(
-        {"train_frac": F.lit(float(fraction)), "used_weight": F.lit(weighted) & (F.col("model") != "mlp")}
+        {"train_frac": F.lit(float(fraction)), "used_weight": F.when(F.col("model") == "mlp", network_weights == "balanced").otherwise(weighted)}
     )
     if report_path is not None:
         files.write_documents(reporting.metric_documents(table, more=["train_frac", "used_weight"]), report_path)
@@ -158,6 +168,36 @@ def sweep(
     return table
 
 
+def sweep_scores(
+    spark: SparkSession, scores: str, name: str, state_path: str, report_path: str | None = None,
+    grid: Sequence[float] = evaluation.GRID_51,
+) -> DataFrame:
+    """Threshold sweep over exported score files: ``scores`` is added as ``name`` to those in ``state_path``.
+
+    The state is made where it is not yet; files added before are not read again.
+    Returns the sweep over all files, also written as one JSON document.
+    """
+    if files.exists(spark, f"{state_path}/grid"):
+        state = evaluation.SweepState(spark, state_path)
+    else:
+        state = evaluation.SweepState.create(spark, state_path, grid)
+    state.add(name, files.read_scores(spark, scores))
+    table = state.sweep()
+    if report_path is not None:
+        rows = F.sort_array(F.collect_list(F.struct("threshold", "precision", "recall", "f1")))
+        document = table.agg(rows.alias("sweep")).select(F.to_json(F.struct(F.lit(name).alias("model"), "sweep")).alias("document"))
+        files.write_documents(document, report_path)
+    return table
+
+
+def compare(spark: SparkSession, reports: str, out_path: str) -> DataFrame:
+    """The comparison table of all written reports that match a pattern, also written as CSV."""
+    table = reporting.compared_reports(reporting.all_reports(files.read_reports(spark, reports)))
+    table = reporting.with_display_name(table)
+    table.write.mode("overwrite").option("header", True).csv(out_path)
+    return table
+
+
 def sequences(spark: SparkSession, source: str, out_path: str, seq_len: int = 20) -> None:
     """Fixed-length account sequences from raw transactions."""
     seq.build_sequences(read_transactions(spark, source), seq_len).write.mode("overwrite").parquet(out_path)

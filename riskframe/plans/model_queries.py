@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import linear_margin, logistic
 from riskframe.functions.keyed import residue_sql
-from riskframe.operators import encoding, evaluation, explain, features, sampling, training, trees
+from riskframe.operators import encoding, evaluation, explain, features, network, sampling, training, trees
 from riskframe.plans.evaluation_queries import rounded
 from riskframe.plans.feature_queries import TRAIN_SQL, split_transactions, train_part
 from riskframe.plans.registry import query
@@ -134,6 +134,26 @@ def train_mlp(spark, sf_dir):
     return validated("mlp", trained(spark, sf_dir, "mlp"), part(vectors(spark, sf_dir), "valid"))
 
 
+@query(
+    "train_mlp_weighted",
+    tx_sql(
+        TRAIN_SQL
+        + " SELECT 'mlp_weighted' AS model, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(isFraud) AS BIGINT) AS positives,"
+        " CAST(0 AS BIGINT) AS off, true AS loss_fell FROM split_tx WHERE split = 'valid'"
+    ),
+)
+def train_mlp_weighted(spark, sf_dir):
+    """The network under class weights: a positive row counts as often as the classes differ in size, at least once."""
+    data = vectors(spark, sf_dir)
+    pos_weight = encoding.floored_class_weight(part(data, "train")).first()["pos_weight"]  # one row
+    weight = F.when(F.col("label") == 1, F.lit(pos_weight)).otherwise(F.lit(1.0))
+    train = part(data, "train").withColumn("weight", weight)
+    model, losses = network.train_weighted_network(train, training.HIDDEN)
+    fell = all(b < a for a, b in zip(losses, losses[1:])) and len(losses) > 1
+    found = validated("mlp_weighted", model, part(data, "valid"))
+    return found.drop("better_than_chance").withColumn("loss_fell", F.lit(fell))
+
+
 _TEST_ROWS = tx_sql(
     TRAIN_SQL + " SELECT tx_id, isFraud AS label, 0e0 AS difference FROM split_tx WHERE split = 'test'"
 )

@@ -8,7 +8,7 @@ from riskframe.plans.evaluation_queries import evaluated_sql, rounded
 from riskframe.plans.registry import query
 from riskframe.plans.sql import counts_at, ratios
 from riskframe.session import shared_folder
-from riskframe.sources.files import read_documents, write_documents
+from riskframe.sources.files import read_documents, read_reports, write_documents
 from riskframe.sources.transactions import scored_models
 
 SEGMENTS = ["merchant", "type"]
@@ -68,6 +68,58 @@ def json_report_scan(spark, sf_dir):
     return rounded(long, "value")
 
 
+_SHAPES_SQL = (
+    """, one AS (SELECT * FROM coded)
+SELECT 'spark_test_metrics.json' AS name, 'models' AS kind, model, 0.5e0 AS threshold, metric, value FROM ("""
+    + " UNION ALL ".join(f"SELECT model, '{m}' AS metric, round({m}, 9) AS value FROM one WHERE {m} IS NOT NULL" for m in METRICS)
+    + """)
+UNION ALL SELECT 'dl_mlp_metrics.json', 'network', model, 0.5e0, metric, value FROM ("""
+    + " UNION ALL ".join(f"SELECT model, '{m}' AS metric, round({m}, 9) AS value FROM one WHERE {m} IS NOT NULL" for m in METRICS)
+    + """) WHERE model = 'mlp'
+UNION ALL SELECT 'dl_mlp_metrics.json', 'network', 'mlp', 0.5e0, 'best_threshold', threshold FROM (
+  SELECT threshold FROM rates WHERE model = 'mlp' ORDER BY f1 DESC, threshold LIMIT 1)
+UNION ALL SELECT 'threshold_sweep_rf.json', 'sweep', 'rf', threshold, metric, round(value, 9) FROM (
+  SELECT threshold, 'precision' AS metric, precision AS value FROM rates WHERE model = 'rf'
+  UNION ALL SELECT threshold, 'recall', recall FROM rates WHERE model = 'rf'
+  UNION ALL SELECT threshold, 'f1', f1 FROM rates WHERE model = 'rf')"""
+)
+
+
+def shapes_sql():
+    grid = ", ".join(f"({t}e0)" for t in ev.GRID_19)
+    return evaluated_sql(
+        "model",
+        f""", coded AS (SELECT * REPLACE ({_CODE_SQL} AS model) FROM evaluated), grid(threshold) AS (VALUES {grid}),
+hits AS (SELECT {_CODE_SQL} AS model, threshold, {counts_at('threshold')} FROM scored_models, grid GROUP BY ALL),
+rates AS (SELECT model, threshold, {ratios()} FROM hits)"""
+        + _SHAPES_SQL,
+    )
+
+
+def written_reports(spark, sf_dir, folder):
+    """Three reports of different shapes: the evaluation of all models, a network's own, a sweep."""
+    scores = coded(spark, sf_dir)
+    table = ev.evaluate_models(scores, ["model"])
+    write_documents(rp.metric_documents(table), f"{folder}/spark_test_metrics.json")
+    best = ev.best_threshold(ev.threshold_sweep(scores.where("model = 'mlp'"), ev.GRID_19))
+    at_half = table.where("model = 'mlp'").select("model", F.struct(*METRICS).alias("test_metrics_t0_50"))
+    report = at_half.join(best.select(F.struct("threshold", "f1").alias("best_f1")))  # one row each
+    write_documents(report.select(F.to_json(F.struct("*")).alias("document")), f"{folder}/dl_mlp_metrics.json")
+    steps = ev.threshold_sweep(scores.where("model = 'rf'"), ev.GRID_19)
+    steps = steps.agg(F.sort_array(F.collect_list(F.struct("threshold", "precision", "recall", "f1"))).alias("sweep"))
+    sweep = steps.select(F.to_json(F.struct(F.lit("rf").alias("model"), "sweep")).alias("document"))
+    write_documents(sweep, f"{folder}/threshold_sweep_rf.json")
+    write_documents(sweep, f"{folder}/notes.txt")  # found by pattern: this one is not
+
+
+@query("report_shapes", shapes_sql())
+def report_shapes(spark, sf_dir):
+    """Reports of three shapes found by pattern and named by their file, in one long table."""
+    folder = shared_folder(spark)
+    written_reports(spark, sf_dir, folder)
+    return rounded(rp.all_reports(read_reports(spark, f"{folder}/*.json")), "value")
+
+
 @query("normalise_metrics", report_sql(_metric_union("merchant, type, upper(model) AS model")))
 def normalise_metrics(spark, sf_dir):
     documents = rp.metric_documents(evaluated(spark, sf_dir), SEGMENTS)

@@ -39,6 +39,22 @@ def parquet_scan(spark, sf_dir):
     )
 
 
+@query(
+    "split_scan",
+    tx_sql(
+        f"SELECT type, CAST(count(*) AS BIGINT) AS n, round(sum(amount), 4) AS total "
+        f"FROM (SELECT *, {SPLIT_SQL} AS split FROM tx) WHERE split = 'valid' GROUP BY type"
+    ),
+)
+def split_scan(spark, sf_dir):
+    """One split of a folder written by split; the other folders are not read."""
+    path = shared_folder(spark)
+    split = three_way_split(activity(spark, sf_dir), "tx_id")
+    files.write_splits(split, path, ("tx_id", "type", "amount"))
+    valid = files.read_split(spark, path, "valid")
+    return valid.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("total"))
+
+
 @query(
     "parquet_multi_scan",
     tx_sql(f"SELECT tx_id, amount FROM (SELECT *, {SPLIT_SQL} AS split FROM tx) WHERE split IN ('train', 'valid')"),

@@ -8,6 +8,7 @@ from riskframe.operators import encoding, explain, reporting, sequences
 from riskframe.operators.features import CATEGORICAL, NUMERIC
 from riskframe.plans.registry import query
 from riskframe.plans.sql import models_sql, ratio, seq_sql, tx_sql
+from riskframe.session import shared_folder
 from riskframe.sources.transactions import activity, scored_models, table, transactions
 
 SEQ_LEN = 20
@@ -69,6 +70,38 @@ def build_sequences(spark, sf_dir):
     return elements(seq(spark, sf_dir), "type_seq", *VALUE_SEQS)
 
 
+def layout(spark, sf_dir):
+    """The account layout of a data folder, under a name of its own."""
+    path = shared_folder(spark)
+    name = f"accounts_{path.rsplit('/', 1)[-1]}"
+    return sequences.AccountLayout.write(
+        transactions(spark, sf_dir), name, path, 16, hot_rows=LAYOUT_HOT_ROWS, survey=activity(spark, sf_dir)
+    )
+
+
+LAYOUT_HOT_ROWS = 2_000  # so that both tables of the layout hold rows wherever an account is that large
+
+
+@query("account_layout", seq_sql("SELECT tx_id, nameOrig, rn, win_id FROM wins"))
+def account_layout(spark, sf_dir):
+    """Ranks read from the bucketed layout."""
+    ordinary, hot = layout(spark, sf_dir).ranked(spark)
+    ranked = ordinary.select("tx_id", "nameOrig", "rn").unionByName(hot.select("tx_id", "nameOrig", "rn"))
+    return sequences.with_window_id(ranked, SEQ_LEN).select("tx_id", "nameOrig", "rn", "win_id")
+
+
+@query(
+    "layout_sequences",
+    seq_sql(
+        "SELECT nameOrig, win_id, pos, type_idx AS type_seq, amount AS amount_seq, "
+        "oldbalanceOrg AS oldbalanceOrg_seq, newbalanceOrg AS newbalanceOrg_seq, label FROM seq_rows"
+    ),
+)
+def layout_sequences(spark, sf_dir):
+    """Sequences read from the bucketed layout."""
+    return elements(layout(spark, sf_dir).sequences(spark, SEQ_LEN), "type_seq", *VALUE_SEQS)
+
+
 @query("n_types", seq_sql("SELECT max(type_idx) + 1 AS n_types FROM seq_rows"))
 def n_types(spark, sf_dir):
     return sequences.n_types(seq(spark, sf_dir))

@@ -79,6 +79,11 @@ def export_scores(scored: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_scores(spark: SparkSession, *paths: str) -> DataFrame:
+    """(label, score) of exported score files."""
+    return spark.read.option("header", True).schema("label int, score double").csv(list(paths))
+
+
 def export_feature_sample(df: DataFrame, id_col: str, n: int, path: str, features: str = "features") -> None:
     """n rows as a dense array x and label y, drawn over the whole table."""
     require_columns(df, [features, "label"])
@@ -103,3 +108,13 @@ def read_documents(
         reader = reader.schema(T.StructType(fields))
     lines = reader.format("text").load(list(paths))
     return lines.select(*segments, F.input_file_name().alias("source_file"), F.col("value").alias("document"))
+
+
+def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
+    """(name, document) of whole reports whose path matches ``pattern``, indented or on one line.
+
+    A report is named by its file, or by its folder where Spark wrote it as one.
+    """
+    found = read_documents(spark, pattern, whole_files=True)
+    name = F.regexp_extract("source_file", r"([^/]+?)(?:/part-[^/]*)?$", 1)
+    return found.select(F.url_decode(name).alias("name"), "document")
