@@ -1,6 +1,6 @@
 """Fitted tree ensembles as tables of nodes: column expressions, batch scores, exact attributions."""
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
 
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from riskframe.session import shared_folder
 
 
+BITS = 62  # answers in one long number
+
+
 @dataclass(frozen=True)
 class Node:
     """An inner node sends a row left by its slot; a leaf (``left`` is -1) holds a value."""
@@ -95,18 +98,21 @@ def _number(value: float) -> str:
     return f"{float(value)!r}D"
 
 
-def tree_sql(nodes: Sequence[Node], slots: Sequence[str], leaf, at: int = 0) -> str:
-    """One tree as nested conditions over the SQL of each slot; ``leaf(i)`` is the SQL of leaf i."""
+def question_sql(node: Node, slots: Sequence[str]) -> str:
+    """The question of an inner node: whether a row goes left."""
+    if not node.values and node.values_left:
+        return f"{slots[node.slot]} <= {_number(node.threshold)}"
+    inside = f"{slots[node.slot]} IN ({', '.join(map(_number, node.values))})" if node.values else "false"
+    return inside if node.values_left else f"NOT ({inside})"
+
+
+def tree_sql(nodes: Sequence[Node], test: Callable[[Node], str], at: int = 0) -> str:
+    """One tree as nested conditions; ``test`` is the SQL of a node's question."""
     node = nodes[at]
     if node.is_leaf:
-        return leaf(at)
-    if node.values or not node.values_left:
-        inside = f"{slots[node.slot]} IN ({', '.join(map(_number, node.values))})" if node.values else "false"
-        test = inside if node.values_left else f"NOT ({inside})"
-    else:
-        test = f"{slots[node.slot]} <= {_number(node.threshold)}"
-    sides = [tree_sql(nodes, slots, leaf, side) for side in (node.left, node.right)]
-    return f"IF({test}, {sides[0]}, {sides[1]})"
+        return _number(node.value)
+    sides = [tree_sql(nodes, test, side) for side in (node.left, node.right)]
+    return f"IF({test(node)}, {sides[0]}, {sides[1]})"
 
 
 def array_slots(width: int, column: str = "x") -> list[str]:
@@ -114,39 +120,69 @@ def array_slots(width: int, column: str = "x") -> list[str]:
     return [f"{column}[{i}]" for i in range(width)]
 
 
+def _margin_sql(model: Ensemble, test: Callable[[Node], str]) -> str:
+    return " + ".join(f"{_number(w)} * {tree_sql(nodes, test)}" for nodes, w in zip(model.trees, model.weights))
+
+
+def _score_of(model: Ensemble, margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin)) if model.boosted else margin
+
+
 def margin_column(model: Ensemble, slots: Sequence[str]) -> Column:
     """The margin as one expression over columns: no vector, no transformer, no Python."""
-    parts = [
-        f"{_number(w)} * {tree_sql(nodes, slots, lambda i: _number(nodes[i].value))}"
-        for nodes, w in zip(model.trees, model.weights)
-    ]
-    return F.expr(" + ".join(parts))
+    return F.expr(_margin_sql(model, lambda node: question_sql(node, slots)))
 
 
 def score_column(model: Ensemble, slots: Sequence[str]) -> Column:
     """P(class 1) as one expression over columns."""
-    margin = margin_column(model, slots)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin)) if model.boosted else margin
+    return _score_of(model, margin_column(model, slots))
 
 
 def scored(df: DataFrame, model: Ensemble, slots: Sequence[str], *keep: str) -> DataFrame:
     """(kept columns, score) of a table under a model whose slots are the SQL expressions ``slots``.
 
-    The slots are made columns first, so the code of a slot is written once and not at
-    every node that tests it.  A null slot is read as NaN, which goes right.
+    The trees of a model ask few different questions.  Each is answered once per row, the
+    answers are the bits of a few long numbers, and the trees test these bits: the code
+    that Spark generates stays below the size at which it gives up compiling a stage.
+    Names that begin with ``_slot`` or ``_bits`` are its own.  A null slot is read as
+    NaN, which goes right.
     """
     names = [f"_slot{i}" for i in range(len(slots))]
     made = [F.coalesce(F.expr(sql).cast("double"), F.lit(float("nan"))).alias(n) for sql, n in zip(slots, names)]
-    return df.select(*keep, *made).select(*keep, score_column(model, names).alias("score"))
-
-
-def leaf_counts(model: Ensemble, rows: DataFrame, slots: Sequence[str]) -> list[dict[int, int]]:
-    """Per tree, how many of ``rows`` end in each leaf; one pass, pre-aggregated in each task."""
-    leaves = F.array(*[F.expr(tree_sql(nodes, slots, lambda i: str(i))) for nodes in model.trees])
-    counts = rows.select(F.posexplode(leaves).alias("tree", "leaf")).groupBy("tree", "leaf").count()
+    asked = {_question(node): node for nodes in model.trees for node in nodes if not node.is_leaf}
+    place = {question: divmod(k, BITS) for k, question in enumerate(sorted(asked))}
+    words: dict[int, list[str]] = {}
+    for question, (word, bit) in place.items():
+        words.setdefault(word, []).append(f"IF({question_sql(asked[question], names)}, {1 << bit}L, 0L)")
+    answers = [F.expr(" | ".join(parts)).alias(f"_bits{word}") for word, parts in words.items()]
+
+    def test(node: Node) -> str:
+        word, bit = place[_question(node)]
+        return f"(_bits{word} & {1 << bit}L) != 0L"
+
+    rows = df.select(*keep, *made).select(*keep, *answers)
+    return rows.select(*keep, _score_of(model, F.expr(_margin_sql(model, test))).alias("score"))
+
+
+def leaf_counts(model: Ensemble, rows: DataFrame, width: int) -> list[dict[int, int]]:
+    """Per tree, how many of ``rows`` (x) end in each leaf; one pass, counted in each task."""
+    batch = BatchTrees(model, width)
+
+    def of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """At most one row per leaf of the model."""
+        sums = [np.zeros(len(nodes), np.int64) for nodes in model.trees]
+        for frame in frames:
+            if len(frame):
+                for total, at in zip(sums, batch.leaves(np.array(frame["x"].tolist(), float))):
+                    total += np.bincount(at, minlength=len(total))
+        for tree, total in enumerate(sums):
+            leaf = np.flatnonzero(total)
+            yield pd.DataFrame({"tree": np.full(len(leaf), tree), "leaf": leaf, "n": total[leaf]})
+
+    counts = rows.select("x").mapInPandas(of_task, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
     found: list[dict[int, int]] = [{} for _ in model.trees]
     for row in counts.collect():  # at most one row per leaf of the model
-        found[row["tree"]][row["leaf"]] = row["count"]
+        found[row["tree"]][row["leaf"]] = row["n"]
     return found
 
 
@@ -177,7 +213,8 @@ class BatchTrees:
             values = np.array([weight * n.value if n.is_leaf else 0.0 for n in nodes])
             self.trees.append((asked, sides, values, _depth(nodes)))
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Tree by tree, the leaf of each row."""
         n, row = len(x), np.arange(len(x))
         goes_left = np.zeros((self.n_questions + 1, n), bool)
         for slot, first, numbers, categories in self.slots:
@@ -185,11 +222,16 @@ class BatchTrees:
             np.less_equal(column, numbers, out=goes_left[first : first + len(numbers)])
             for k, (values, values_left) in enumerate(categories, first + len(numbers)):
                 goes_left[k] = (column == values[0] if len(values) == 1 else np.isin(column, values)) == values_left
-        flat, out = goes_left.ravel(), np.zeros(n)
-        for asked, sides, values, depth in self.trees:
+        flat = goes_left.ravel()
+        for asked, sides, _, depth in self.trees:
             at = np.zeros(n, np.intp)
             for _ in range(depth):
                 at = sides.take(2 * at + flat.take(asked.take(at) * n + row))
+            yield at
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for (_, _, values, _), at in zip(self.trees, self.leaves(x)):
             out += values.take(at)
         return out
 
@@ -325,7 +367,7 @@ def shap_tree(rows: DataFrame, id_col: str, model: Ensemble, background: DataFra
     size: it is counted once per leaf, and only these counts are used.  Per row the phi
     add up to the row's margin minus the mean margin of the background.
     """
-    leaves = paths(model, leaf_counts(model, background, array_slots(width)))
+    leaves = paths(model, leaf_counts(model, background, width))
 
     @F.pandas_udf("array<double>")
     def attributions(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -58,6 +58,9 @@ def test_column_and_batch_scores_are_the_model(spark, rows, model):
     assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
     found = scored.collect()
     assert max(abs(r["p"] - r["compiled"]) for r in found) < 1e-12
+    bits = trees.scored(own, nodes, trees.array_slots(WIDTH), "x", "id").select("id", F.col("score").alias("bits"))
+    bits = {r["id"]: r["bits"] for r in bits.collect()}
+    assert max(abs(bits[r["id"]] - r["p"]) for r in own.select("id", vector_to_array("probability")[1].alias("p")).collect()) < 1e-12
     batch = training.batch_scorer(model)(np.array([r["x"] for r in found]))
     assert np.abs(batch - [r["p"] for r in found]).max() < 1e-12
 
@@ -71,7 +74,7 @@ def test_one_project_over_raw_columns(spark, sf_dir):
     flat = vectors.select(vector_to_array("features").alias("x"), F.array(*map(F.expr, slots)).alias("s"))
     assert flat.where("x != s").count() == 0 and flat.count() > 0
     model = training.train_gbt(mq.part(mq.vectors(spark, sf_dir), "train"), maxIter=3)
-    scored = split.select("tx_id", trees.score_column(trees.ensemble(model), slots).alias("score"))
+    scored = trees.scored(split, trees.ensemble(model), slots, "tx_id")
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "UDF" not in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
 
@@ -120,7 +123,7 @@ def all_subsets(model, counts, x):
 def test_equal_to_enumerating_all_subsets(rows, model, background):
     nodes = trees.ensemble(model)
     others = rows if background == "all" else rows.where("id < 7")  # leaves that no background row reaches
-    counts = trees.leaf_counts(nodes, others, trees.array_slots(WIDTH))
+    counts = trees.leaf_counts(nodes, others, WIDTH)
     explained = rows.where("id between 100 and 104")
     phi = trees.shap_tree(explained, "id", nodes, others, WIDTH)
     by_row = {}
