@@ -10,7 +10,15 @@ Texts with equal sets are one class from the start, so copies cost one row each.
 Within a bucket of a band, every class is first compared with one random member;
 what that links is merged, and then all members of different components are
 compared block by block.  Only classes of one component are never compared, so
-no link that could join two components is lost and no group emits all its pairs.
+no link that could join two components is lost.
+
+That second comparison never writes a pair.  A block first names, from registers
+alone, its members that have a candidate in another component; only these members
+come back to it with their full sets, are compared there, and what is linked leaves it
+as a spanning forest.  Members of a bucket's largest component need no comparison with
+each other, so each of them lies in one block only; the others visit every block.  So a
+bucket of m members, o of them outside its largest component, makes at most m + o rows
+per further block.
 """
 
 from collections.abc import Iterator
@@ -21,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.blocks import grouped, sorted_groups, with_blocks
+from riskframe.llm.blocks import sorted_groups
 from riskframe.llm.components import connected_components
 from riskframe.llm.shingles import WordHashes, mix, shingle_set
 from riskframe.llm.tables import written
@@ -31,7 +39,8 @@ BAND_REGISTERS = 5  # at similarity 0.8 all 32 bands miss with probability 3e-6
 BANDS = REGISTERS // BAND_REGISTERS
 MANTISSA_BITS = 10
 ROWS_AT_ONCE = 500
-BLOCK = 512  # members of one bucket that are compared in one piece
+BLOCK = 2048  # members of one bucket that are compared in one piece
+BLOCK_SHINGLES = 2_000_000  # and their shingles, on average
 DEVIATIONS = 5.0  # an estimate this many standard errors below the threshold is still verified
 
 _ORDERS = np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1)
@@ -96,24 +105,32 @@ def in_parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def sketch(text: Column, width: int) -> Column:
-    """Struct of n_shingles, digest of the set, registers and band keys; null counts as empty."""
+    """Struct of n_shingles, digest of the set and registers; null counts as empty."""
 
-    @F.pandas_udf("n_shingles long, digest binary, registers binary, bands array<long>")
+    @F.pandas_udf("n_shingles long, digest binary, registers binary")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for part in in_parts(texts):
             rows = []
             for text in part:
                 shingles = shingle_set(text, width, hashes)
-                regs = registers(shingles)
-                keys = band_keys(regs) if len(shingles) else np.empty(0, np.int64)
                 digest = blake2b(shingles.tobytes(), digest_size=16).digest()
-                rows.append((len(shingles), digest, regs.tobytes(), keys))
-            yield pd.DataFrame(rows, columns=["n_shingles", "digest", "registers", "bands"])
+                rows.append((len(shingles), digest, registers(shingles).tobytes()))
+            yield pd.DataFrame(rows, columns=["n_shingles", "digest", "registers"])
 
     return of(F.coalesce(text, F.lit("")))
 
 
+def bands(registers_: str) -> Column:
+    """The band keys of a set from its registers, which must not all be empty."""
+
+    @F.pandas_udf("array<long>")
+    def of(packed: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(regs) for regs in _matrix(packed)], dtype=object)
+
+    return of(F.col(registers_))
+
+
 def full_sets(text: Column, width: int) -> Column:
     @F.pandas_udf("digest binary, shingles array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -153,36 +170,122 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(linked).select(*pairs.columns)
 
 
-def _cross_pairs(threshold: float):
-    """Pairs of one bucket that lie in different components and pass the estimate, with the components.
+def _first_band(regs: np.ndarray, key: int) -> tuple[np.ndarray, int]:
+    """The band keys of rows of registers that share ``key``, and which band it is."""
+    keys = np.stack([band_keys(r) for r in regs])
+    return keys, int((keys[0] == key).argmax())
+
+
+def _with_candidates(threshold: float):
+    """The members of a block that have a candidate in another component, with the block they have it in.
 
-    A pair that shares several bands is compared in the first of them only.
+    Compared are the members at home in the block with each other and with the block's
+    visitors.  A pair that shares several bands is looked at in the first of them only.
     """
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(frames, ["key", "block_a", "block_b"]):
-            ids, comps = group["class_id"].to_numpy(), group["component"].to_numpy()
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in sorted_groups(frames, ["key", "block"]):
+            comps = group["component"].to_numpy()
             if (comps == comps[0]).all():
                 continue
             regs, sizes = _matrix(group["registers"]), group["n_shingles"].to_numpy()
-            bands, side = np.stack(group["bands"].to_numpy()), group["block"].to_numpy()
-            band = int((bands[0] == group["key"].iat[0]).argmax())
-            crossing = group["block_a"].iat[0] != group["block_b"].iat[0]
-            found = []
-            for i in range(len(ids) - 1):
-                other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
-                if crossing:
-                    other = other[side[other] != side[i]]
+            at_home = group["home"].to_numpy() == group["block"].iat[0]
+            keys, band = _first_band(regs, group["key"].iat[0])
+            found = np.zeros(len(comps), bool)
+            for i in range(len(comps) - 1):
+                open_ = comps[i + 1 :] != comps[i]
+                if not at_home[i]:
+                    open_ &= at_home[i + 1 :]
+                if found[i]:
+                    open_ &= ~found[i + 1 :]
+                other = np.flatnonzero(open_) + i + 1
                 if band and len(other):
-                    other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
+                    other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
                 if len(other):
                     other = other[worth_verifying(regs[[i]], regs[other], sizes[i], sizes[other], threshold)]
-                    mine = [np.full(len(other), x[i]) for x in (ids, comps)]
-                    found.append(np.stack([mine[0], ids[other], mine[1], comps[other]], axis=1))
-            if found:
-                yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "component_a", "component_b"])
+                    found[other] = True
+                    found[i] |= bool(len(other))
+            if found.any():
+                yield group.loc[found, ["class_id", "component", "key", "block"]]
+
+    return members
+
+
+class Joined(dict):
+    """Which components a block has joined so far; one that is not here stands for itself."""
+
+    def root(self, component: int) -> int:
+        while (up := self.get(component, component)) != component:
+            self[component] = component = self.get(up, up)
+        return component
+
 
-    return pairs
+def linked_forest(comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links between their members join: a spanning forest of them.
+
+    Compared are all members whose components are not joined yet, on their full sets.
+    Members are ordered by size, so a set is compared with those that are not too large
+    for it only.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    comps, sets = comps[order].tolist(), [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets])
+    _, numbered = np.unique(np.concatenate(sets), return_inverse=True)
+    numbered, ends = numbered.ravel(), np.cumsum(sizes)
+    inside = np.zeros(int(numbered.max()) + 1, bool)
+    joined, forest = Joined(), []
+    for i in range(len(sets) - 1):
+        last = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
+        own = numbered[ends[i] - sizes[i] : ends[i]]
+        open_ = [j for j in range(i + 1, last) if joined.root(comps[j]) != joined.root(comps[i])]
+        if not open_:
+            continue
+        inside[own] = True
+        for j in open_:
+            common = np.count_nonzero(inside[numbered[ends[j] - sizes[j] : ends[j]]])
+            a, b = joined.root(comps[i]), joined.root(comps[j])
+            if a != b and 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                joined[max(a, b)] = min(a, b)
+                forest.append((comps[i], comps[j]))
+        inside[own] = False
+    return forest
+
+
+def _links(percent: int):
+    """A block's spanning forest of components, from its members' full sets."""
+
+    def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in sorted_groups(frames, ["key", "block"]):
+            sets = [np.asarray(s, np.int64) for s in group["shingles"]]
+            forest = linked_forest(group["component"].to_numpy(), sets, percent)
+            if forest:
+                yield pd.DataFrame(forest, columns=["a", "b"])
+
+    return links
+
+
+def open_members(labelled: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, once per block that they are compared in.
+
+    ``labelled`` holds (key, class_id, component, n_shingles).  A bucket is cut by a hash
+    into blocks of about BLOCK members and BLOCK_SHINGLES shingles.  A member of its
+    largest component is sent to its own block, ``home``, only; any other to all of them.
+    """
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    largest = F.max_by("component", F.struct("n", "component")).alias("largest")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("components"), largest, blocks)
+    rows = labelled.join(mixed.filter("components > 1").drop("components"), "key")
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("class_id", F.lit(5)), F.col("blocks")).cast("int"))
+    visited = F.when(F.col("component") == F.col("largest"), F.array("home")).otherwise(
+        F.sequence(F.lit(0), F.col("blocks") - 1)
+    )
+    return rows.withColumn("block", F.explode(visited)).drop("blocks", "largest")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` laid out for :func:`riskframe.llm.blocks.sorted_groups` by (key, block)."""
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "class_id")
 
 
 def row_hashes(id_col: str = "doc_id", text: str = "text") -> list[Column]:
@@ -208,14 +311,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.monotonically_increasing_id().alias("row_id"), "doc_id", "hash_a", "hash_b", "s.*"
     )
     rows = written(rows)
-    first = F.min(F.struct("row_id", "doc_id", "n_shingles", "registers", "bands")).alias("f")
+    first = F.min(F.struct("row_id", "doc_id", "n_shingles", "registers")).alias("f")
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(first)
     classes = written(
-        classes.select(
-            F.col("f.row_id").alias("class_id"), "digest", "f.doc_id", "f.n_shingles", "f.registers", "f.bands"
-        )
+        classes.select(F.col("f.row_id").alias("class_id"), "digest", "f.doc_id", "f.n_shingles", "f.registers")
     )
-    members = classes.select("class_id", F.explode("bands").alias("key"))
+    members = classes.select("class_id", "n_shingles", F.explode(bands("registers")).alias("key"))
     # a random member of each bucket of at least two
     pick = F.min(F.struct(F.xxhash64("class_id", "key").alias("draw"), "class_id"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), pick.alias("pick")).filter("n > 1")
@@ -236,18 +337,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     merged = connected_components(links)
     labelled = shared.join(merged.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "key", "class_id", F.coalesce("component", "class_id").alias("component")
-    )
-    mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+        "key", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("component")
     )
-    mixed = mixed.filter("low != high").select("key", "n")
-    open_rows = with_blocks(labelled.join(mixed, "key"), "n", "class_id", BLOCK)
-    open_rows = open_rows.join(classes.select("class_id", "n_shingles", "registers", "bands"), "class_id")
-    pairs = grouped(open_rows, "key", "class_id").mapInPandas(
-        _cross_pairs(threshold), "a long, b long, component_a long, component_b long"
+    flagged = written(
+        in_blocks(open_members(labelled).join(classes.select("class_id", "registers"), "class_id")).mapInPandas(
+            _with_candidates(threshold), "class_id long, component long, key long, block int"
+        )
     )
-    across = verified(pairs, sets, percent).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    compared = in_blocks(flagged.join(sets, "class_id")).select("component", "shingles", "key", "block")
+    across = compared.mapInPandas(_links(percent), "a long, b long")
     # whole components are the nodes now, so the second contraction is as small as what was still open
     joined = connected_components(across).toDF("first", "last")
     components = merged.join(joined, merged["component"] == joined["first"], "left")
@@ -266,10 +364,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, and equal rows once."""
+    """``docs`` with one row of each group of near duplicates.
+
+    The row with the smallest doc_id of a group stays; of several with that id, the one
+    whose hashes of id and text are smallest, and of rows equal in both the first in the
+    order of all columns, so a rerun keeps the same row.  A null or empty text is a
+    group of its own per id; equal rows stay once; an empty table stays empty; names of
+    other columns do not matter.
+    """
     kept = near_duplicates(docs, width, percent).filter("kept")
     alone = F.when(F.col("component").isNull(), F.col("hash_a")).alias("alone")
     stays = kept.groupBy("component", alone).agg(F.min(F.struct("hash_a", "hash_b")).alias("h")).select("h.*")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), *row_hashes())
     found = rows.join(stays.distinct(), ["hash_a", "hash_b"], "left_semi")
-    return found.dropDuplicates(["hash_a", "hash_b"]).select("doc.*")
+    return found.groupBy("hash_a", "hash_b").agg(F.min("doc").alias("doc")).select("doc.*")

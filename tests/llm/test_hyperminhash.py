@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from samples import ODD_TEXTS
 
@@ -158,3 +159,71 @@ def test_pairs_of_long_texts(make_docs):
     for i, length in enumerate((400, 600, 800, 900, 1_000, 1_100, 1_200, 1_500, 2_000) * 8):
         docs += near_copies(rng, 2, length, vocabulary, length // 25, 10 * i)
     assert found(make_docs(docs), 2) == reference(docs, 2, 80)
+
+
+def test_forest_of_a_block_is_that_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = rng.integers(0, 2**62, 40)
+        sets = [np.unique(np.r_[base[rng.random(40) < rng.choice([0.6, 0.9, 1.0])], rng.integers(0, 2**62, rng.integers(1, 6))]) for _ in range(30)]
+        comps = rng.integers(0, 12, 30)
+        forest = hyperminhash.linked_forest(comps, sets, 80)
+        parent = {c: c for c in comps.tolist()}
+
+        def find(parent, c):
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        for i in range(30):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                    a, b = find(parent, comps[i]), find(parent, comps[j])
+                    parent[max(a, b)] = min(a, b)
+        own = {c: c for c in comps.tolist()}
+        for a, b in forest:
+            a, b = find(own, a), find(own, b)
+            assert a != b  # a forest: no pair twice
+            own[max(a, b)] = min(a, b)
+        assert {c: find(own, c) for c in own} == {c: find(parent, c) for c in parent}
+
+
+def test_rows_of_a_family_below_the_threshold_grow_with_its_members(spark):
+    """Near copies at about 0.63 similarity, none of them linked: no block writes its pairs."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (100, 200):
+        base = mix(rng.integers(0, 2**62, 300, np.uint64))
+        sets = [np.unique(np.r_[base[rng.random(300) < 0.78], mix(rng.integers(0, 2**62, 5, np.uint64))]) for _ in range(n)]
+        frame = pd.DataFrame(
+            {
+                "class_id": range(n), "component": range(n), "n_shingles": [len(s) for s in sets], "key": 0,
+                "block": 0, "home": 0, "registers": [hyperminhash.registers(s).tobytes() for s in sets],
+            }
+        )
+        found = list(hyperminhash._with_candidates(0.8)(iter([frame])))
+        rows.append(sum(map(len, found)))
+        assert rows[-1] <= n
+        shingles = [s.view(np.int64) for s in sets]
+        assert hyperminhash.linked_forest(np.arange(n), shingles, 80) == []
+
+
+def test_of_equal_ids_and_texts_the_same_row_stays(spark):
+    rows = [(1, "a b c d e f", "z"), (1, "a b c d e f", "m"), (2, "q", "x"), (2, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 3):
+        kept = hyperminhash.one_of_each(docs.repartition(parts)).collect()
+        assert sorted((r.doc_id, str(r.source)) for r in kept) == [(1, "m"), (2, "None")]
+
+
+def test_members_of_the_largest_component_lie_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "BLOCK", 50)
+    rows = [(7, i, 1, 10) for i in range(900)] + [(7, 1_000 + i, 100 + i, 10) for i in range(5)]
+    rows += [(8, i, 1, 10) for i in range(900)]  # one component: nothing to compare
+    found = hyperminhash.open_members(spark.createDataFrame(rows, "key long, class_id long, component long, n_shingles long"))
+    got = found.collect()
+    blocks = 19  # of 905 members
+    assert {r.key for r in got} == {7} and len(got) == 900 + 5 * blocks
+    assert all(r.home == r.block for r in got if r.component == 1)
+    assert {(r.class_id, r.block) for r in got if r.component != 1} == {(1_000 + i, b) for i in range(5) for b in range(blocks)}
