@@ -178,7 +178,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """A model from ``labels`` (doc_id, quality), of which the held-out fold is left aside.
 
     The fit reads at most ``max_labelled`` labels, the lowest in the order of a hash
-    of the id; so the side that is broadcast to find their texts is bounded too.
+    of the id; so the side that is broadcast to find their texts is bounded too.  Labels
+    with a null id, or a quality other than 0 and 1, are left out; a repeated label, and
+    a document that occurs several times, counts as often as it occurs; a null text is
+    an empty one.  Without a label, or with labels of one class only, the model is the
+    smoothed share of label 1.  Columns beside the named ones are not looked at.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
@@ -187,6 +191,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with a ``score`` in 0 to 1 from the whole text only; a null text scores like an empty one."""
+    """``docs`` with a ``score`` in 0 to 1 from the whole text only.
+
+    A null text scores like an empty one, equal texts score alike, an empty table stays
+    empty.  A column ``score`` or ``statistics`` of ``docs`` is replaced or dropped; a
+    caller that needs it keeps the row in a struct, as the pipeline does.
+    """
     columns = [F.col(c) for c in docs.columns if c not in ("statistics", "score")]
     return docs.select(*columns, statistics().alias("statistics")).select(*columns, model.score().alias("score"))

@@ -4,15 +4,18 @@ import numpy as np
 import xxhash
 
 MAX_CACHED_WORDS = 50_000  # the frequent words of a corpus; rarer ones are hashed again
+LONGEST_CACHED = 64  # bytes; a longer run without white space is hashed each time
 
 
 class WordHashes(dict):
     """Hashes of words seen by this task; emptied when full, so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= MAX_CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
