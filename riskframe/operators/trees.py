@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from riskframe.session import shared_folder
 
 
-BITS = 62  # answers in one long number
-
-
 @dataclass(frozen=True)
 class Node:
     """An inner node sends a row left by its slot; a leaf (``left`` is -1) holds a value."""
@@ -112,7 +109,7 @@ def tree_sql(nodes: Sequence[Node], test: Callable[[Node], str], at: int = 0) ->
     if node.is_leaf:
         return _number(node.value)
     sides = [tree_sql(nodes, test, side) for side in (node.left, node.right)]
-    return f"IF({test(node)}, {sides[0]}, {sides[1]})"
+    return f"CASE WHEN {test(node)} THEN {sides[0]} ELSE {sides[1]} END"
 
 
 def array_slots(width: int, column: str = "x") -> list[str]:
@@ -141,27 +138,19 @@ def score_column(model: Ensemble, slots: Sequence[str]) -> Column:
 def scored(df: DataFrame, model: Ensemble, slots: Sequence[str], *keep: str) -> DataFrame:
     """(kept columns, score) of a table under a model whose slots are the SQL expressions ``slots``.
 
-    The trees of a model ask few different questions.  Each is answered once per row, the
-    answers are the bits of a few long numbers, and the trees test these bits: the code
-    that Spark generates stays below the size at which it gives up compiling a stage.
-    Names that begin with ``_slot`` or ``_bits`` are its own.  A null slot is read as
-    NaN, which goes right.
+    The trees of a model ask few different questions.  Each is answered once per row, as a
+    truth value, and the trees test these: the code that Spark generates stays below the
+    size at which it gives up compiling.  Names that begin with ``_slot`` or ``_asked`` are
+    its own.  A null slot is read as NaN, which goes right.
     """
     names = [f"_slot{i}" for i in range(len(slots))]
     made = [F.coalesce(F.expr(sql).cast("double"), F.lit(float("nan"))).alias(n) for sql, n in zip(slots, names)]
     asked = {_question(node): node for nodes in model.trees for node in nodes if not node.is_leaf}
-    place = {question: divmod(k, BITS) for k, question in enumerate(sorted(asked))}
-    words: dict[int, list[str]] = {}
-    for question, (word, bit) in place.items():
-        words.setdefault(word, []).append(f"IF({question_sql(asked[question], names)}, {1 << bit}L, 0L)")
-    answers = [F.expr(" | ".join(parts)).alias(f"_bits{word}") for word, parts in words.items()]
-
-    def test(node: Node) -> str:
-        word, bit = place[_question(node)]
-        return f"(_bits{word} & {1 << bit}L) != 0L"
-
+    place = {question: f"_asked{k}" for k, question in enumerate(sorted(asked))}
+    answers = [F.expr(question_sql(asked[question], names)).alias(name) for question, name in place.items()]
     rows = df.select(*keep, *made).select(*keep, *answers)
-    return rows.select(*keep, _score_of(model, F.expr(_margin_sql(model, test))).alias("score"))
+    margin = F.expr(_margin_sql(model, lambda node: place[_question(node)]))
+    return rows.select(*keep, _score_of(model, margin).alias("score"))
 
 
 def leaf_counts(model: Ensemble, rows: DataFrame, width: int) -> list[dict[int, int]]:
