@@ -9,19 +9,33 @@ from riskframe.llm.tables import n_words, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rule ensemble does not reject."""
+    """The documents that the rule ensemble does not reject.
+
+    Learnt from the rows of ``labels`` that belong to ``docs``.  A null text is judged like
+    an empty one; equal texts share their fate; no documents give none; columns named
+    like the operator's own pass through untouched.
+    """
     model = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     return quality_rules.score_documents(whole, model).filter(F.col("score") >= queries.KEEP_FROM).select("doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of every group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id of a group stays, of rows equal in it the first in the order of
+    hashes and columns.  Null and empty texts are no one's duplicates but stay once per
+    id; a null id is never the smallest unless alone; no documents give none.
+    """
     return hyperminhash.one_of_each(docs, width=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its personal data replaced by the kind in brackets and n_chars of the new text."""
+    """Every document, with its personal data replaced by the kind in brackets and n_chars of the new text.
+
+    A document without a span keeps its text, null included, and its n_chars; equal texts
+    are masked alike; no documents give none; other columns pass through untouched.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("doc"), personal_data.candidates().alias("c"))
     found = written(whole.select("doc", "c.found"))
     spans = personal_data.accepted(found, personal_data.learn(found))
@@ -32,7 +46,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents are not torn apart."""
+    """Each document as often as the mix takes it; documents are not torn apart.
+
+    A null source is a source, the last in order; documents without words, null texts
+    included, take no part of a budget and stay once; repeated rows are taken each for
+    itself; ids that are null or equal differ by nothing else and are taken alike; no
+    documents give none.
+    """
     sized = written(docs.select("doc_id", "source", n_words("text").alias("size")))
     keyed = sized.withColumn("key", source_mix.row_key("doc_id", "size", "mix"))
     plan = source_mix.cuts(keyed, split_last=False)
@@ -45,7 +65,11 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of at most 2048 tokens with its place in a packed sequence."""
+    """One row per piece of at most 2048 tokens with its place in a packed sequence.
+
+    A null or empty text is one piece of its end id; repeated rows are packed each for
+    itself; a null id stays null; no documents give no pieces.
+    """
     return queries.packed_pieces(docs, public_tokenizers.path(queries.TOKENIZER))
 
 
