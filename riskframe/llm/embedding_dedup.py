@@ -3,10 +3,14 @@
 Each of several tables cuts space by BITS random hyperplanes; vectors with equal
 sign codes meet in a bucket.  Two vectors at the threshold share a code with
 probability (1 - angle / pi) ^ bits, so the number of tables follows from the recall
-that is asked for.  Inside a bucket all cosines are computed in double precision,
-block by block.  A pair that shares several codes counts only in the first table
-where it does, so links are counted without ever writing the pairs; a block returns
-a sum per vector and a spanning forest of its links.  Equal vectors are one class.
+that is asked for.  Only short rows go to the buckets, an id and a long sign code of
+LONG_BITS other hyperplanes: a bucket names, block by block, its members that have a
+partner whose long code differs in no more signs than a pair at the threshold does (at
+DEVIATIONS standard deviations above the mean).  These members alone come back with their
+vectors, and all their cosines are computed in double precision.  A pair that shares
+several codes counts only in the first table where it does, so links are counted without
+ever writing the pairs; a block returns a sum per vector and a spanning forest of its
+links.  Equal vectors are one class.
 """
 
 import math
@@ -24,9 +28,11 @@ from riskframe.llm.components import connected_components
 from riskframe.llm.tables import written
 
 RECALL = 0.999  # of pairs right at the threshold; closer pairs are found more surely
-BUCKET = 256  # members that a bucket is meant to have
+BUCKET = 1024  # members that a bucket is meant to have
 MAX_BITS = 31
 BLOCK = 1024
+LONG_BITS = 256
+DEVIATIONS = 7.0  # a pair at the threshold has a larger distance of long codes with probability 3e-9
 
 
 def plan_tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
@@ -48,22 +54,52 @@ def _digest(vectors: pd.Series) -> pd.Series:
 
 
 def sign_codes(vector: Column, bits: int, tables: int, seed: int = 5) -> Column:
-    """The sign codes of a vector, one integer of at most MAX_BITS = 31 bits per table."""
+    """Struct of ``codes``, one integer of at most MAX_BITS = 31 signs per table, and of the ``long`` code."""
 
-    @F.pandas_udf("array<int>")
-    def codes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("codes array<int>, long binary")
+    def signs_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         planes = {}
         for part in parts:
-            out = []
+            codes, long = [], []
             for v in part:
                 v = np.asarray(v, np.float64)
                 if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((tables * bits, len(v)))
-                signs = (planes[len(v)] @ v >= 0).reshape(tables, bits)
-                out.append((signs @ (1 << np.arange(bits))).astype(np.int32))
-            yield pd.Series(out, dtype=object)
+                    rng = np.random.default_rng([seed, len(v)])
+                    planes[len(v)] = rng.standard_normal((tables * bits + LONG_BITS, len(v)))
+                signs = planes[len(v)] @ v >= 0
+                codes.append((signs[:-LONG_BITS].reshape(tables, bits) @ (1 << np.arange(bits))).astype(np.int32))
+                long.append(np.packbits(signs[-LONG_BITS:]).tobytes())
+            yield pd.DataFrame({"codes": codes, "long": long})
 
-    return codes(vector)
+    return signs_of(vector)
+
+
+def largest_distance(threshold: float) -> int:
+    """Signs of a long code in which a pair at the threshold may differ."""
+    share = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.floor(LONG_BITS * share + DEVIATIONS * math.sqrt(LONG_BITS * share * (1 - share)))
+
+
+def _with_partners(farthest: int):
+    """The members of a block that have a partner within the distance, with the block they have it in."""
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in sorted_groups(frames, ["key", "block_a", "block_b"]):
+            long = np.frombuffer(b"".join(group["long"]), np.uint64).reshape(len(group), -1)
+            side = group["block"].to_numpy()
+            crossing = group["block_a"].iat[0] != group["block_b"].iat[0]
+            found = np.zeros(len(group), bool)
+            for i in range(len(group) - 1):
+                near = np.bitwise_count(long[i + 1 :] ^ long[i]).sum(axis=1) <= farthest
+                if crossing:
+                    near &= side[i + 1 :] != side[i]
+                if near.any():
+                    found[i] = True
+                    found[i + 1 :] |= near
+            if found.any():
+                yield group.loc[found, ["class_id", "key", "block", "block_a", "block_b"]]
+
+    return members
 
 
 def spanning_forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -129,13 +165,21 @@ def near_duplicates(
     classes = usable.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "embedding")).alias("f"))
     classes = written(classes.select("digest", "n", F.col("f.row_id").alias("class_id"), "f.embedding"))
     bits, tables = plan_tables(classes.count(), threshold, recall)
-    coded = written(classes.select("class_id", "n", "embedding", sign_codes(F.col("embedding"), bits, tables).alias("codes")))
+    signs = sign_codes(F.col("embedding"), bits, tables).alias("s")
+    coded = written(classes.select("class_id", "n", "embedding", signs).select("class_id", "n", "embedding", "s.*"))
 
     members = coded.select("class_id", F.posexplode("codes").alias("place", "code"))
     members = members.select("class_id", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("code")).alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    placed = with_blocks(members.join(sizes, "key"), "members", "class_id", BLOCK).join(coded, "class_id")
-    found = grouped(placed, "key", "class_id").mapInPandas(_links(threshold), "a long, b long, weight long")
+    placed = with_blocks(members.join(sizes, "key"), "members", "class_id", BLOCK)
+    placed = placed.join(coded.select("class_id", "long"), "class_id")
+    flagged = written(
+        grouped(placed, "key", "class_id").mapInPandas(
+            _with_partners(largest_distance(threshold)), "class_id long, key long, block int, block_a int, block_b int"
+        )
+    )
+    near = flagged.join(coded.drop("long"), "class_id")
+    found = grouped(near, "key", "class_id").mapInPandas(_links(threshold), "a long, b long, weight long")
     found = written(found)
 
     counts = found.filter("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("weight").alias("others"))

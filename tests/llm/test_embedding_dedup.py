@@ -82,3 +82,30 @@ def test_equal_codes_meet_at_every_width(spark, monkeypatch, bits):
     # twice the vector is another row with the same signs
     rows = [(2 * i + k, ((1 + k) * v).tolist()) for i, v in enumerate(base) for k in (0, 1)]
     assert found(spark, rows) == sorted(((i, 1, i - i % 2) for i in range(2_000)), key=str)
+
+
+@pytest.mark.parametrize("bits", [8, 12, 16])
+def test_planted_pairs_are_linked_at_the_default_recall(spark, monkeypatch, bits):
+    """Pairs just above the threshold, among vectors that link with nothing."""
+    rng = np.random.default_rng(bits)
+    n, cosine = 1_500, 0.902
+    base = rng.standard_normal((n, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    away = rng.standard_normal((n, 64))
+    away -= (away * base).sum(axis=1)[:, None] * base
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    pairs = np.stack([base, cosine * base + np.sqrt(1 - cosine**2) * away], axis=1).reshape(-1, 64).astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 2 * n / 2**bits)
+    assert embedding_dedup.plan_tables(2 * n, 0.9)[0] == bits
+    got = found(spark, [(i, v.tolist()) for i, v in enumerate(pairs)])
+    linked = sum(links == 1 and component == i - i % 2 for i, links, component in got)
+    assert linked / len(got) >= 0.997  # 0.999 is meant, 1,500 pairs
+
+
+def test_long_codes_keep_pairs_at_the_threshold_and_leave_others():
+    rng = np.random.default_rng(0)
+    for threshold in (0.5, 0.9, 0.99):
+        farthest = embedding_dedup.largest_distance(threshold)
+        share = np.arccos(threshold) / np.pi
+        assert (rng.binomial(embedding_dedup.LONG_BITS, share, 1_000_000) <= farthest).all()
+    assert (rng.binomial(embedding_dedup.LONG_BITS, 0.5, 1_000_000) > embedding_dedup.largest_distance(0.9)).all()
