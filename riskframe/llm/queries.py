@@ -166,7 +166,8 @@ def op4_cross_entropy(spark, sf_dir):
 
 @query("op6_wordpiece_counts")
 def op6_wordpiece_counts(spark, sf_dir):
-    automaton = wordpiece_counts.PieceAutomaton(*wordpiece_counts.word_pieces(public_tokenizers.path(PIECES)))
+    pieces = wordpiece_counts.word_pieces(public_tokenizers.path(PIECES))
+    automaton = wordpiece_counts.PieceAutomaton(*pieces, byte_pieces=True)
     return wordpiece_counts.count_pieces(table(spark, sf_dir, "documents"), automaton)
 
 

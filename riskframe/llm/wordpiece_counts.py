@@ -5,6 +5,10 @@ for pieces that continue it.  Where a match cannot go on, a failure link leads t
 the node for the longest rest that could still be a piece, and the number of pieces
 popped on the way is known beforehand; so a word is read once, left to right, and
 its count is the sum of the pops.
+
+A vocabulary with byte pieces covers every text: a character at which no piece fits is
+as many pieces as it has UTF-8 bytes, and the word goes on behind it.  To the automaton
+that character is a piece which pops several at once.
 """
 
 from collections import deque
@@ -16,17 +20,22 @@ from pyspark.sql import functions as F
 
 WORD_MARK = "▁"
 UNKNOWN = -1
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS, LONGEST_CACHED = 300_000, 64
 
 
 class PieceAutomaton:
-    """Counts the pieces of longest-match-first segmentation; an unknown word gives UNKNOWN."""
+    """Counts the pieces of longest-match-first segmentation.
+
+    Without ``byte_pieces`` a word that cannot be segmented gives UNKNOWN.
+    """
 
-    def __init__(self, starts: Iterable[str], continuations: Iterable[str]):
+    def __init__(self, starts: Iterable[str], continuations: Iterable[str], byte_pieces: bool = False):
         self.step: dict[tuple[int, str], int] = {}
         self.fail: list[int | None] = [None, None]  # nodes 0 and 1 are the roots
         self.pops: list[int] = [0, 0]
-        ends, children = set(), {0: [], 1: []}
+        self.byte_pieces = byte_pieces
+        self.in_bytes: set[int] = set()  # nodes on whose way to a root a character is segmented into bytes
+        ends, children = {}, {0: [], 1: []}
         for root, pieces in ((0, starts), (1, continuations)):
             for piece in pieces:
                 node = root
@@ -39,38 +48,63 @@ class PieceAutomaton:
                         self.pops.append(0)
                     node = self.step[node, c]
                 if node > 1:
-                    ends.add(node)
+                    ends[node] = 1
+        if byte_pieces:  # what begins a piece, or the rest of one, and is none itself
+            letters = sorted({c for _, c in self.step})
+            for root in (0, 1):
+                for c in letters:
+                    if (root, c) not in self.step:
+                        self.step[root, c] = len(self.fail)
+                        children[root].append((c, len(self.fail)))
+                        children[len(self.fail)] = []
+                        self.fail.append(None)
+                        self.pops.append(0)
+                    node = self.step[root, c]
+                    if node not in ends:
+                        ends[node] = len(c.encode("utf-8", "replace"))
+                        self.in_bytes.add(node)
         queue = deque([0, 1])
         while queue:
             parent = queue.popleft()
             for c, node in children[parent]:
                 queue.append(node)
                 if node in ends:
-                    self.fail[node], self.pops[node] = 1, 1
+                    self.fail[node], self.pops[node] = 1, ends[node]
                     continue
-                back, popped = self.fail[parent], self.pops[parent]
+                back, popped, in_bytes = self.fail[parent], self.pops[parent], parent in self.in_bytes
                 while back is not None and (back, c) not in self.step:
                     popped += self.pops[back]
+                    in_bytes |= back in self.in_bytes
                     back = self.fail[back]
                 if back is not None:
                     self.fail[node], self.pops[node] = self.step[back, c], popped
+                    if in_bytes:
+                        self.in_bytes.add(node)
 
     def count(self, word: str) -> int:
-        step, fail, pops = self.step, self.fail, self.pops
-        node, n = 0, 0
+        """The number of pieces, below 0 where a character is segmented into bytes; or UNKNOWN."""
+        step, fail, pops, in_bytes = self.step, self.fail, self.pops, self.in_bytes
+        node, n, uncovered = 0, 0, False
         for c in word:
             while (node, c) not in step:
                 if fail[node] is None:
-                    return UNKNOWN
+                    if not self.byte_pieces:
+                        return UNKNOWN
+                    n += len(c.encode("utf-8", "replace"))  # a character that no piece holds
+                    node, uncovered = 1, True
+                    break
                 n += pops[node]
+                uncovered |= node in in_bytes
                 node = fail[node]
-            node = step[node, c]
+            else:
+                node = step[node, c]
         while node > 1:
             if fail[node] is None:
                 return UNKNOWN
             n += pops[node]
+            uncovered |= node in in_bytes
             node = fail[node]
-        return n
+        return -n if uncovered else n
 
 
 def word_pieces(model_file: str) -> tuple[set[str], set[str]]:
@@ -96,14 +130,20 @@ class WordCounts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
-        value = self[word] = self.automaton.count(word.decode("utf-8", "replace"))
+        value = self.automaton.count(word.decode("utf-8", "replace"))
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= MAX_CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
 def piece_counts(spark: SparkSession, text: str, automaton: PieceAutomaton) -> Column:
-    """Struct (n_words, n_tokens, n_unknown) of whole texts; an unknown word is one token."""
+    """Struct (n_words, n_tokens, n_unknown) of whole texts.
+
+    ``n_unknown`` words hold a character that no piece covers: one token each without
+    byte pieces, else with that character's bytes as tokens.
+    """
     shared = spark.sparkContext.broadcast(automaton)  # as large as the vocabulary, whatever the corpus
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
@@ -113,8 +153,7 @@ def piece_counts(spark: SparkSession, text: str, automaton: PieceAutomaton) -> C
             rows = []
             for text in part:
                 counts = list(map(known.__getitem__, text.encode("utf-8", "replace").split()))
-                unknown = counts.count(UNKNOWN)
-                rows.append((len(counts), sum(counts) + 2 * unknown, unknown))
+                rows.append((len(counts), sum(map(abs, counts)), sum(n < 0 for n in counts)))
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"])
 
     return of(F.coalesce(F.col(text), F.lit("")))

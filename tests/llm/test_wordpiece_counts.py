@@ -63,3 +63,41 @@ def test_odd_rows(make_docs, pieces):
 def test_empty_vocabulary():
     automaton = wp.PieceAutomaton([], [])
     assert automaton.count("") == 0 and automaton.count("a") == wp.UNKNOWN
+
+
+def greedy_with_bytes(word, starts, continuations):
+    """(pieces, whether a character is segmented into bytes)."""
+    n, at, pieces, uncovered = 0, 0, starts, False
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        if end is None:
+            n, at, uncovered = n + len(word[at].encode()), at + 1, True
+        else:
+            n, at = n + 1, end
+        pieces = continuations
+    return n, uncovered
+
+
+@settings(max_examples=500, deadline=None)
+@given(
+    st.sets(st.text("abé", min_size=1, max_size=5), max_size=10),
+    st.sets(st.text("abé", min_size=1, max_size=5), max_size=10),
+    st.lists(st.text("abé\u4e2d\U0001f600", max_size=14), max_size=12),
+)
+def test_byte_pieces_cover_every_word(starts, continuations, words):
+    automaton = wp.PieceAutomaton(starts, continuations, byte_pieces=True)
+    for word in words:
+        n, uncovered = greedy_with_bytes(word, starts, continuations)
+        assert automaton.count(word) == (-n if uncovered else n)
+
+
+def test_an_unspaced_passage_with_a_rare_character(make_docs, pieces):
+    starts, continuations = pieces
+    common = [c for c in sorted(continuations) if len(c) == 1 and "\u4e00" <= c <= "\u9fff"][:300]
+    rare = "\u9fa5"
+    assert rare not in continuations
+    passage = "".join(common) + rare + "".join(common)
+    rows = wp.count_pieces(make_docs([(1, passage)]), wp.PieceAutomaton(*pieces, byte_pieces=True)).collect()
+    n, uncovered = greedy_with_bytes(passage, starts, continuations)
+    assert uncovered and n > 300
+    assert (rows[0].n_words, rows[0].n_tokens, rows[0].n_unknown) == (1, n, 1)
