@@ -9,7 +9,15 @@ from riskframe.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of texts that a Python worker is handed at a time, unless the session was started with a bound of its own.
+BATCH_BYTES = "8m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts or vectors, whose rows are handed to Python workers in batches of bounded size."""
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
