@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import slot_name
 from riskframe.operators.training import BatchScorer, batch_scorer, score_column
+from riskframe.operators.trees import BatchTrees, LeafTests, passing
 
 
 def top_by_magnitude(values: DataFrame, n: int) -> DataFrame:
@@ -228,6 +229,77 @@ class Mixes:
         return out
 
 
+class RowMixes:
+    """Attributions of any batch scorer, row by row, see :class:`Mixes`."""
+
+    def __init__(self, background: np.ndarray, of: np.ndarray, masks: np.ndarray, gains: np.ndarray, score: BatchScorer):
+        self.mixes, self.gains, self.score = Mixes(background, of, masks, score), gains, score
+
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        """(row, slot): the scores of all mixes of a row times the gains."""
+        return np.array([self.mixes.of_row(own, p) @ self.gains for own, p in zip(x, self.score(x))]).reshape(x.shape)
+
+
+class TreeMixes:
+    """The same for trees: a mix ends in a leaf that neither its row nor its background row fails.
+
+    Whether the background row fails a leaf outside a mask is the same for all rows, so per
+    mask the leaf values that are left are a matrix, leaves by background row, and the
+    margins of all its mixes are a product with the leaves that the rows pass inside the mask.
+    Background rows that leave the same leaves are one column; leaves that ask the same
+    inside the mask are one line.
+    """
+
+    ROWS = 256  # at a time
+    KEPT = 64 << 20  # bytes of matrices that a task keeps; others are made again
+
+    def __init__(self, background: np.ndarray, of: np.ndarray, masks: np.ndarray, gains: np.ndarray, score: BatchTrees):
+        self.score, self.gains = score.score, gains
+        self.leaves = LeafTests(score.model, masks.shape[1])
+        self.of_background = self.leaves.failing(background)
+        self.masks, of_mask = np.unique(masks.astype(bool), axis=0, return_inverse=True)
+        order = np.argsort(of_mask.ravel(), kind="stable")
+        self.mixes = np.split(order, np.cumsum(np.bincount(of_mask.ravel()))[:-1])
+        self.of, self.kept, self.room = of, {}, self.KEPT
+
+    def of_mask(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(mask as words, a leaf per line, leaf values by line and column, gains by column and slot)."""
+        if k in self.kept:
+            return self.kept[k]
+        leaves, mask, mixes = self.leaves, self.masks[k], self.mixes[k]
+        left = passing(self.of_background[:, :, self.of[mixes]], leaves.as_words(~mask)).T  # (mix, leaf)
+        packed = np.packbits(left, axis=1)
+        _, first, column = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        gains = np.zeros((len(first), self.gains.shape[1]))
+        np.add.at(gains, column, self.gains[mixes])
+        alive = np.flatnonzero(left.any(axis=0))
+        asked = np.where(mask[leaves.slots[alive]], leaves.tests[alive], -1)
+        _, leaf, line = np.unique(asked, axis=0, return_index=True, return_inverse=True)
+        values = np.zeros((len(leaf), len(first)))
+        np.add.at(values, line.ravel(), (left[first][:, alive] * leaves.values[alive]).T)
+        made = leaves.as_words(mask), alive[leaf], values, gains
+        if values.nbytes <= self.room:
+            self.kept[k], self.room = made, self.room - values.nbytes
+        return made
+
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        for start in range(0, len(x), self.ROWS):
+            part = slice(start, start + self.ROWS)
+            failing = self.leaves.failing(x[part])
+            for k in range(len(self.masks)):
+                words, leaf, values, gains = self.of_mask(k)
+                passes = passing(failing[:, leaf], words).astype(float)
+                out[part] += self.score(passes.T @ values) @ gains
+        return out
+
+
+def mixes_of(background: np.ndarray, of: np.ndarray, masks: np.ndarray, gains: np.ndarray, score: BatchScorer):
+    """The way to attribute that suits the kind of scorer."""
+    kinds = {BatchTrees: TreeMixes}
+    return kinds.get(type(score), RowMixes)(background, of, masks, gains, score)
+
+
 def background_matrix(background: DataFrame) -> np.ndarray:
     """The background rows in a fixed order; the caller chooses how many they are."""
     return np.array(background.select(F.array_sort(F.collect_list("x"))).first()[0], float)
@@ -238,9 +310,12 @@ def _matrix(x: pd.Series) -> np.ndarray:
 
 
 def _by_change(
-    rows: DataFrame, id_col: str, background: DataFrame, of, masks: np.ndarray, batch: BatchScorer, attribute
+    rows: DataFrame, id_col: str, background: DataFrame, of, masks: np.ndarray, gains, share, batch: BatchScorer
 ) -> DataFrame:
-    """(id, slot, phi) from ``attribute(values, p, base)`` of each row's mixes, all in the row's own task."""
+    """(id, slot, phi) from the scores of each row's mixes less the background's mean, in the row's own task.
+
+    A phi is the sum of ``gains`` * score over the mixes, and ``share`` of the row's own score.
+    """
     others = background_matrix(background)
     if not len(others):
         raise ValueError("an attribution needs at least one background row")
@@ -248,12 +323,12 @@ def _by_change(
 
     @F.pandas_udf("array<double>")
     def attributions(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        mixes = Mixes(others, of, masks(len(others)), batch)
-        base = mixes.base.mean()
+        factors = gains(len(others))
+        mixes, base = mixes_of(others, of, masks(len(others)), factors, batch), batch(others).mean()
         for part in parts:
             x = _matrix(part)
-            scores = batch(x) if len(x) else []
-            yield pd.Series([attribute(mixes.of_row(own, p), p, base) for own, p in zip(x, scores)], dtype=object)
+            phi = mixes.of_rows(x) - base * factors.sum(axis=0) + np.outer(batch(x) - base, share) if len(x) else []
+            yield pd.Series(list(phi), dtype=object)
 
     found = rebalanced(rows.select(id_col, "x")).select(id_col, attributions("x").alias("phi"))
     return found.select(id_col, F.posexplode("phi").alias("slot", "phi"))
@@ -265,20 +340,15 @@ def shap_kernel(
     """(id, slot, phi): kernel estimate of Shapley values of any scored model.
 
     ``rows`` and ``background`` hold a dense array ``x``.  Per row the phi add up to
-    f(x) minus the mean score of the background.  A scorer with a batch form is asked
-    for the distinct mixes of a row and a background row only, see :class:`Mixes`.
+    f(x) minus the mean score of the background.  A scorer with a batch form scores the
+    mixes inside the row's task, see :func:`mixes_of`.
     """
     masks, weights = kernel_masks(width, n_masks)
     gain, share = kernel_solution(masks, weights)
     if getattr(scorer, "batch", None):
-
-        def attribute(values: np.ndarray, p: float, base: float) -> np.ndarray:
-            means = values.reshape(len(masks), -1).mean(axis=1)
-            return gain @ (means - base) + share * (p - base)
-
         return _by_change(
-            rows, id_col, background, lambda n: np.tile(np.arange(n), len(masks)),
-            lambda n: np.repeat(masks, n, axis=0), scorer.batch, attribute,
+            rows, id_col, background, lambda n: np.tile(np.arange(n), len(masks)), lambda n: np.repeat(masks, n, axis=0),
+            lambda n: np.repeat(gain.T / n, n, axis=0), share, scorer.batch,
         )
     base = scorer(background.select("x")).agg(F.avg("p").alias("b")).scalar()
     values = coalition_values(rows, id_col, background, masks.tolist(), scorer)
@@ -311,23 +381,21 @@ def shap_permutation(
     """(id, slot, phi): Shapley values from sampled orders, each next to its reverse.
 
     Walking an order moves one slot at a time from a background row to the row; a
-    slot's share is the change of the score at its step.  A step at which the row and
-    the background agree changes nothing; a scorer with a batch form is not asked for it.
+    slot's share is the change of the score at its step.  A scorer with a batch form
+    scores the steps inside the row's task, see :func:`mixes_of`.
     """
     orders = sampled_orders(width, pairs, seed)
     if getattr(scorer, "batch", None):
         ranks = np.stack([np.argsort(order) for _, order in orders])
         steps = np.arange(width + 1)
         entered = ranks[:, None, :] < steps[None, :, None]  # (walk, step, slot)
-        walk = np.arange(len(orders))[:, None]
-
-        def attribute(values: np.ndarray, p: float, base: float) -> np.ndarray:
-            changes = np.diff(values.reshape(len(orders), width + 1), axis=1)
-            return changes[walk, ranks].mean(axis=0)
-
+        # the slot that enters at a step takes the score there less the one before
+        changes = np.diff(entered.astype(float), axis=1, prepend=0.0)
+        changes[:, :-1] -= changes[:, 1:].copy()
+        gains = changes.reshape(-1, width) / len(orders)
         return _by_change(
             rows, id_col, background, lambda n: np.repeat([k % n for k, _ in orders], width + 1),
-            lambda n: entered.reshape(-1, width), scorer.batch, attribute,
+            lambda n: entered.reshape(-1, width), lambda n: gains, np.zeros(width), scorer.batch,
         )
     # one literal: the orders as numbers in a string, each next to the number of its background row
     text = ";".join(",".join(map(str, [k, *order])) for k, order in orders)

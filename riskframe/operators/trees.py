@@ -183,7 +183,7 @@ class BatchTrees:
     """
 
     def __init__(self, model: Ensemble, width: int):
-        self.boosted = model.boosted
+        self.model, self.boosted = model, model.boosted
         inner = [node for nodes in model.trees for node in nodes if not node.is_leaf]
         questions = sorted({_question(node) for node in inner})
         place = {question: k for k, question in enumerate(questions)}
@@ -224,10 +224,12 @@ class BatchTrees:
             out += values.take(at)
         return out
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        margin = self.margin(x)
+    def score(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-2.0 * margin)) if self.boosted else margin
 
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.score(self.margin(x))
+
 
 def _question(node: Node) -> tuple:
     """What an inner node asks: (slot, whether of a category, threshold, categories, whether they go left)."""
@@ -320,6 +322,56 @@ def unwound(weights: list[np.ndarray], share: float, takes: np.ndarray) -> list[
     return [np.where(takes, w, 0.0) for w in without]
 
 
+class LeafTests:
+    """Which slots of a row fail which leaf of an ensemble.
+
+    A row mixed from two others ends in the leaf that neither fails by a slot taken from it.
+    """
+
+    WORD = 32  # slots per word of bits
+
+    def __init__(self, model: Ensemble, width: int):
+        leaves = paths(model, [{} for _ in model.trees])
+        self.values = np.array([leaf.value for leaf in leaves])
+        self.words = -(-max(width, 1) // self.WORD)
+        depth = max(1, *(len(leaf.slots) for leaf in leaves))
+        self.slots = np.zeros((len(leaves), depth), np.intp)  # of the tests on the way to a leaf
+        self.tests = np.full((len(leaves), depth), -1)  # their numbers among the distinct tests; -1: no more
+        distinct: dict[tuple, int] = {}
+        for i, leaf in enumerate(leaves):
+            for k, test in enumerate(zip(leaf.slots, leaf.tests)):
+                self.slots[i, k] = test[0]
+                self.tests[i, k] = distinct.setdefault(test, len(distinct))
+        self.distinct = list(distinct)
+
+    def as_words(self, slots: np.ndarray) -> np.ndarray:
+        """Truth values per slot as words of bits."""
+        slot = np.flatnonzero(slots)
+        out = np.zeros(self.words, np.uint32)
+        np.bitwise_or.at(out, slot // self.WORD, np.uint32(1) << (slot % self.WORD).astype(np.uint32))
+        return out
+
+    def failing(self, x: np.ndarray) -> np.ndarray:
+        """(word, leaf, row): the slots of each row that fail the leaf, as bits."""
+        fails = np.zeros((len(self.distinct) + 1, len(x)), bool)  # the last for no test at all
+        for k, (slot, tests) in enumerate(self.distinct):
+            fails[k] = ~_takes(x[:, slot], tests)
+        out = np.zeros((self.words, len(self.values), len(x)), np.uint32)
+        for slot, test in zip(self.slots.T, self.tests.T):
+            bit = np.uint32(1) << (slot % self.WORD).astype(np.uint32)
+            for word in range(self.words):
+                out[word] |= fails[test] * np.where(slot // self.WORD == word, bit, np.uint32(0))[:, None]
+        return out
+
+
+def passing(failing: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(leaf, row): whether none of the slots given as ``words`` is failing."""
+    out = (failing[0] & words[0]) == 0
+    for more, word in zip(failing[1:], words[1:]):
+        out &= (more & word) == 0
+    return out
+
+
 def path_attributions(x: np.ndarray, leaves: Sequence[Path]) -> np.ndarray:
     """(row, slot) exact Shapley values of the margin of a matrix of rows.
 

@@ -195,6 +195,49 @@ def test_at_most_half_the_mixes_are_scored(spark, sf_dir):
         assert mixes.scored < 0.5 * len(of) * len(own)
 
 
+def grown(rng, width, depth, at=0):
+    """Nodes of a random tree over numbers and, in every third slot, categories."""
+    nodes = []
+
+    def grow(depth):
+        at = len(nodes)
+        nodes.append(None)
+        if not depth or rng.random() < 0.1:
+            nodes[at] = trees.Node(-1, -1, -1, 0.0, (), True, rng.standard_normal(), 1)
+            return at
+        slot = int(rng.integers(width))
+        values = tuple(map(float, rng.choice(4, 2, replace=False))) if slot % 3 == 0 else ()
+        left, right = grow(depth - 1), grow(depth - 1)
+        nodes[at] = trees.Node(left, right, slot, round(rng.random() * 3, 1), values, bool(rng.integers(2)) or not values, 0.0, 1)
+        return at
+
+    grow(depth)
+    return tuple(nodes)
+
+
+@pytest.mark.parametrize("width", [5, 70])
+@pytest.mark.parametrize("kind", ["boosted", "forest", "leaves"])
+def test_rows_are_attributed_in_blocks(width, kind, monkeypatch):
+    """Products over blocks of rows give what scoring every mix gives, and do not ask the scorer row by row."""
+    rng = np.random.default_rng(width)
+    background, x = (rng.integers(0, 4, (n, width)).astype(float) for n in (9, 300))
+    x[3, 1], x[4, 2], x[:, 3], background[2, 4] = np.inf, -np.inf, background[0, 3], 2.5
+    grow = [grown(rng, width, 0 if kind == "leaves" else 5) for _ in range(12)]
+    score = trees.BatchTrees(trees.Ensemble(tuple(grow), (0.1,) * 12, kind == "boosted"), width)
+    x[5, 0] = np.nan
+    masks, _ = explain.kernel_masks(width, 60)
+    masks = np.repeat(np.concatenate([masks, np.zeros((1, width)), np.ones((1, width))]), 9, axis=0)
+    of, gains = np.tile(np.arange(9), len(masks) // 9), rng.standard_normal((len(masks), width))
+    expected = np.array([score(np.where(masks == 1, own, background[of])) @ gains for own in x])
+    for kept in (64 << 20, 0):
+        monkeypatch.setattr(explain.TreeMixes, "KEPT", kept)
+        mixes, asked = explain.mixes_of(background, of, masks, gains, score), []
+        monkeypatch.setattr(type(score), "__call__", lambda self, x, f=type(score).__call__: asked.append(len(x)) or f(self, x))
+        assert mixes.of_rows(x) == pytest.approx(expected, abs=1e-9)
+        assert mixes.of_rows(x[:0]).shape == (0, width) and len(asked) <= 8
+        monkeypatch.undo()
+
+
 def test_surrogate_sums_are_those_of_a_design_matrix():
     rng = np.random.default_rng(9)
     drawn, scores = rng.integers(0, 4, (800, 6)).astype(np.int8), rng.random(800)
