@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import slot_name
-from riskframe.operators.training import BatchScorer, batch_scorer, score_column
+from riskframe.operators.training import BatchScorer, LinearScorer, batch_scorer, score_column
 from riskframe.operators.trees import BatchTrees, LeafTests, passing
 
 
@@ -240,6 +240,28 @@ class RowMixes:
         return np.array([self.mixes.of_row(own, p) @ self.gains for own, p in zip(x, self.score(x))]).reshape(x.shape)
 
 
+class LinearMixes:
+    """The same for a linear scorer: what a mix takes from the background is a constant, the rest a matrix product."""
+
+    ROWS = 64  # at a time
+
+    def __init__(self, background: np.ndarray, of: np.ndarray, masks: np.ndarray, gains: np.ndarray, score: LinearScorer):
+        self.masks, self.gains, self.weights = masks.astype(float), gains, score.weights
+        self.others = ((1.0 - self.masks) * background[of]) @ score.weights + score.intercept
+        self.by_row = RowMixes(background, of, masks, gains, score)
+        self.finite = np.isfinite(background).all()
+
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        finite = np.isfinite(x).all(axis=1) & self.finite
+        out = np.empty(x.shape)
+        out[~finite] = self.by_row.of_rows(x[~finite])  # 0 times such a value is not 0
+        rows = np.flatnonzero(finite)
+        for start in range(0, len(rows), self.ROWS):
+            part = rows[start : start + self.ROWS]
+            out[part] = 1.0 / (1.0 + np.exp(-((x[part] * self.weights) @ self.masks.T + self.others))) @ self.gains
+        return out
+
+
 class TreeMixes:
     """The same for trees: a mix ends in a leaf that neither its row nor its background row fails.
 
@@ -296,7 +318,7 @@ class TreeMixes:
 
 def mixes_of(background: np.ndarray, of: np.ndarray, masks: np.ndarray, gains: np.ndarray, score: BatchScorer):
     """The way to attribute that suits the kind of scorer."""
-    kinds = {BatchTrees: TreeMixes}
+    kinds = {LinearScorer: LinearMixes, BatchTrees: TreeMixes}
     return kinds.get(type(score), RowMixes)(background, of, masks, gains, score)
 
 

@@ -124,14 +124,23 @@ def _network_scorer(layers: list[tuple[np.ndarray, np.ndarray]]) -> BatchScorer:
     return score
 
 
+class LinearScorer:
+    """The logistic of a weighted sum of the slots."""
+
+    def __init__(self, weights: np.ndarray, intercept: float):
+        self.weights, self.intercept = weights, intercept
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-(rows @ self.weights + self.intercept)))
+
+
 def batch_scorer(model: PipelineModel) -> BatchScorer | None:
     """The score of a one-stage model as a function of matrices; None for a kind of model that is not known."""
     last = model.stages[-1]
     if len(model.stages) > 1:
         return None
     if isinstance(last, LogisticRegressionModel) and last.numClasses == 2:
-        weights, intercept = last.coefficients.toArray(), float(last.intercept)
-        return lambda rows: 1.0 / (1.0 + np.exp(-(rows @ weights + intercept)))
+        return LinearScorer(last.coefficients.toArray(), float(last.intercept))
     if isinstance(last, MultilayerPerceptronClassificationModel):
         return _network_scorer(mlp_layers(model))
     if trees.is_ensemble(model) and last.numClasses == 2:

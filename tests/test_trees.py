@@ -216,15 +216,18 @@ def grown(rng, width, depth, at=0):
 
 
 @pytest.mark.parametrize("width", [5, 70])
-@pytest.mark.parametrize("kind", ["boosted", "forest", "leaves"])
+@pytest.mark.parametrize("kind", ["linear", "boosted", "forest", "leaves"])
 def test_rows_are_attributed_in_blocks(width, kind, monkeypatch):
     """Products over blocks of rows give what scoring every mix gives, and do not ask the scorer row by row."""
     rng = np.random.default_rng(width)
     background, x = (rng.integers(0, 4, (n, width)).astype(float) for n in (9, 300))
     x[3, 1], x[4, 2], x[:, 3], background[2, 4] = np.inf, -np.inf, background[0, 3], 2.5
-    grow = [grown(rng, width, 0 if kind == "leaves" else 5) for _ in range(12)]
-    score = trees.BatchTrees(trees.Ensemble(tuple(grow), (0.1,) * 12, kind == "boosted"), width)
-    x[5, 0] = np.nan
+    if kind == "linear":
+        score = training.LinearScorer(rng.standard_normal(width), 0.3)
+    else:
+        grow = [grown(rng, width, 0 if kind == "leaves" else 5) for _ in range(12)]
+        score = trees.BatchTrees(trees.Ensemble(tuple(grow), (0.1,) * 12, kind == "boosted"), width)
+        x[5, 0] = np.nan
     masks, _ = explain.kernel_masks(width, 60)
     masks = np.repeat(np.concatenate([masks, np.zeros((1, width)), np.ones((1, width))]), 9, axis=0)
     of, gains = np.tile(np.arange(9), len(masks) // 9), rng.standard_normal((len(masks), width))
