@@ -10,7 +10,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of texts that a Python worker is handed at a time, unless the session was started with a bound of its own.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
