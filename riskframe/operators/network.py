@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import require_columns
 
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 512  # a layer's values of so many rows stay in a core's cache
 GROUPS = 16  # sums of tasks are added in so many groups before the driver adds those
 STEPS_KEPT = 10  # of the quasi-Newton method
 
@@ -60,7 +60,11 @@ def loss_and_gradient(
     """Weighted cross-entropy of a batch, summed, and its gradient; sigmoid layers below a softmax."""
     layers, inputs = layers_of(flat, sizes), [x]
     for matrix, bias in layers[:-1]:
-        inputs.append(1.0 / (1.0 + np.exp(-(inputs[-1] @ matrix.T + bias))))
+        out = inputs[-1] @ matrix.T
+        out += bias
+        np.exp(np.negative(out, out=out), out=out)
+        out += 1.0
+        inputs.append(np.reciprocal(out, out=out))
     matrix, bias = layers[-1]
     top = inputs[-1] @ matrix.T + bias
     top -= top.max(axis=1, keepdims=True)
@@ -76,7 +80,10 @@ def loss_and_gradient(
     ):
         to_matrix[...] = error.T @ below
         to_bias[...] = error.sum(axis=0)
-        error = (error @ matrix) * below * (1.0 - below)
+        if below is not x:
+            error = error @ matrix
+            error *= below
+            error *= np.subtract(1.0, below, out=below)
     return loss, gradient
 
 
@@ -108,7 +115,8 @@ def distributed_objective(rows: DataFrame, sizes: list[int]) -> Objective:
                 for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                     part = slice(start, start + ROWS_AT_ONCE)
                     more = loss_and_gradient(parameters, sizes, x[part], label[part], weights[part])
-                    loss, gradient = loss + more[0], gradient + more[1]
+                    loss += more[0]
+                    gradient += more[1]
                 weight += float(weights.sum())
             if weight:
                 yield _sums(TaskContext.get().partitionId(), loss, weight, gradient)
