@@ -1,28 +1,32 @@
-"""A feed-forward network under class weights, fitted by gradients summed over all rows.
+"""A feed-forward network, with or without weights, fitted by gradients summed over all rows.
 
-Spark's own network takes no weights.  Here every task sums the weighted loss and its
-gradient over its rows by matrix products, the sums of the tasks are added in groups,
-and a limited-memory quasi-Newton step on the driver moves the parameters, whose number
-depends on the layers only.  The fitted parameters become one of Spark's own network
-models, so saving, scoring and evaluating it are those of any model.
+Spark's own network takes no weights, and its fit multiplies matrices in the JVM.  Here
+every task sums the (weighted) loss and its gradient over its rows by matrix products, the
+sums of the tasks are added in groups, and a limited-memory quasi-Newton step on the driver
+moves the parameters, whose number depends on the layers only.  The fitted parameters become
+one of Spark's own network models, so saving, scoring and evaluating it are those of any model.
 """
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import require_columns
 
 ROWS_AT_ONCE = 512  # a layer's values of so many rows stay in a core's cache
+TASKS_PER_CORE = 4  # of an evaluation over many kept rows
+MANY_ROWS = 16_384  # a task
+NUMBERS_PER_BLOCK = 512  # 10,000 blocks, a batch of Spark's, are 40 MB
 GROUPS = 16  # sums of tasks are added in so many groups before the driver adds those
 STEPS_KEPT = 10  # of the quasi-Newton method
 
@@ -54,13 +58,24 @@ def starting_parameters(sizes: list[int], seed: int = 42) -> np.ndarray:
     return flat
 
 
+def _room(space: dict, name: str, n: int, width: int) -> np.ndarray:
+    """An array of n rows in ``space``, the same one at each call, so that a batch asks for no new memory."""
+    if name not in space or len(space[name]) < n:
+        space[name] = np.empty((n, width))
+    return space[name][:n]
+
+
 def loss_and_gradient(
-    flat: np.ndarray, sizes: list[int], x: np.ndarray, label: np.ndarray, weight: np.ndarray
+    flat: np.ndarray, sizes: list[int], x: np.ndarray, label: np.ndarray, weight: np.ndarray, space: dict | None = None
 ) -> tuple[float, np.ndarray]:
-    """Weighted cross-entropy of a batch, summed, and its gradient; sigmoid layers below a softmax."""
-    layers, inputs = layers_of(flat, sizes), [x]
-    for matrix, bias in layers[:-1]:
-        out = inputs[-1] @ matrix.T
+    """Weighted cross-entropy of a batch, summed, and its gradient; sigmoid layers below a softmax.
+
+    With a ``space`` to work in, the gradient lies there and holds until the next call.
+    """
+    space = {} if space is None else space
+    layers, inputs, n = layers_of(flat, sizes), [x], len(x)
+    for i, (matrix, bias) in enumerate(layers[:-1]):
+        out = np.matmul(inputs[-1], matrix.T, out=_room(space, f"out {i}", n, len(bias)))
         out += bias
         np.exp(np.negative(out, out=out), out=out)
         out += 1.0
@@ -69,19 +84,19 @@ def loss_and_gradient(
     top = inputs[-1] @ matrix.T + bias
     top -= top.max(axis=1, keepdims=True)
     log_share = top - np.log(np.exp(top).sum(axis=1, keepdims=True))
-    row = np.arange(len(x))
+    row = np.arange(n)
     loss = -float((weight * log_share[row, label]).sum())
     error = np.exp(log_share)
     error[row, label] -= 1.0
     error *= weight[:, None]
-    gradient = np.empty_like(flat)
-    for (matrix, _), (to_matrix, to_bias), below in zip(
-        reversed(layers), reversed(layers_of(gradient, sizes)), reversed(inputs)
-    ):
-        to_matrix[...] = error.T @ below
-        to_bias[...] = error.sum(axis=0)
-        if below is not x:
-            error = error @ matrix
+    gradient = _room(space, "gradient", 1, len(flat))[0]
+    for i, (to_matrix, to_bias) in reversed(list(enumerate(layers_of(gradient, sizes)))):
+        below = inputs[i]
+        np.matmul(below.T, error, out=to_matrix.T)
+        np.sum(error, axis=0, out=to_bias)
+        if i:
+            matrix = layers[i][0]
+            error = np.matmul(error, matrix, out=_room(space, f"error {i}", n, matrix.shape[1]))
             error *= below
             error *= np.subtract(1.0, below, out=below)
     return loss, gradient
@@ -95,10 +110,44 @@ def _sums(part: int, loss: float, weight: float, gradient: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _SUMS.split(", ")])
 
 
-def distributed_objective(rows: DataFrame, sizes: list[int]) -> Objective:
-    """The objective over ``rows`` (x, label, weight): one job per evaluation, no row leaves its task.
+def _packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(x, label) to blocks of rows (x, label, weight) as bytes; rows equal to the one before add to its weight.
+
+    A value that lies alone costs more to hand to a Python worker than its share of the arithmetic.
+    """
+    per_block = max(1, NUMBERS_PER_BLOCK // (width + 2))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.empty((batch.num_rows, width + 2))
+            rows[:, :width] = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            rows[:, width] = batch["label"].to_numpy(zero_copy_only=False)
+            other = (rows[1:, : width + 1] != rows[:-1, : width + 1]).any(axis=1)
+            first = np.flatnonzero(np.concatenate([[True], other]))
+            rows[first, width + 1] = np.diff(first, append=batch.num_rows)
+            rows = rows[first]
+            blocks = [rows[i : i + per_block].tobytes() for i in range(0, len(rows), per_block)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+
+    return pack
+
+
+def _matrices(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, label, weight) of a batch of rows or of blocks."""
+    if batch.schema.names == ["block"]:
+        rows = np.frombuffer(b"".join(batch["block"].to_pylist())).reshape(-1, width + 2)
+        return rows[:, :width], rows[:, width].astype(int), rows[:, width + 1]
+    x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+    return x, batch["label"].to_numpy(zero_copy_only=False).astype(int), batch["weight"].to_numpy(zero_copy_only=False)
+
+
+def distributed_objective(rows: DataFrame, sizes: list[int], tasks: int | None = None) -> Objective:
+    """The objective over ``rows`` (x, label, weight), or blocks of them: one job per evaluation, no row leaves its task.
 
     Sums are added in the order of the tasks, so an evaluation gives the same numbers again.
+    Those of a few ``tasks``, where their number is known, are added without groups.
     """
     spark = rows.sparkSession
 
@@ -107,14 +156,12 @@ def distributed_objective(rows: DataFrame, sizes: list[int]) -> Objective:
 
         def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parameters = shared.value
-            loss, weight, gradient = 0.0, 0.0, np.zeros_like(parameters)
+            loss, weight, gradient, space = 0.0, 0.0, np.zeros_like(parameters), {}
             for batch in batches:
-                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, sizes[0])
-                label = batch["label"].to_numpy(zero_copy_only=False).astype(int)
-                weights = batch["weight"].to_numpy(zero_copy_only=False)
-                for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                x, label, weights = _matrices(batch, sizes[0])
+                for start in range(0, len(x), ROWS_AT_ONCE):
                     part = slice(start, start + ROWS_AT_ONCE)
-                    more = loss_and_gradient(parameters, sizes, x[part], label[part], weights[part])
+                    more = loss_and_gradient(parameters, sizes, x[part], label[part], weights[part], space)
                     loss += more[0]
                     gradient += more[1]
                 weight += float(weights.sum())
@@ -130,10 +177,11 @@ def distributed_objective(rows: DataFrame, sizes: list[int]) -> Objective:
             if total is not None:
                 yield _sums(*total)
 
-        parts = rows.mapInArrow(of_task, _SUMS)
-        group = F.pmod(F.col("part"), F.lit(GROUPS))
-        sums = parts.repartition(GROUPS, group).sortWithinPartitions("part").mapInArrow(of_group, _SUMS)
-        found = sorted(sums.collect(), key=lambda r: r["part"])  # one row per group
+        sums = rows.mapInArrow(of_task, _SUMS)
+        if tasks is None or tasks > 4 * GROUPS:
+            group = F.pmod(F.col("part"), F.lit(GROUPS))
+            sums = sums.repartition(GROUPS, group).sortWithinPartitions("part").mapInArrow(of_group, _SUMS)
+        found = sorted(sums.collect(), key=lambda r: r["part"])  # one row per group or task
         shared.destroy()
         if not found:
             raise ValueError("no rows with a weight to learn from")
@@ -188,6 +236,103 @@ def minimised(objective: Objective, start: np.ndarray, max_iter: int, tol: float
     return at, losses
 
 
+class _Point(NamedTuple):
+    """A point of a line: its place, the loss, the slope along the line, the parameters and their gradient."""
+
+    t: float
+    loss: float
+    slope: float
+    at: np.ndarray
+    gradient: np.ndarray
+
+
+def _cubic_minimum(left: _Point, right: _Point) -> float:
+    """Where the cubic through two points with their slopes is lowest, a tenth of the way inside at least."""
+    wide = right.t - left.t
+    bend = left.slope + right.slope - 3 * (right.loss - left.loss) / wide
+    root = np.sqrt(max(bend * bend - left.slope * right.slope, 0.0))
+    below = right.slope - left.slope + 2 * root
+    share = 1 - (right.slope + root - bend) / below if below else 0.5
+    return left.t + wide * min(max(float(share), 0.1), 0.9)
+
+
+def _wolfe_point(
+    objective: Objective, at: np.ndarray, loss: float, gradient: np.ndarray, direction: np.ndarray, length: float
+) -> _Point | None:
+    """A point along ``direction`` under the strong Wolfe conditions: the loss fell enough and is flat enough there."""
+
+    def point(t: float) -> _Point:
+        new = at + t * direction
+        new_loss, new_gradient = objective(new)
+        return _Point(t, new_loss, float(new_gradient @ direction), new, new_gradient)
+
+    first = _Point(0.0, loss, float(gradient @ direction), at, gradient)
+
+    def too_high(p: _Point) -> bool:
+        return p.loss > first.loss + 1e-4 * p.t * first.slope
+
+    def flat(p: _Point) -> bool:
+        return abs(p.slope) <= 0.9 * abs(first.slope)
+
+    def between(low: _Point, high: _Point) -> _Point | None:
+        for _ in range(10):
+            p = point(_cubic_minimum(*sorted((low, high), key=lambda q: q.t)))
+            if too_high(p) or p.loss >= low.loss:
+                high = p
+                continue
+            if flat(p):
+                return p
+            if (p.slope > 0) == (high.t > low.t):
+                high = low
+            low = p
+        return None
+
+    if first.slope >= 0:
+        return None
+    low, t = first, length
+    for i in range(10):
+        p = point(t)
+        if not np.isfinite(p.loss):
+            t /= 2
+            continue
+        if too_high(p) or (i and p.loss >= low.loss):
+            return between(low, p)
+        if flat(p):
+            return p
+        if p.slope >= 0:
+            return between(p, low)
+        low, t = p, t * 1.5
+    return None
+
+
+def minimised_by_wolfe(
+    objective: Objective, start: np.ndarray, max_iter: int, tol: float
+) -> tuple[np.ndarray, list[float]]:
+    """(parameters, loss after each step) by the steps of Spark's own fit.
+
+    They end after ``max_iter``, when the gradient is below ``tol`` of the loss, when the
+    last twenty losses lie within ``tol`` of the first loss, or when no step helps.
+    """
+    at, (loss, gradient) = start, objective(start)
+    losses, steps = [loss], deque(maxlen=STEPS_KEPT)
+    while len(losses) <= max_iter:
+        still = len(losses) > 20 and max(losses[-20:]) - loss <= tol * abs(losses[0])
+        if still or np.linalg.norm(gradient) <= max(tol * abs(loss), 1e-8):
+            break
+        direction = _direction(gradient, steps)
+        length = 1.0 if len(losses) > 1 else 1.0 / float(np.linalg.norm(direction))
+        found = _wolfe_point(objective, at, loss, gradient, direction, length)
+        if found is None:
+            if not steps:
+                break
+            steps.clear()  # once more, straight down
+            continue
+        steps.append((found.at - at, found.gradient - gradient))
+        _, loss, _, at, gradient = found
+        losses.append(loss)
+    return at, losses
+
+
 def as_spark_model(flat: np.ndarray, sizes: list[int], example: DataFrame, **settings) -> PipelineModel:
     """Spark's own network model with the given parameters.
 
@@ -221,3 +366,50 @@ def train_weighted_network(
     sizes = [first["features"].size, *hidden, 2]
     flat, losses = minimised(distributed_objective(rows, sizes), starting_parameters(sizes, seed), max_iter, tol)
     return as_spark_model(flat, sizes, example, featuresCol="features", labelCol="label"), losses
+
+
+def _checked(features: str, label: str, sizes: list[int]) -> tuple[Column, Column]:
+    """(x, label) of a row; a row that Spark's own fit would refuse ends the fit."""
+    x, y = vector_to_array(features), F.col(label).cast("double")
+    usable = (F.size(x) == sizes[0]) & ~F.exists(x, lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    known = y.isin([float(i) for i in range(sizes[-1])])
+    wrong_x = F.raise_error(F.lit(f"features must be {sizes[0]} numbers, none null, NaN or infinite"))
+    wrong_y = F.raise_error(F.lit(f"labels must be 0 to {sizes[-1] - 1}, none null"))
+    return F.when(usable, x).otherwise(wrong_x).alias("x"), F.when(known, y.cast("int")).otherwise(wrong_y).alias("label")
+
+
+def fit_as_spark(network: MultilayerPerceptronClassifier, train: DataFrame) -> PipelineModel:
+    """The fit that ``network`` makes by its L-BFGS steps, with gradients by matrix products.
+
+    It starts at Spark's own starting parameters of the seed.  The loss is the mean over all
+    rows; Spark's is the mean over blocks, so that a row counts more in a block that is not
+    full.  The rows are dealt evenly to tasks and kept until the fit ends.
+    """
+    sizes, spark = list(network.getLayers()), train.sparkSession
+    features, label = network.getFeaturesCol(), network.getLabelCol()
+    example = spark.createDataFrame([(Vectors.dense([0.0] * sizes[0]), 0.0)], [features, label])
+    still = {network.solver: "gd", network.maxIter: 1, network.stepSize: 1e-300}  # moves no parameter
+    if network.isSet(network.initialWeights):
+        start = network.getInitialWeights().toArray()
+    else:
+        start = network.copy(still).fit(example).weights.toArray()
+    cores = spark.sparkContext.defaultParallelism
+    blocks = train.select(*_checked(features, label, sizes)).mapInArrow(_packed(sizes[0]), "block binary")
+    blocks = blocks.repartition(TASKS_PER_CORE * cores).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_rows = blocks.count() * NUMBERS_PER_BLOCK // (sizes[0] + 2)  # about
+        if not n_rows:
+            return Pipeline(stages=[network]).fit(train)
+        tasks = cores if n_rows < TASKS_PER_CORE * cores * MANY_ROWS else TASKS_PER_CORE * cores
+        objective = distributed_objective(blocks.coalesce(tasks), sizes, tasks)
+        flat, _ = minimised_by_wolfe(objective, start, network.getMaxIter(), network.getTol())
+    finally:
+        blocks.unpersist()
+    model = Pipeline(stages=[network.copy({**still, network.initialWeights: Vectors.dense(flat)})]).fit(example)
+    last = model.stages[-1]
+    for param in (*still, network.initialWeights):
+        if network.isSet(param):
+            last.set(last.getParam(param.name), network.getOrDefault(param))
+        else:
+            last.clear(last.getParam(param.name))
+    return model

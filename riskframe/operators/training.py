@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import logistic, positive_probability, require_columns, safe_ratio
-from riskframe.operators import trees
+from riskframe.operators import network, trees
 from riskframe.operators.features import slot_names
 
 # Fixed training settings.
@@ -55,9 +55,14 @@ def train_gbt(train: DataFrame, weighted: bool = True, **settings) -> PipelineMo
 
 
 def train_mlp(train: DataFrame, width: int, hidden: tuple[int, ...] = HIDDEN, **settings) -> PipelineModel:
-    """Sigmoid network with two outputs; it takes no weights, so oversample beforehand."""
-    network = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], **{**COMMON, **PERCEPTRON, **settings})
-    return _fit(network, train, False)
+    """Sigmoid network with two outputs; it takes no weights, so oversample beforehand.
+
+    The L-BFGS steps are those of Spark's fit, taken by matrix products (``operators/network.py``).
+    """
+    perceptron = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], **{**COMMON, **PERCEPTRON, **settings})
+    if perceptron.getSolver() != "l-bfgs":
+        return _fit(perceptron, train, False)
+    return network.fit_as_spark(perceptron, require_columns(train, ["features", "label"]))
 
 
 TRAINERS: dict[str, Callable[..., PipelineModel]] = {

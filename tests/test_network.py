@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -98,3 +99,40 @@ def test_no_rows(rows):
         network.train_weighted_network(rows.where("false"), (3,), None)
     with pytest.raises(ValueError, match="no rows"):
         network.train_weighted_network(rows.withColumn("weight", F.lit(0.0)), (3,))
+
+
+def test_sparks_fit_whatever_the_partitions(rows):
+    """Rows in blocks of 10, 256 and 134 give the fit that Spark makes of all rows in one block."""
+    few = F.col("id") < 10
+    uneven = rows.where(few).coalesce(1).unionByName(rows.where(~few).coalesce(1))
+    own = training.train_mlp(uneven, 4, (6, 3)).stages[-1]
+    spark_fit = MultilayerPerceptronClassifier(layers=SIZES, maxIter=20, seed=42, blockSize=400).fit(rows.coalesce(1))
+    assert own.weights.toArray() == pytest.approx(spark_fit.weights.toArray(), abs=1e-7)
+    settings = ["solver", "maxIter", "tol", "seed", "stepSize"]
+    assert [own.getOrDefault(s) for s in settings] == [spark_fit.getOrDefault(s) for s in settings]
+
+
+def test_blocks_are_the_rows(rows):
+    """Packed rows, some of them several times in a row, have the loss and the gradient of the plain ones."""
+    again = rows.select("id", "x", "label", F.explode(F.sequence(F.lit(0), F.col("id") % 3))).coalesce(2)
+    plain = prepared(again, F.lit(1.0))
+    blocks = plain.select("x", "label").mapInArrow(network._packed(4), "block binary")
+    flat = network.starting_parameters(SIZES, 5)
+    expected = network.distributed_objective(plain, SIZES)(flat)
+    for tasks in (None, 2):
+        loss, gradient = network.distributed_objective(blocks, SIZES, tasks)(flat)
+        assert loss == pytest.approx(expected[0], abs=1e-12)
+        assert gradient == pytest.approx(expected[1], abs=1e-12)
+
+
+def test_rows_that_cannot_be_learnt_from_are_refused(rows):
+    third = F.col("id") == 3
+    bad = [
+        rows.withColumn("label", F.when(~third, F.col("label"))),
+        rows.withColumn("label", F.when(third, 2.0).otherwise(F.col("label"))),
+        rows.withColumn("features", array_to_vector(F.transform("x", lambda v: F.when(third, float("nan")).otherwise(v)))),
+        rows.withColumn("features", array_to_vector(F.when(third, F.array(F.lit(1.0))).otherwise(F.col("x")))),
+    ]
+    for df, message in zip(bad, ["labels", "labels", "features", "features"]):
+        with pytest.raises(Exception, match=f"{message} must be"):
+            training.train_mlp(df, 4, (3,), maxIter=1)
