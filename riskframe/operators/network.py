@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import require_columns
@@ -110,10 +110,11 @@ def _sums(part: int, loss: float, weight: float, gradient: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _SUMS.split(", ")])
 
 
-def _packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(width: int, classes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(x, label) to blocks of rows (x, label, weight) as bytes; rows equal to the one before add to its weight.
 
     A value that lies alone costs more to hand to a Python worker than its share of the arithmetic.
+    A row that Spark's own fit would refuse is refused.
     """
     per_block = max(1, NUMBERS_PER_BLOCK // (width + 2))
 
@@ -122,8 +123,14 @@ def _packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if not batch.num_rows:
                 continue
             rows = np.empty((batch.num_rows, width + 2))
+            if (np.diff(batch["x"].offsets.to_numpy()) != width).any():
+                raise ValueError(f"features must be {width} numbers")
             rows[:, :width] = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            rows[:, width] = batch["label"].to_numpy(zero_copy_only=False)
+            rows[:, width] = batch["label"].to_numpy(zero_copy_only=False)  # NaN where null
+            if not np.isfinite(rows[:, :width]).all():
+                raise ValueError("features must be finite numbers")
+            if not np.isin(rows[:, width], np.arange(classes)).all():
+                raise ValueError(f"labels must be 0 to {classes - 1}, none null")
             other = (rows[1:, : width + 1] != rows[:-1, : width + 1]).any(axis=1)
             first = np.flatnonzero(np.concatenate([[True], other]))
             rows[first, width + 1] = np.diff(first, append=batch.num_rows)
@@ -368,16 +375,6 @@ def train_weighted_network(
     return as_spark_model(flat, sizes, example, featuresCol="features", labelCol="label"), losses
 
 
-def _checked(features: str, label: str, sizes: list[int]) -> tuple[Column, Column]:
-    """(x, label) of a row; a row that Spark's own fit would refuse ends the fit."""
-    x, y = vector_to_array(features), F.col(label).cast("double")
-    usable = (F.size(x) == sizes[0]) & ~F.exists(x, lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
-    known = y.isin([float(i) for i in range(sizes[-1])])
-    wrong_x = F.raise_error(F.lit(f"features must be {sizes[0]} numbers, none null, NaN or infinite"))
-    wrong_y = F.raise_error(F.lit(f"labels must be 0 to {sizes[-1] - 1}, none null"))
-    return F.when(usable, x).otherwise(wrong_x).alias("x"), F.when(known, y.cast("int")).otherwise(wrong_y).alias("label")
-
-
 def fit_as_spark(network: MultilayerPerceptronClassifier, train: DataFrame) -> PipelineModel:
     """The fit that ``network`` makes by its L-BFGS steps, with gradients by matrix products.
 
@@ -394,8 +391,9 @@ def fit_as_spark(network: MultilayerPerceptronClassifier, train: DataFrame) -> P
     else:
         start = network.copy(still).fit(example).weights.toArray()
     cores = spark.sparkContext.defaultParallelism
-    blocks = train.select(*_checked(features, label, sizes)).mapInArrow(_packed(sizes[0]), "block binary")
-    blocks = blocks.repartition(TASKS_PER_CORE * cores).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("label"))
+    blocks = rows.mapInArrow(_packed(sizes[0], sizes[-1]), "block binary").repartition(TASKS_PER_CORE * cores)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_rows = blocks.count() * NUMBERS_PER_BLOCK // (sizes[0] + 2)  # about
         if not n_rows:

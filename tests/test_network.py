@@ -116,7 +116,7 @@ def test_blocks_are_the_rows(rows):
     """Packed rows, some of them several times in a row, have the loss and the gradient of the plain ones."""
     again = rows.select("id", "x", "label", F.explode(F.sequence(F.lit(0), F.col("id") % 3))).coalesce(2)
     plain = prepared(again, F.lit(1.0))
-    blocks = plain.select("x", "label").mapInArrow(network._packed(4), "block binary")
+    blocks = plain.select("x", "label").mapInArrow(network._packed(4, 2), "block binary")
     flat = network.starting_parameters(SIZES, 5)
     expected = network.distributed_objective(plain, SIZES)(flat)
     for tasks in (None, 2):
